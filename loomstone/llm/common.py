@@ -98,13 +98,15 @@ class WordHasher:
             edge = np.concatenate(([0], edge))
         return a, edge[0::2], edge[1::2]
 
-    def hashes(self, buf: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hash, start and end of each word."""
+    def hashes(self, buf: bytes, prefixes: tuple = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hash, start and end of each word; with prefixes, rows of hashes: of the words, then of their first bytes, so many at most."""
         a, start, end = self.spans(buf)
         self._reach(len(a) + 1)
         sums = np.zeros(len(a) + 1, np.uint64)
         np.cumsum(self.letters[a] * self.pow[: len(a)], out=sums[1:])
-        return mix((sums[end] - sums[start]) * self.inv[start]), start, end
+        of = lambda stop: mix((sums[stop] - sums[start]) * self.inv[start])
+        found = of(end)
+        return (np.stack([found, *(of(np.minimum(start + n, end)) for n in prefixes)]) if prefixes else found), start, end
 
 
 def pieces(texts: list, most: int = 1 << 21):
