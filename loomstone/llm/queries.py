@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstone.llm import chat, media, minhash_dedup, sharding, toxicity, warc
+from loomstone.llm import chat, lm_scoring, media, minhash_dedup, sharding, toxicity, warc
 from loomstone.llm.common import scratch, table
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents", ["doc_id", "text"]))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages", ["page_id", "url", "html"]), path)
@@ -20,7 +24,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, table(spark, sf_dir, "labels", ["doc_id", "toxic"]))
     return toxicity.score(docs, model).select(
         "doc_id",
-        (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1).alias("held_out"),
+        F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False)).alias("held_out"),
         "score",
         (F.col("score") >= 0.7).cast("int").alias("predicted"),
         (F.col("score") >= toxicity.threshold_of(F.col("lang"), model)).alias("over_language_threshold"),
@@ -48,7 +52,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents", ["doc_id", "text"]), shards=40)
 
 
-QUERIES = {f.__name__: f for f in (op3_warc, op4_toxicity, op7_minhash_dedup, op8_media, op9_chat, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op3_warc, op4_toxicity, op7_minhash_dedup, op8_media, op9_chat, op10_sharding)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_warc": """
