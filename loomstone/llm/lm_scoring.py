@@ -4,8 +4,8 @@ A trie of byte contexts up to `ORDER` bytes long is counted over the training
 texts. A symbol is predicted by the longest context that is in the trie; where it has
 not followed that context, an escape leads to the context one byte shorter,
 at which the symbols of the longer context are excluded, and so on down to a uniform
-choice. Escapes weigh as much as the context has distinct symbols, plus what
-pruning took from it. Texts begin after ORDER pad symbols and end in an end
+choice. Escapes are estimated by method D: each distinct symbol of a context gives
+DISCOUNT of its count to the escape, and so does what pruning took from the context. Texts begin after ORDER pad symbols and end in an end
 symbol, so that the probabilities of all texts sum to one.
 
 The trie keeps an entry (context and symbol) if it makes up at least `SHARE` of all
@@ -34,6 +34,7 @@ ORDER = 5
 BITS = 9  # of a symbol: 256 bytes, END and PAD
 END, PAD = 256, 257
 SYMBOLS = 257  # that can be predicted
+DISCOUNT = 0.5
 SHARE = 4e-7
 #: Words that make up at least this share of all tokens are at most 1e6; their counts are broadcast.
 WORD_SHARE = 1e-6
@@ -138,22 +139,23 @@ class Model:
         per = []
         for k, (keys, n) in enumerate(counts):
             order = np.argsort(keys, kind="stable")
-            keys, n = keys[order], n[order].astype(np.float64)
+            keys, n = keys[order], n[order].astype(np.float64) - DISCOUNT
             context = keys >> shift
             first = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1]))) if len(keys) else np.zeros(0, np.int64)
             node = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(keys))))
             kept = np.add.reduceat(n, first) if len(first) else np.zeros(0)
             distinct = np.diff(np.append(first, len(keys))).astype(float)
+            given = DISCOUNT * distinct
             names = context[first]
             lost = np.zeros(len(first))
             if totals is not None and len(first):
                 tk, tn = totals[k]
                 o = np.argsort(tk)
                 at = o[np.searchsorted(tk[o], names)]
-                lost = tn[at] - kept
-            per.append({"keys": keys, "n": n, "node": node, "names": names, "kept": kept, "escape": distinct + lost, "distinct": distinct})
+                lost = tn[at] - kept - given
+            per.append({"keys": keys, "n": n, "node": node, "names": names, "kept": kept, "escape": given + lost, "given": given, "distinct": distinct})
         if not len(per[0]["names"]):
-            per[0] |= {"names": np.zeros(1, np.uint64), "kept": np.zeros(1), "escape": np.ones(1), "distinct": np.zeros(1)}
+            per[0] |= {"names": np.zeros(1, np.uint64), "kept": np.zeros(1), "escape": np.ones(1), "given": np.zeros(1), "distinct": np.zeros(1)}
         log = lambda x: np.log10(np.maximum(x, 1e-300))
         self.uniform = -math.log10(max(1, SYMBOLS - int(per[0]["distinct"][0])))
         q = [np.zeros(len(per[0]["names"]))]  # escapes from the context's suffixes, in sum
@@ -167,7 +169,7 @@ class Model:
                 # what the shorter context has left of counts and escape weight once this one's symbols are excluded
                 below = np.searchsorted(s["keys"], p["keys"] & np.uint64((1 << (BITS * k)) - 1))
                 left = s["kept"][suffix] - np.bincount(p["node"], s["n"][below], len(p["names"]))
-                weight = s["escape"][suffix] - p["distinct"]
+                weight = s["escape"][suffix] - p["given"]
                 weight = np.where(weight < 1e-9, np.where(left < 1e-9, 1.0, 0.0), weight)
                 full = log(left + weight)
                 q.append(q[k - 1][suffix] + log(weight) - full)
@@ -219,10 +221,10 @@ def adaptive(text: bytes, order: int = ORDER, seen: dict | None = None, learn: b
             found = seen.get(context)
             if not found:
                 continue
-            left = {s: n for s, n in found.items() if s not in excluded}
+            left = {s: n - DISCOUNT for s, n in found.items() if s not in excluded}
             if not left:
                 continue
-            weight = len(left)
+            weight = DISCOUNT * len(left)
             full = sum(left.values()) + weight
             if symbol in left:
                 total += math.log10(left[symbol] / full)
