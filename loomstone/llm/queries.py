@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstone.llm import chat, lm_scoring, media, minhash_dedup, sharding, toxicity, warc
+from loomstone.llm import chat, lm_scoring, media, minhash_dedup, sentencepiece_codec, sharding, toxicity, warc
 from loomstone.llm.common import scratch, table
 
 
@@ -13,6 +13,10 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(table(spark, sf_dir, "documents", ["doc_id", "text"]))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.round_trip(table(spark, sf_dir, "documents", ["doc_id", "text"]))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages", ["page_id", "url", "html"]), path)
@@ -52,7 +56,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents", ["doc_id", "text"]), shards=40)
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op3_warc, op4_toxicity, op7_minhash_dedup, op8_media, op9_chat, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_sentencepiece, op3_warc, op4_toxicity, op7_minhash_dedup, op8_media, op9_chat, op10_sharding)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_warc": """
