@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstone.llm import chat, decontamination, lm_scoring, media, minhash_dedup, sentencepiece_codec, sharding, toxicity, warc
+from loomstone.llm import chat, decontamination, licenses, lm_scoring, media, minhash_dedup, sentencepiece_codec, sharding, toxicity, warc
 from loomstone.llm.common import scratch, table
 
 
@@ -35,6 +35,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents", ["doc_id", "text"]))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents", ["doc_id", "text"]), table(spark, sf_dir, "benchmark", ["item_id", "text"])
     return decontamination.leaks(docs, items, threshold=0.8).drop("digest")
@@ -61,7 +65,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents", ["doc_id", "text"]), shards=40)
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_sentencepiece, op3_warc, op4_toxicity, op6_decontamination, op7_minhash_dedup, op8_media, op9_chat, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_sentencepiece, op3_warc, op4_toxicity, op5_licenses, op6_decontamination, op7_minhash_dedup, op8_media, op9_chat, op10_sharding)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_warc": """
