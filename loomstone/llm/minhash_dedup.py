@@ -10,10 +10,12 @@ a similarity of 0.85, 40 values differ in more than 19 places about once in a
 million pairs.
 
 Of the classes that share a key, no list of all pairs is made. Each is first
-held against the least class of its key; the links confirmed join most of them.
+held against its key's leader, the class that meets the most others over all of its keys and so lies in
+the midst of them; the links confirmed join most of them.
 Only classes of one key that are then still in different components are
-held against each other, and where a key has many of those, it is split by the
-key of a second chunk: signatures within ``2 * CHUNKS - 3`` share two.
+held against each other. Where a key has many of those, its classes are compared by
+their rarest shingles instead: sets as similar as asked share one of their first
+shingles in any fixed order, at places that leave room for the overlap needed.
 Every link counts only once confirmed on the full shingle sets.
 """
 
@@ -30,8 +32,10 @@ from loomstone.llm.common import WordHasher, as_bytes, cut, joined, mix, pieces
 
 WORDS = 5
 CHUNKS, WIDTH = 10, 4
-#: Non-dominant members of a key beyond which a second chunk splits it.
-SPLIT_AT = 128
+#: Members of a key outside its largest component beyond which rare shingles take the key's place.
+SPLIT_AT = 8
+#: Shingles whose frequency orders the rest; the order decides only how many candidates there are.
+ORDERED = 1 << 16
 
 SIGNED = "n_shingles long, class binary, signature binary"
 
@@ -79,8 +83,8 @@ def _sign(batches):
             ids.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
             signs.append(signature(found, by).tobytes() if len(found) else None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(signs, pa.binary())],
-            ["doc_id", "n_shingles", "class", "signature"],
+            [batch.column("doc_id"), batch.column("digest"), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(signs, pa.binary())],
+            ["doc_id", "digest", "n_shingles", "class", "signature"],
         )
 
 
@@ -109,24 +113,43 @@ def _keys(batches):
             yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), batch.column("class").take(row)], ["key", "class"])
 
 
-def _second_keys(batches):
-    """Keys joined with those of each other chunk."""
+def _frequent(batches):
+    """Counts of the shingles that a task sees in several sets, the ORDERED most frequent at most."""
+    hasher, seen = WordHasher(), [np.zeros(0, np.uint64)]
     for batch in batches:
-        if batch.num_rows:
-            signs = _signs(batch.column("signature"))
-            first = batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64)
-            blocks = []
-            for c in range(CHUNKS):
-                keys = chunk_keys(signs, c)
-                own = (keys == first[:, None]).any(axis=1)
-                keys = mix(keys ^ mix(first)[:, None])
-                # the chunk of the key itself says nothing new: such rows get a key of their own
-                keys[own] = mix(first[own] ^ np.uint64(c + 1))[:, None]
-                blocks.append(np.where(own[:, None], np.uint64(0), keys))
-            keys = np.concatenate(blocks, axis=1)
-            row, col = np.nonzero(keys)
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[row, col].view(np.int64)), batch.column("class").take(take), batch.column("component").take(take)], ["key", "class", "component"])
+        for found in sets_of(as_bytes(batch.column("text")), hasher):
+            seen.append(found)
+    values, counts = np.unique(np.concatenate(seen), return_counts=True)
+    top = np.argsort(-counts, kind="stable")[:ORDERED]
+    top = top[counts[top] > 1]
+    yield pa.RecordBatch.from_arrays([pa.array(values[top].view(np.int64)), pa.array(counts[top])], ["shingle", "n"])
+
+
+def _rarest(order, percent: int):
+    """The first shingles of each set, rare ones before frequent ones: as many as cannot all be missing from a similar set."""
+
+    def run(batches):
+        hasher = WordHasher()
+        known, counts = (np.frombuffer(x, t) for x, t in zip(order.value, (np.uint64, np.int64), strict=True))
+        for batch in batches:
+            rows, token, place, size = [], [], [], []
+            for i, found in enumerate(sets_of(as_bytes(batch.column("text")), hasher)):
+                at = np.minimum(np.searchsorted(known, found), max(0, len(known) - 1))
+                often = np.where(known[at] == found, counts[at], 0) if len(known) else np.zeros(len(found), np.int64)
+                n = len(found) - -(-percent * len(found) // 100) + 1
+                first = np.lexsort((found, often))[:n]
+                rows += [i] * len(first)
+                token.append(found[first])
+                place.append(np.arange(len(first)))
+                size += [len(found)] * len(first)
+            take = pa.array(rows, pa.int64())
+            token = np.concatenate(token) if token else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(token.view(np.int64)), batch.column("class").take(take), batch.column("component").take(take), pa.array(np.concatenate(place) if place else [], pa.int64()), pa.array(size, pa.int64())],
+                ["key", "class", "component", "place", "size"],
+            )
+
+    return run
 
 
 def _close(batches):
@@ -187,7 +210,7 @@ def _links(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: int)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for each row of `docs` (doc_id, text; other columns are ignored).
+    """doc_id, n_shingles, component_id, kept and digest (a hash of the text) for each row of `docs` (doc_id, text; other columns are ignored).
 
     Texts are linked if 100 * |A & B| >= percent * |A | B| of their sets of
     5-word shingles (A-Z lower-cased; words `[^\\x20\\x09-\\x0D]+`); component_id
@@ -198,18 +221,19 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = cut(source.mapInArrow(_sign, "doc_id long, " + SIGNED))
+    signed = cut(source.withColumn("digest", digest()).mapInArrow(_sign, "doc_id long, digest long, " + SIGNED))
     classes = cut(
         signed.where("class is not null").groupBy("class").agg(F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows"))
     )
     # One text stands for each class: that of its least doc_id.
     texts = source.join(classes.where("least is not null").select("class", F.col("least").alias("doc_id")), "doc_id").select("class", "text").dropDuplicates(["class"])
     keys = cut(_shared(classes.select("class", "signature").mapInArrow(_keys, "key long, class binary")))
-    leaders = keys.groupBy("key").agg(F.min("class").alias("a"))
+    met = keys.groupBy("class").agg(F.sum("n").alias("met"))
+    leaders = keys.join(met, "class").groupBy("key").agg(F.max_by("class", F.struct("met", "class")).alias("a"))
     pairs = keys.join(leaders, "key").where(F.col("a") != F.col("class")).select("a", F.col("class").alias("b")).distinct()
     links = _links(pairs, classes, texts, percent)
     found = components(links)
-    more = _links(_rest(keys, found, classes), classes, texts, percent)
+    more = _links(_rest(keys, found, classes, texts, percent), classes, texts, percent)
     if not more.isEmpty():
         found = components(links.union(more))
     least = classes.join(found, classes["class"] == found["node"], "left").select("class", "least", F.coalesce("component", "class").alias("component"))
@@ -218,30 +242,68 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     return (
         signed.join(by_class, "class", "left")
         .withColumn("component_id", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-        .select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
+        .select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"), "digest")
     )
 
 
+def digest():
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
+def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """The rows of `docs`, with all their columns, of which one stands for each group of near duplicates; blank texts all stay.
+
+    Of rows that repeat the doc_id kept, those of the text that is kept count as one.
+    """
+    found = near_duplicates(docs, percent)
+    rows = cut(found.groupBy("doc_id", "digest").agg(F.first("kept").alias("kept"), F.first("n_shingles").alias("n_shingles"), F.count(F.lit(1)).alias("n")))
+    named = lambda df: df.select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id")) & (digest() == F.col("gone"))
+    left = docs.join(named(rows.where(~F.col("kept"))), same, "left_anti")
+    several = rows.where("kept and n > 1 and n_shingles > 0")
+    if several.isEmpty():
+        return left
+    once = docs.join(named(several), same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(named(several), same, "left_anti").unionByName(once)
+
+
 def _shared(keys: DataFrame) -> DataFrame:
-    """The rows whose key another row has too."""
-    several = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    return keys.join(several, "key", "left_semi")
+    """The rows whose key another row has too, with how many have it (n)."""
+    return keys.join(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key")
 
 
-def _rest(keys: DataFrame, found: DataFrame, classes: DataFrame) -> DataFrame:
+def _rest(keys: DataFrame, found: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Pairs of classes that share a key and are not in one component yet."""
     labelled = keys.join(found, keys["class"] == found["node"], "left").select("key", "class", F.coalesce("component", "class").alias("component"))
+    open_ = cut(_open(labelled))
+    plain = open_.where(F.col("others") <= SPLIT_AT)
+    crowded = open_.where(F.col("others") > SPLIT_AT).select("class", "component").distinct()
+    held = cut(texts.join(crowded, "class"))
+    many = held.count()
+    if not many:
+        return _met(plain)
+    # At most ORDERED rows come to the driver and go out again.
+    often = held.select("text").repartition(max(1, many // 4096)).mapInArrow(_frequent, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    often = often.orderBy(F.desc("n"), "shingle").limit(ORDERED).collect()
+    known, counts = np.array([r["shingle"] for r in often], np.int64).view(np.uint64), np.array([r["n"] for r in often], np.int64)
+    order = np.argsort(known)
+    sent = keys.sparkSession.sparkContext.broadcast((known[order].tobytes(), counts[order].tobytes()))
+    rare = held.select("text", "class", "component").repartition(2 + many // 512).mapInArrow(_rarest(sent, percent), "key long, class binary, component binary, place long, size long")
+    rare = cut(_open(cut(_shared(cut(rare)))))
+    room = (100 + percent) * F.least(F.col("size_x") - F.col("place_x"), F.col("size_y") - F.col("place_y")) >= percent * (F.col("size_x") + F.col("size_y"))
+    return _met(plain).union(_met(rare, ("place", "size"), room)).distinct()
+
+
+def _open(labelled: DataFrame) -> DataFrame:
+    """The rows of keys that meet several components, with the largest one (top) and the number of rows outside it (others)."""
     sizes = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    top = sizes.groupBy("key").agg(F.max_by("component", "n").alias("top"), F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("all"), F.max("n").alias("most"))
-    top = top.where("kinds > 1").withColumn("others", F.col("all") - F.col("most"))
-    open_ = cut(labelled.join(top.select("key", "top", "others"), "key"))
-    plain = open_.where(F.col("others") <= SPLIT_AT).select("key", "class", "component", "top")
-    crowded = open_.where(F.col("others") > SPLIT_AT).join(classes.select("class", "signature"), "class").select("key", "class", "component", "signature")
-    again = cut(crowded.mapInArrow(_second_keys, "key long, class binary, component binary"))
-    sizes = again.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    tops = sizes.groupBy("key").agg(F.max_by("component", "n").alias("top"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    both = plain.union(again.join(tops.select("key", "top"), "key"))
-    few = both.where(F.col("component") != F.col("top")).select("key", F.col("class").alias("x"), F.col("component").alias("cx"))
-    all_ = both.select("key", F.col("class").alias("y"), F.col("component").alias("cy"))
-    met = few.join(all_, "key").where(F.col("cx") != F.col("cy"))
+    top = sizes.groupBy("key").agg(F.max_by("component", "n").alias("top"), (F.sum("n") - F.max("n")).alias("others")).where("others > 0")
+    return labelled.join(top, "key")
+
+
+def _met(open_: DataFrame, more: tuple = (), room=None) -> DataFrame:
+    """Pairs (a, b) of one key and two components: one class at least is outside the key's largest component."""
+    few = open_.where(F.col("component") != F.col("top")).select("key", F.col("class").alias("x"), F.col("component").alias("cx"), *(F.col(c).alias(f"{c}_x") for c in more))
+    all_ = open_.select("key", F.col("class").alias("y"), F.col("component").alias("cy"), *(F.col(c).alias(f"{c}_y") for c in more))
+    met = few.join(all_, (few["key"] == all_["key"]) & (F.col("cx") != F.col("cy")) & (F.lit(True) if room is None else room))
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()

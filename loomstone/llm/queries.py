@@ -45,7 +45,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents", ["doc_id", "text"]), percent=85)
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents", ["doc_id", "text"]), percent=85).drop("digest")
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
