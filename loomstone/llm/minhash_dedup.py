@@ -37,7 +37,9 @@ SPLIT_AT = 8
 #: Shingles whose frequency orders the rest; the order decides only how many candidates there are.
 ORDERED = 1 << 16
 
-SIGNED = "n_shingles long, class binary, signature binary"
+SIGNED = "n_shingles long, set_id binary, signature binary"
+#: Ids of at most so many rows (16 bytes each) are broadcast to fetch their texts; more are joined by shuffling.
+BROADCAST = 2_000_000
 
 
 def shingles(words: np.ndarray, n: int = WORDS) -> np.ndarray:
@@ -84,7 +86,7 @@ def _sign(batches):
             signs.append(signature(found, by).tobytes() if len(found) else None)
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("digest"), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(signs, pa.binary())],
-            ["doc_id", "digest", "n_shingles", "class", "signature"],
+            ["doc_id", "digest", "n_shingles", "set_id", "signature"],
         )
 
 
@@ -197,16 +199,23 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def _links(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _texts(source: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(class, text) for the classes in `wanted`. The corpus itself is not shuffled where few are."""
+    ids = cut(classes.join(wanted.select("class").distinct(), "class").select("class", F.col("digest").alias("of")))
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST else ids
+    found = source.join(ids, digest() == F.col("of")).select("class", "text")
+    return cut(found.groupBy("class").agg(F.first("text").alias("text")))
+
+
+def _links(pairs: DataFrame, classes: DataFrame, source: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of classes that full sets confirm."""
     a = classes.select(F.col("class").alias("a"), F.col("n_shingles").alias("n_a"), F.col("signature").alias("sign_a"))
     b = classes.select(F.col("class").alias("b"), F.col("n_shingles").alias("n_b"), F.col("signature").alias("sign_b"))
     sized = pairs.join(a, "a").join(b, "b").where((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")))
-    near = cut(sized.select("a", "b", "sign_a", "sign_b").mapInArrow(_close, "a binary, b binary"))
-    needed = near.select(F.col("a").alias("class")).union(near.select(F.col("b").alias("class"))).distinct()
-    held = cut(texts.join(needed, "class", "left_semi"))
+    near = cut(sized.select("a", "b", "sign_a", "sign_b").mapInArrow(_close, "a long, b long"))
+    held = _texts(source, classes, near.select(F.col("a").alias("class")).union(near.select(F.col("b").alias("class"))))
     left, right = held.select(F.col("class").alias("a"), F.col("text").alias("text_a")), held.select(F.col("class").alias("b"), F.col("text").alias("text_b"))
-    return cut(near.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_confirm(percent), "a binary, b binary"))
+    return cut(near.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_confirm(percent), "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -222,26 +231,24 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = cut(source.withColumn("digest", digest()).mapInArrow(_sign, "doc_id long, digest long, " + SIGNED))
-    classes = cut(
-        signed.where("class is not null").groupBy("class").agg(F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows"))
-    )
-    # One text stands for each class: that of its least doc_id.
-    texts = source.join(classes.where("least is not null").select("class", F.col("least").alias("doc_id")), "doc_id").select("class", "text").dropDuplicates(["class"])
-    keys = cut(_shared(classes.select("class", "signature").mapInArrow(_keys, "key long, class binary")))
+    sets = signed.where("set_id is not null").groupBy("set_id")
+    sets = sets.agg(F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"), F.min("doc_id").alias("least"), F.min("digest").alias("digest"))
+    classes = cut(sets.withColumn("class", F.monotonically_increasing_id()))
+    keys = cut(_shared(classes.select("class", "signature").mapInArrow(_keys, "key long, class long")))
     met = keys.groupBy("class").agg(F.sum("n").alias("met"))
     leaders = keys.join(met, "class").groupBy("key").agg(F.max_by("class", F.struct("met", "class")).alias("a"))
     pairs = keys.join(leaders, "key").where(F.col("a") != F.col("class")).select("a", F.col("class").alias("b")).distinct()
-    links = _links(pairs, classes, texts, percent)
+    links = _links(pairs, classes, source, percent)
     found = components(links)
-    more = _links(_rest(keys, found, classes, texts, percent), classes, texts, percent)
+    more = _links(_rest(keys, found, classes, source, percent), classes, source, percent)
     if not more.isEmpty():
         found = components(links.union(more))
-    least = classes.join(found, classes["class"] == found["node"], "left").select("class", "least", F.coalesce("component", "class").alias("component"))
+    least = classes.join(found, classes["class"] == found["node"], "left").select("set_id", "least", F.coalesce("component", "class").alias("component"))
     lows = least.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_class = least.join(lows, "component").select("class", "component_id")
+    by_class = least.join(lows, "component").select("set_id", "component_id")
     return (
-        signed.join(by_class, "class", "left")
-        .withColumn("component_id", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+        signed.join(by_class, "set_id", "left")
+        .withColumn("component_id", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
         .select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"), "digest")
     )
 
@@ -272,13 +279,13 @@ def _shared(keys: DataFrame) -> DataFrame:
     return keys.join(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key")
 
 
-def _rest(keys: DataFrame, found: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _rest(keys: DataFrame, found: DataFrame, classes: DataFrame, source: DataFrame, percent: int) -> DataFrame:
     """Pairs of classes that share a key and are not in one component yet."""
     labelled = keys.join(found, keys["class"] == found["node"], "left").select("key", "class", F.coalesce("component", "class").alias("component"))
     open_ = cut(_open(labelled))
     plain = open_.where(F.col("others") <= SPLIT_AT)
     crowded = open_.where(F.col("others") > SPLIT_AT).select("class", "component").distinct()
-    held = cut(texts.join(crowded, "class"))
+    held = cut(_texts(source, classes, crowded).join(crowded, "class"))
     many = held.count()
     if not many:
         return _met(plain)
@@ -288,7 +295,7 @@ def _rest(keys: DataFrame, found: DataFrame, classes: DataFrame, texts: DataFram
     known, counts = np.array([r["shingle"] for r in often], np.int64).view(np.uint64), np.array([r["n"] for r in often], np.int64)
     order = np.argsort(known)
     sent = keys.sparkSession.sparkContext.broadcast((known[order].tobytes(), counts[order].tobytes()))
-    rare = held.select("text", "class", "component").repartition(2 + many // 512).mapInArrow(_rarest(sent, percent), "key long, class binary, component binary, place long, size long")
+    rare = held.select("text", "class", "component").repartition(2 + many // 512).mapInArrow(_rarest(sent, percent), "key long, class long, component long, place long, size long")
     rare = cut(_open(cut(_shared(cut(rare)))))
     room = (100 + percent) * F.least(F.col("size_x") - F.col("place_x"), F.col("size_y") - F.col("place_y")) >= percent * (F.col("size_x") + F.col("size_y"))
     return _met(plain).union(_met(rare, ("place", "size"), room)).distinct()
