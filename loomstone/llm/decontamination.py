@@ -65,20 +65,32 @@ def stride_for(least: int, missing: float) -> int:
     return best
 
 
-def simhash(rows: DataFrame, keys: list[str], h: str = "h") -> DataFrame:
-    """keys and the fingerprint fp of each group of shingle hashes; each row votes once for each bit."""
-    n = -(-64 // FIELDS)
-    packed = []
-    for j in range(n):
-        fields = [F.shiftleft(F.shiftrightunsigned(h, j * FIELDS + f).bitwiseAND(F.lit(1).cast("long")), FIELD_BITS * f) for f in range(FIELDS) if j * FIELDS + f < 64]
-        packed.append(F.sum(reduce(lambda a, b: a.bitwiseOR(b), fields)).alias(f"v{j}"))
-    votes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("votes"), *packed)
-    bits = [
-        F.shiftleft((2 * F.shiftrightunsigned(f"v{j // FIELDS}", FIELD_BITS * (j % FIELDS)).bitwiseAND(F.lit((1 << FIELD_BITS) - 1)) > F.col("votes")).cast("long"), j) for j in range(64)
-    ]
-    # In steps, as one expression of 64 terms is too long a method for the JIT compiler.
-    parts = [reduce(lambda a, b: a.bitwiseOR(b), bits[at : at + 8]) for at in range(0, 64, 8)]
-    return votes.select(*keys, F.array(*parts).alias("parts")).select(*keys, F.aggregate("parts", F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x)).alias("fp"))
+def simhash(hs: str):
+    """The fingerprint of a column of shingle hashes; each of them votes once for each bit."""
+    zero = F.lit(0).cast("long")
+
+    def votes(j):
+        def add(total, h):
+            fields = [F.shiftleft(F.shiftrightunsigned(h, j * FIELDS + f).bitwiseAND(F.lit(1).cast("long")), FIELD_BITS * f) for f in range(FIELDS) if j * FIELDS + f < 64]
+            return total + reduce(lambda x, y: x.bitwiseOR(y), fields)
+
+        return F.aggregate(hs, zero, add)
+
+    counted = F.array(*(votes(j) for j in range(-(-64 // FIELDS))))
+
+    def bits(counts, size):
+        each = [
+            F.shiftleft((2 * F.shiftrightunsigned(F.get(counts, j // FIELDS), FIELD_BITS * (j % FIELDS)).bitwiseAND(F.lit((1 << FIELD_BITS) - 1)) > size).cast("long"), j) for j in range(64)
+        ]
+        return F.aggregate(F.array(*each), zero, lambda x, y: x.bitwiseOR(y))
+
+    # a lambda's variable is computed once, however often it is used
+    return F.get(F.transform(F.array(counted), lambda c: bits(c, F.size(hs))), 0)
+
+
+def numbered(hs: str):
+    """Hashes that tell the occurrences of a shingle apart: sets of them intersect as the multisets do."""
+    return F.get(F.transform(F.array(F.array_sort(hs)), lambda a: F.transform(a, lambda x, i: F.xxhash64(x, i + 1 - F.array_position(a, x)))), 0)
 
 
 def blocks(fp: str):
@@ -142,22 +154,17 @@ def _leaks(w: DataFrame, items: DataFrame, k: int, stride: int, threshold: float
     by_doc = ["doc_id", "digest"]
     same_doc = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["digest"] == b["digest"])
     hs = hit.select("doc_id", "digest", "hs")
-    parts = windows.join(hs, same_doc(windows, hs)).select(windows["doc_id"], windows["digest"], "n", "start", F.slice("hs", F.col("start") + 1, F.col("size")).alias("hs"))
-    parts = cut(parts)
-    prints = simhash(parts.select(*by_doc, "n", "start", F.explode("hs").alias("h")), [*by_doc, "n", "start"])
-    item_prints = simhash(items.select("item", "n", F.explode("hs").alias("h")), ["item", "n"])
-    a = prints.select(*by_doc, "n", "start", "fp", F.explode(blocks("fp")).alias("block"))
-    b = item_prints.select("item", F.col("n").alias("n_item"), F.col("fp").alias("fp_item"), F.explode(blocks("fp")).alias("block_item"))
+    parts = windows.join(hs, same_doc(windows, hs)).select(windows["doc_id"], windows["digest"], "n", "start", once(F.slice("hs", F.col("start") + 1, F.col("size"))).alias("hs"))
+    a = parts.select(*by_doc, "n", "start", once(simhash("hs")).alias("fp"), numbered("hs").alias("own"))
+    a = a.select(*by_doc, "n", "start", "fp", "own", once(blocks("fp")).alias("blocks")).select("*", F.explode("blocks").alias("block"))
+    b = items.select("item", F.col("n").alias("n_item"), simhash("hs").alias("fp_item"), numbered("hs").alias("own_item"))
+    b = cut(b.select("*", blocks("fp_item").alias("blocks_item")).select("*", F.explode("blocks_item").alias("block_item")))
     distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_item")))
     near = a.join(F.broadcast(b), (a["n"] == b["n_item"]) & (a["block"] == b["block_item"])).where(distance <= RADIUS)
-    near = near.select(*by_doc, "n", "start", "item", distance.alias("distance")).distinct()
-    at = [near[c].eqNullSafe(parts[c]) for c in (*by_doc, "n", "start")]
-    held = near.join(parts, at).select(near["doc_id"], near["digest"], near["n"], near["start"], "item", "distance", F.size("hs").alias("size"), F.explode("hs").alias("h"))
-    keys = [*by_doc, "n", "start", "item", "distance", "size"]
-    counted = held.groupBy(*keys, "h").agg(F.count(F.lit(1)).alias("x"))
-    weights = items.select(F.col("item").alias("i"), F.explode("hs").alias("g")).groupBy("i", "g").agg(F.count(F.lit(1)).alias("y"))
-    shared = counted.join(F.broadcast(weights), (F.col("item") == F.col("i")) & (F.col("h") == F.col("g"))).groupBy(*keys).agg(F.sum(F.least("x", "y")).alias("shared"))
-    exact = shared.withColumn("similarity", F.col("shared") / (F.col("n") + F.col("size") - F.col("shared"))).where(F.col("similarity") >= threshold)
+    # A pair meets in each block that it shares, and counts in the first.
+    first = F.get("blocks", F.array_position(F.zip_with("blocks", "blocks_item", lambda x, y: x == y), True).cast("int") - 1)
+    near = near.where(F.col("block") == first).select(*by_doc, "n", "start", "item", distance.alias("distance"), F.size("own").alias("size"), F.size(F.array_intersect("own", "own_item")).alias("shared"))
+    exact = near.withColumn("similarity", F.col("shared") / (F.col("n") + F.col("size") - F.col("shared"))).where(F.col("similarity") >= threshold)
     best = exact.groupBy(*by_doc, "item").agg(F.min_by(F.struct("start", "n", "distance", "similarity"), F.struct(-F.col("similarity"), F.col("start"))).alias("best"))
     names = items.select(F.col("item").alias("i"), "item_id")
     return best.join(F.broadcast(names), F.col("item") == F.col("i")).select(
