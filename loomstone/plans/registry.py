@@ -5,35 +5,448 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomstone.functions import codecs
+from loomstone.functions import columns as C
+from loomstone.operators import analysis, archive, chunking, tree
+from loomstone.operators.lineage import cut, running_sums
+from loomstone.streaming import ingest
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+BLOCK = 512
 
 
-def register(name: str, sql: str | None):
+def register(sql: str | None = None):
     def put(f):
-        QUERIES[name] = f
+        QUERIES[f.__name__] = f
         if sql:
-            ORACLE_SQL[name] = sql
+            ORACLE_SQL[f.__name__] = sql
         return f
 
     return put
 
 
-@register(
-    "block_dedup_stats",
-    """
-    WITH b AS (SELECT doc_id, encode(text) AS content, octet_length(encode(text)) AS n FROM documents),
-    k AS (SELECT content, n, unnest(range(0, CAST(ceil(n / 512.0) AS BIGINT))) AS i FROM b),
-    c AS (SELECT sha256(content[i * 512 + 1 : least((i + 1) * 512, n)]) AS h, least(512, n - i * 512) AS len FROM k)
-    SELECT count(*) AS blocks, count(DISTINCT h) AS unique_blocks, CAST(sum(len) AS BIGINT) AS total_bytes,
-           (SELECT CAST(sum(len) AS BIGINT) FROM (SELECT h, min(len) AS len FROM c GROUP BY h)) AS unique_bytes
-    FROM c
-    """,
-)
-def block_dedup_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.encode("text", "UTF-8").alias("content"))
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: path is their number, padded, so that order by path is order by doc_id."""
+    d = read(spark, sf_dir, "documents")
+    return d.select(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("path"), F.lit("main").alias("stream"), F.encode("text", "UTF-8").alias("content"), F.lit(0o644).alias("mode"), F.lit(0).cast("long").alias("mtime"))
+
+
+def web_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = read(spark, sf_dir, "pages")
+    return p.select(F.lpad(F.col("page_id").cast("string"), 12, "0").alias("path"), F.lit("main").alias("stream"), F.encode("html", "UTF-8").alias("content"), F.lit(0o644).alias("mode"), F.lit(0).cast("long").alias("mtime"))
+
+
+def next_version(files: DataFrame) -> DataFrame:
+    """The documents after an edit: every file ends in a line more."""
+    return files.withColumn("content", F.concat("content", F.encode(F.lit("\nedited\n"), "UTF-8")))
+
+
+# SQL for blocks of documents, and of the edited version: (doc_id, i, off, len, h).
+DOCS = "SELECT doc_id AS id, encode(text) AS b FROM documents"
+EDITED = "SELECT doc_id AS id, encode(text || chr(10) || 'edited' || chr(10)) AS b FROM documents"
+PAGES = "SELECT page_id AS id, encode(html) AS b FROM pages"
+
+
+def cut_sql(source: str, block: int = BLOCK) -> str:
+    return f"""(SELECT id, i, i * {block} AS off, least({block}, n - i * {block}) AS len, x AS content, sha256(x) AS h FROM
+        (SELECT id, n, i, b[i * {block} + 1 : least((i + 1) * {block}, n)] AS x FROM
+        (SELECT id, b, octet_length(b) AS n, unnest(range(0, (octet_length(b) + {block - 1}) // {block})) AS i FROM ({source}))))"""
+
+
+# --- blocks -------------------------------------------------------------------
+
+
+@register(f"""
+    WITH c AS {cut_sql(DOCS)}
+    SELECT count(*) AS chunks, count(DISTINCT h) AS unique_chunks, CAST(sum(len) AS BIGINT) AS total_bytes,
+           (SELECT CAST(sum(len) AS BIGINT) FROM (SELECT min(len) AS len FROM c GROUP BY h)) AS unique_bytes FROM c
+""")
+def block_dedup_stats(spark, sf_dir):
+    return chunking.stream_stats(chunking.fixed_blocks(documents(spark, sf_dir), BLOCK))
+
+
+@register(f"SELECT lpad(CAST(id AS VARCHAR), 12, '0') AS path, CAST(i AS INT) AS seq, CAST(off AS BIGINT) AS start, CAST(len AS BIGINT) AS len, h AS hash FROM {cut_sql(DOCS)}")
+def fixed_blocks(spark, sf_dir):
+    b = chunking.fixed_blocks(documents(spark, sf_dir), BLOCK)
+    return b.select("path", "seq", "start", F.octet_length("content").cast("long").alias("len"), C.hash_expr(F.col("content")).alias("hash"))
+
+
+@register(f"""
+    WITH c AS {cut_sql(DOCS)}
+    SELECT h AS hash, count(*) AS refs, arg_min(lpad(CAST(id AS VARCHAR), 12, '0'), id * 1000000 + i) AS path, CAST(arg_min(i, id * 1000000 + i) AS INT) AS seq FROM c GROUP BY h
+""")
+def first_wins_dedup(spark, sf_dir):
+    b = chunking.fixed_blocks(documents(spark, sf_dir), BLOCK).select("path", "seq", C.hash_expr(F.col("content")).alias("hash"))
+    g = b.groupBy("hash").agg(F.count(F.lit(1)).alias("refs"), F.min(F.struct("path", "seq")).alias("x"))
+    return g.select("hash", "refs", "x.path", "x.seq")
+
+
+@register(f"""
+    SELECT lpad(CAST(id AS VARCHAR), 12, '0') AS path, CAST(octet_length(b) AS BIGINT) AS size,
+           CAST(coalesce(sum(octet_length(b)) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM ({DOCS})
+""")
+def file_offsets(spark, sf_dir):
+    return archive.file_offsets(documents(spark, sf_dir)).select("path", "size", "offset")
+
+
+@register(f"""
+    WITH c AS {cut_sql(DOCS)}, f AS (SELECT h, min(id * 1000000 + i) AS place, min(len) AS len FROM c GROUP BY h)
+    SELECT h AS hash, CAST(len AS BIGINT) AS stored, CAST(coalesce(sum(len) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS physical FROM f
+""")
+def physical_offsets(spark, sf_dir):
+    b = chunking.fixed_blocks(documents(spark, sf_dir), BLOCK).select("path", "seq", C.hash_expr(F.col("content")).alias("hash"), F.octet_length("content").cast("long").alias("stored"))
+    first = b.groupBy("hash").agg(F.min(F.struct("path", "seq", "stored")).alias("x")).select("hash", "x.*")
+    return running_sums(first, ["path", "seq"], {"physical": F.col("stored")}).select("hash", "stored", "physical")
+
+
+@register(f"""
+    WITH c AS (SELECT *, row_number() OVER (ORDER BY id, i) - 1 AS k, coalesce(sum(len) OVER (ORDER BY id, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM {cut_sql(DOCS)})
+    SELECT lpad(CAST(id AS VARCHAR), 12, '0') AS path, CAST(i // 8 AS BIGINT) AS page_in_file, CAST(min(k) AS BIGINT) AS start_block, CAST(min(place) AS BIGINT) AS start_logical, count(*) AS n_blocks FROM c GROUP BY id, i // 8
+""")
+def index_pages(spark, sf_dir):
+    a = archive.pack(documents(spark, sf_dir), archive.PackConfig(block=BLOCK, page_blocks=8))
+    return archive.pages(a.blocks).select("path", "page_in_file", "start_block", "start_logical", "n_blocks")
+
+
+@register("""
+    SELECT lpad(CAST(doc_id AS VARCHAR), 12, '0') AS path, CAST(octet_length(encode(text)) AS BIGINT) AS size, lang || '/' || source AS folder FROM documents
+""")
+def manifest(spark, sf_dir):
+    d = read(spark, sf_dir, "documents")
+    return d.select(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("path"), F.octet_length(F.encode("text", "UTF-8")).cast("long").alias("size"), F.concat_ws("/", "lang", "source").alias("folder"))
+
+
+@register("SELECT lang, source, count(*) AS files, CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes FROM documents GROUP BY lang, source")
+def directory_totals(spark, sf_dir):
+    d = read(spark, sf_dir, "documents")
+    return d.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("files"), F.sum(F.octet_length(F.encode("text", "UTF-8")).cast("long")).alias("bytes"))
+
+
+# --- archives -----------------------------------------------------------------
+
+
+@register(f"""
+    WITH c AS {cut_sql(DOCS)}, u AS (SELECT h, count(*) AS n, min(len) AS len FROM c GROUP BY h)
+    SELECT count(*) AS total_blocks, count(*) AS data_blocks, CAST(0 AS BIGINT) AS zero_blocks, CAST(0 AS BIGINT) AS parent_blocks, count(DISTINCT h) AS unique_blocks,
+           CAST(sum(len) AS BIGINT) AS logical_bytes, (SELECT CAST(sum((n - 1) * len) AS BIGINT) FROM u) AS duplicate_bytes, CAST(sum(len) AS BIGINT) AS stored_bytes_by_reference,
+           CAST(min(len) AS BIGINT) AS min_block, CAST(max(len) AS BIGINT) AS max_block, CAST(sum(len) // count(*) AS BIGINT) AS avg_block FROM c
+""")
+def inspect_archive(spark, sf_dir):
+    return analysis.inspect(archive.pack(documents(spark, sf_dir), archive.PackConfig(block=BLOCK)).blocks)
+
+
+@register(f"""
+    WITH c AS {cut_sql("SELECT doc_id AS id, encode(text || repeat(chr(0), 1500)) AS b FROM documents")},
+    k AS (SELECT *, lower(hex(content)) = repeat('0', CAST(2 * len AS INT)) AS zero FROM c)
+    SELECT CASE WHEN zero THEN 'zero' ELSE 'data' END AS kind, count(*) AS blocks, CAST(sum(len) AS BIGINT) AS bytes FROM k GROUP BY 1
+""")
+def zero_blocks(spark, sf_dir):
+    padded = documents(spark, sf_dir).withColumn("content", F.concat("content", F.unhex(F.repeat(F.lit("00"), 1500))))
+    b = archive.pack(padded, archive.PackConfig(block=BLOCK)).blocks
+    return b.groupBy("kind").agg(F.count(F.lit(1)).alias("blocks"), F.sum("logical_len").alias("bytes"))
+
+
+@register(f"""
+    WITH a AS (SELECT h, min(len) AS len FROM {cut_sql(DOCS)} GROUP BY h), b AS (SELECT h, min(len) AS len FROM {cut_sql(EDITED)} GROUP BY h)
+    SELECT CASE WHEN a.h IS NULL THEN 'new' WHEN b.h IS NULL THEN 'removed' ELSE 'shared' END AS state, count(*) AS blocks, CAST(sum(coalesce(b.len, a.len)) AS BIGINT) AS bytes
+    FROM a FULL JOIN b ON a.h = b.h GROUP BY 1
+""")
+def diff_versions(spark, sf_dir):
+    files = documents(spark, sf_dir)
+    one, two = archive.pack(files, archive.PackConfig("one", BLOCK)), archive.pack(next_version(files), archive.PackConfig("two", BLOCK))
+    return analysis.diff(one.blocks, two.blocks)
+
+
+@register(f"""
+    WITH b AS {cut_sql(EDITED)}, k AS (SELECT b.*, b.h IN (SELECT h FROM {cut_sql(DOCS)}) AS old FROM b)
+    SELECT CASE WHEN old THEN 'parent' ELSE 'data' END AS kind, count(*) AS blocks, count(DISTINCT h) AS hashes, CAST(sum(len) AS BIGINT) AS bytes FROM k GROUP BY 1
+""")
+def thin_pack(spark, sf_dir):
+    files = documents(spark, sf_dir)
+    base = archive.pack(files, archive.PackConfig("one", BLOCK))
+    b = archive.pack(next_version(files), archive.PackConfig("two", BLOCK, parents=("one",)), base.blocks).blocks
+    return b.groupBy("kind").agg(F.count(F.lit(1)).alias("blocks"), F.count_distinct("hash").alias("hashes"), F.sum("logical_len").alias("bytes"))
+
+
+@register(f"""
+    WITH o AS (SELECT DISTINCT h FROM {cut_sql(DOCS)}), e AS (SELECT DISTINCT h FROM {cut_sql(EDITED)} WHERE h NOT IN (SELECT h FROM o)),
+    t AS {cut_sql(EDITED)}
+    SELECT CASE WHEN h IN (SELECT h FROM e) THEN 'two' ELSE 'one' END AS owner, count(*) AS blocks, CAST(sum(len) AS BIGINT) AS bytes FROM t GROUP BY 1
+""")
+def parent_chain(spark, sf_dir):
+    """Three versions, each on the one before: the third one's blocks lead to the first two."""
+    files = documents(spark, sf_dir)
+    one = archive.pack(files, archive.PackConfig("one", BLOCK)).blocks
+    two = archive.pack(next_version(files), archive.PackConfig("two", BLOCK), one).blocks
+    three = archive.pack(next_version(files), archive.PackConfig("three", BLOCK), two).blocks
+    parents = spark.createDataFrame([("two", "one", 0), ("three", "two", 0)], "archive_id string, parent_id string, ordinal int")
+    found = archive.resolve(three, one.unionByName(two).unionByName(three), parents)
+    return found.groupBy("owner").agg(F.count(F.lit(1)).alias("blocks"), F.sum("logical_len").alias("bytes"))
+
+
+@register("SELECT doc_id, sha256(substr(x, 1 + CAST(doc_id % 97 AS BIGINT) * 2, 2000)) AS digest FROM (SELECT doc_id, hex(encode(text)) AS x FROM documents)")
+def read_ranges(spark, sf_dir):
+    """From each document the 1000 bytes from byte doc_id mod 97 on, read through the blocks; the digest is over their hex digits."""
+    files = documents(spark, sf_dir)
+    a = archive.pack(files, archive.PackConfig(block=BLOCK))
+    contents = archive.payloads(a)
+    ask = a.files.select(F.col("path").cast("long").alias("request_id"), "stream", "offset", "size")
+    first = F.least(F.pmod("request_id", F.lit(97)), F.col("size"))
+    ask = ask.select("request_id", "stream", (F.col("offset") + first).alias("first"), F.least(F.lit(1000), F.col("size") - first).alias("n"))
+    return archive.read_ranges(ask, contents).select(F.col("request_id").alias("doc_id"), F.sha2(F.hex("bytes"), 256).alias("digest"))
+
+
+@register("SELECT lpad(CAST(doc_id AS VARCHAR), 12, '0') AS path, sha256(encode(text)) AS digest FROM documents WHERE text <> ''")
+def restore_files(spark, sf_dir):
+    """Files put together again from compressed, deduplicated blocks of variable size."""
+    c = archive.PackConfig(params=chunking.ChunkParams(256, 1024, 4096), block=None, compression="zstd")
+    contents = archive.payloads(archive.pack(documents(spark, sf_dir), c))
+    # A file is one value again, as it was in the input.
+    whole = contents.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("seq", "content"))).alias("x"))
+    return whole.select("path", F.sha2(F.aggregate(F.transform("x", lambda e: e["content"]), F.unhex(F.lit("")), lambda a, e: F.concat(a, e)), 256).alias("digest"))
+
+
+@register("SELECT count(DISTINCT sha256(encode(text))) AS stored, CAST(0 AS BIGINT) AS corrupt FROM documents")
+def audit_store(spark, sf_dir):
+    a = archive.pack(documents(spark, sf_dir), archive.PackConfig(block=1 << 26, compression="lz4"))
+    bad = archive.audit(a).agg(F.count(F.lit(1)).alias("corrupt"))
+    return a.store.agg(F.count(F.lit(1)).alias("stored")).join(F.broadcast(bad))
+
+
+@register("SELECT doc_id, TRUE AS restored, CAST(octet_length(encode(text)) + 16 AS BIGINT) AS sealed FROM documents")
+def encrypted_blocks(spark, sf_dir):
+    key = F.lit(bytes(range(32)))
+    d = read(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("b"))
+    sealed = C.encrypt(F.col("b"), key, F.col("doc_id"))
+    return d.select("doc_id", F.col("b"), sealed.alias("s")).select("doc_id", (C.decrypt(F.col("s"), key, F.col("doc_id")) == F.col("b")).alias("restored"), F.octet_length("s").cast("long").alias("sealed"))
+
+
+@register(f"""
+    WITH d AS (SELECT DISTINCT h FROM {cut_sql(DOCS)}), p AS (SELECT DISTINCT h FROM {cut_sql(PAGES)})
+    SELECT 'intersect' AS op, count(*) AS hashes FROM (SELECT h FROM d INTERSECT SELECT h FROM p)
+    UNION ALL SELECT 'except', count(*) FROM (SELECT h FROM d EXCEPT SELECT h FROM p)
+    UNION ALL SELECT 'union', count(*) FROM (SELECT h FROM d UNION SELECT h FROM p)
+""")
+def hash_sets(spark, sf_dir):
+    hashes = lambda files: chunking.fixed_blocks(files, BLOCK).select(C.hash_expr(F.col("content")).alias("h")).distinct()
+    d, p = hashes(documents(spark, sf_dir)), hashes(web_pages(spark, sf_dir))
+    n = lambda df, op: df.agg(F.count(F.lit(1)).alias("hashes")).select(F.lit(op).alias("op"), "hashes")
+    return n(d.intersect(p), "intersect").union(n(d.subtract(p), "except")).union(n(d.union(p).distinct(), "union"))
+
+
+# --- codecs, transforms and content-defined blocks --------------------------------
+
+
+@register("SELECT doc_id, TRUE AS lz4, TRUE AS zstd, TRUE AS shuffled FROM documents")
+def codec_round_trip(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("b"))
+    packed = d.select("doc_id", "b", codecs.compress("lz4")("b").alias("l"), codecs.compress("zstd")("b").alias("z"), codecs.byte_shuffle(4)("b").alias("s"))
+    return packed.select("doc_id", (codecs.decompress("lz4")("l") == F.col("b")).alias("lz4"), (codecs.decompress("zstd")("z") == F.col("b")).alias("zstd"), (codecs.byte_unshuffle(4)("s") == F.col("b")).alias("shuffled"))
+
+
+@register("""
+    WITH x AS (SELECT doc_id, hex(encode(text)) AS h FROM documents), b AS (SELECT doc_id, h[2 * i + 1 : 2 * i + 2] AS v FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2)) AS i FROM x)),
+    c AS (SELECT doc_id, v, count(*) AS n FROM b GROUP BY doc_id, v), t AS (SELECT doc_id, sum(n) AS t FROM c GROUP BY doc_id)
+    SELECT doc_id, round(-sum(n / t.t * log2(n / t.t)), 5) AS entropy FROM c JOIN t USING (doc_id) GROUP BY doc_id
+""")
+def entropy(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").where("text <> ''")
+    return d.select("doc_id", F.round(codecs.entropy(F.encode("text", "UTF-8")), 5).alias("entropy"))
+
+
+@register("SELECT CAST(sum(octet_length(encode(text))) AS BIGINT) AS total_bytes, TRUE AS bounded FROM documents")
+def content_defined_blocks(spark, sf_dir):
+    p = chunking.ChunkParams(256, 1024, 4096)
+    b = chunking.content_blocks(documents(spark, sf_dir), p)
     n = F.octet_length("content")
-    cuts = docs.where(n > 0).select("content", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / 512).cast("int"))).alias("i"))
-    blocks = cuts.select(F.expr("substring(content, i * 512 + 1, 512)").alias("block"))
-    per_hash = blocks.select(F.sha2("block", 256).alias("h"), F.octet_length("block").cast("long").alias("len")).groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("len").alias("len"), F.sum("len").alias("all"))
-    return per_hash.agg(F.sum("n").alias("blocks"), F.count(F.lit(1)).alias("unique_blocks"), F.sum("all").alias("total_bytes"), F.sum("len").alias("unique_bytes"))
+    last = b.groupBy("path").agg(F.sum(n.cast("long")).alias("n"), F.sum((n < p.least).cast("int")).alias("short"), F.max(n).alias("most"))
+    return last.agg(F.sum("n").alias("total_bytes"), ((F.max("short") <= 1) & (F.max("most") <= p.most)).alias("bounded"))
+
+
+@register()
+def content_dedup_stats(spark, sf_dir):
+    return chunking.stream_stats(chunking.content_blocks(documents(spark, sf_dir), chunking.ChunkParams(256, 1024, 4096)))
+
+
+@register()
+def predict_savings(spark, sf_dir):
+    return analysis.predict(documents(spark, sf_dir), BLOCK, chunking.ChunkParams(256, 1024, 4096))
+
+
+GRID = "SELECT CAST(f AS DOUBLE) AS f, greatest(1024.0, floor(pow(2, f) / 4)) AS m, least(1048576.0, pow(2, f) * 8) AS z FROM range(10, 19) t(f)"
+LENGTH = "(m + (1 - pow(2, -f)) / pow(2, -f) * (1 - pow(1 - pow(2, -f), z - m)))"
+
+
+@register(f"SELECT CAST(f AS INT) AS f, round({LENGTH}, 4) AS mean_length FROM ({GRID})")
+def chunk_length_model(spark, sf_dir):
+    g = spark.range(10, 19).select(F.col("id").cast("double").alias("f"))
+    g = g.select("f", F.greatest(F.lit(1024.0), F.floor(F.pow(F.lit(2.0), "f") / 4).cast("double")).alias("m"), F.least(F.lit(1048576.0), F.pow(F.lit(2.0), "f") * 8).alias("z"))
+    return g.select(F.col("f").cast("int").alias("f"), F.round(C.expected_length(F.col("f"), F.col("m"), F.col("z")), 4).alias("mean_length"))
+
+
+@register(f"""
+    WITH t AS (SELECT lang AS name, CAST(sum(octet_length(encode(text))) AS DOUBLE) AS total, CAST(count(DISTINCT text) * 1000 AS DOUBLE) AS uniq FROM documents GROUP BY lang),
+    c AS (SELECT name, total, CASE WHEN uniq >= total THEN 1.0 ELSE least(1.0, uniq / (total * (2048 + (1 - pow(2, -13)) / pow(2, -13) * (1 - pow(1 - pow(2, -13), 63488))))) END AS c FROM t),
+    g AS ({GRID}), x AS (SELECT name, total, c, f, m, z, pow(2, -f) AS p, {LENGTH} AS l FROM c, g),
+    y AS (SELECT *, (1 - p) * (1 - c) AS r, z - m AS n FROM x),
+    d AS (SELECT *, pow(1 - c, m + 48) * p * (m * (1 - pow(r, n)) / (1 - r) + r * (1 - n * pow(r, n - 1) + (n - 1) * pow(r, n)) / pow(1 - r, 2)) + pow(1 - p, n) * z * pow(1 - c, z + 48) AS dup FROM y),
+    s AS (SELECT *, total - (total * dup / l - 52 * (total / l + 1)) AS kept, 52 * (total / l + 1) AS over FROM d),
+    e AS (SELECT name, f, CASE WHEN kept < 0 THEN (total + over) / total ELSE kept / total END AS ratio FROM s)
+    SELECT name, CAST(arg_min(f, ratio) AS INT) AS f, round(min(ratio), 6) AS ratio FROM e GROUP BY name
+""")
+def optimal_parameters(spark, sf_dir):
+    d = read(spark, sf_dir, "documents")
+    totals = d.groupBy(F.col("lang").alias("name")).agg(F.sum(F.octet_length(F.encode("text", "UTF-8"))).cast("double").alias("total"), (F.count_distinct("text") * 1000).cast("double").alias("unique"))
+    return analysis.optimize_params(spark, totals).select("name", "f", F.round("ratio", 6).alias("ratio"))
+
+
+# --- requests, sizes and places -----------------------------------------------------
+
+HEADERS = [("a", None, 100), ("b", "bytes=0-9", 100), ("c", "bytes=50-", 100), ("d", "bytes=99-99", 100), ("e", "bytes=100-", 100), ("f", "bytes=9-5", 100), ("g", "bytes=-5", 100), ("h", "bytes=x-1", 100), ("i", "bytes=0-99,1-2", 100), ("j", None, 0), ("k", None, 100_000_000), ("l", "bytes=5-99999998", 100_000_000)]
+
+
+@register("""
+    SELECT * FROM (VALUES ('a', 206, 0, 99), ('b', 206, 0, 9), ('c', 206, 50, 99), ('d', 206, 99, 99), ('e', 416, NULL, NULL), ('f', 416, NULL, NULL), ('g', 416, NULL, NULL), ('h', 416, NULL, NULL),
+    ('i', 416, NULL, NULL), ('j', 416, NULL, NULL), ('k', 206, 0, 33554431), ('l', 206, 5, 33554436)) t(id, status, first, last)
+""")
+def http_ranges(spark, sf_dir):
+    df = spark.createDataFrame(HEADERS, "id string, header string, size long")
+    x = df.select("id", C.http_plan(F.col("header"), F.col("size")).alias("x"))
+    return x.select("id", "x.status", F.col("x.first").cast("int").alias("first"), F.col("x.last").cast("int").alias("last"))
+
+
+@register("SELECT * FROM (VALUES ('64K', 65536), ('1.5MB', 1572864), ('2g', 2147483648), ('10', 10), ('1T', 1099511627776), ('x', NULL), ('', NULL), ('5 kb', 5120)) t(text, size)")
+def parse_sizes(spark, sf_dir):
+    df = spark.createDataFrame([(x,) for x in ("64K", "1.5MB", "2g", "10", "1T", "x", "", "5 kb")], "text string")
+    return df.select("text", C.parse_size(F.col("text")).alias("size"))
+
+
+@register("SELECT * FROM (VALUES ('s3://b', 'b', ''), ('s3://b/', 'b', ''), ('s3://b/p/q', 'b', 'p/q/'), ('s3://b/p//', 'b', 'p/'), ('s3:///p', NULL, NULL), ('http://b/p', NULL, NULL)) t(url, bucket, prefix)")
+def parse_locations(spark, sf_dir):
+    df = spark.createDataFrame([(x,) for x in ("s3://b", "s3://b/", "s3://b/p/q", "s3://b/p//", "s3:///p", "http://b/p")], "url string")
+    x = df.select("url", C.parse_s3_url(F.col("url")).alias("x"))
+    return x.select("url", "x.bucket", "x.prefix")
+
+
+@register("SELECT user_id, count(*) AS entries, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY user_id")
+def metadata_totals(spark, sf_dir):
+    """Sums over JSON documents."""
+    e = read(spark, sf_dir, "events").select("user_id", F.from_json("props", "struct<k: bigint>").alias("x"))
+    return e.groupBy("user_id").agg(F.count(F.lit(1)).alias("entries"), F.sum("x.k").alias("total"))
+
+
+# --- lineage --------------------------------------------------------------------
+
+# Regions, nations and customers as archives that build on each other.
+CHAIN_SQL = """(SELECT 'c' || c_custkey AS archive_id, 'n' || c_nationkey AS parent_id FROM customer UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION ALL SELECT 'r' || r_regionkey, NULL FROM region)"""
+
+
+def chain(spark, sf_dir):
+    c = read(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("archive_id"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("parent_id"))
+    n = read(spark, sf_dir, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")))
+    r = read(spark, sf_dir, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")), F.lit(None).cast("string"))
+    return c.union(n).union(r)
+
+
+@register(f"""
+    WITH RECURSIVE a AS {CHAIN_SQL}, t AS (SELECT archive_id, 0 AS depth, archive_id AS path FROM a WHERE parent_id IS NULL
+    UNION ALL SELECT a.archive_id, t.depth + 1, t.path || '/' || a.archive_id FROM t JOIN a ON a.parent_id = t.archive_id) SELECT * FROM t
+""")
+def archive_log(spark, sf_dir):
+    return analysis.lineage(spark, chain(spark, sf_dir))
+
+
+@register(f"""
+    WITH RECURSIVE a AS {CHAIN_SQL}, t AS (SELECT archive_id, 0 AS depth FROM a WHERE archive_id LIKE 'c%' UNION ALL SELECT a.parent_id, t.depth + 1 FROM t JOIN a ON a.archive_id = t.archive_id WHERE a.parent_id IS NOT NULL),
+    n AS (SELECT archive_id, max(depth) AS depth FROM t GROUP BY 1)
+    SELECT archive_id, CAST(row_number() OVER (ORDER BY depth DESC, archive_id) AS INT) AS step FROM n WHERE archive_id NOT LIKE 'r%'
+""")
+def push_plan(spark, sf_dir):
+    a = cut(chain(spark, sf_dir))
+    return analysis.copy_plan(spark, a, a.where("archive_id like 'c%'"), a.where("archive_id like 'r%'"))
+
+
+# --- trees -----------------------------------------------------------------------
+
+FILES_SQL = "(SELECT regexp_replace(url, '^[a-z]+://', '') AS path, CAST(max(octet_length(encode(html))) AS BIGINT) AS size FROM pages GROUP BY 1)"
+TREE_SQL = f"""
+    f AS {FILES_SQL}, p AS (SELECT string_split(path, '/') AS p FROM f), d AS (SELECT DISTINCT array_to_string(p[1:i], '/') AS path FROM (SELECT p, unnest(range(0, len(p))) AS i FROM p)),
+    tree AS (SELECT path, 'dir' AS kind, CAST(4096 AS BIGINT) AS size FROM d UNION ALL SELECT path, 'file', size FROM f WHERE path NOT IN (SELECT path FROM d))
+"""
+
+
+def page_tree(spark, sf_dir):
+    p = read(spark, sf_dir, "pages")
+    return cut(tree.nodes(p.select(F.regexp_replace("url", "^[a-z]+://", "").alias("path"), F.octet_length(F.encode("html", "UTF-8")).alias("size"))))
+
+
+@register(f"""
+    WITH {TREE_SQL} SELECT path, kind, size, CASE WHEN strpos(path, '/') > 0 THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END AS parent, string_split(path, '/')[-1] AS name,
+    CASE kind WHEN 'dir' THEN 493 ELSE 420 END AS mode, CAST(ceil(size / 512.0) AS BIGINT) AS blocks FROM tree
+""")
+def tree_attributes(spark, sf_dir):
+    return tree.attributes(page_tree(spark, sf_dir))
+
+
+@register(f"""
+    WITH {TREE_SQL}, c AS (SELECT CASE WHEN strpos(path, '/') > 0 THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END AS parent, string_split(path, '/')[-1] AS name FROM tree WHERE path <> '')
+    SELECT parent, string_agg(name, chr(10) ORDER BY name) AS names FROM c GROUP BY parent
+""")
+def directory_listings(spark, sf_dir):
+    return tree.children(page_tree(spark, sf_dir)).select("parent", F.array_join("names", "\n").alias("names"))
+
+
+# Changes over the tree: pages with a table or a form are put anew, those with none of the two but a list are removed, and each gets a note.
+OVERLAY_SQL = f"""
+    o AS (SELECT path, max(op) AS op, max(size) AS size FROM (SELECT regexp_replace(url, '^[a-z]+://', '') AS path, CASE WHEN html LIKE '%<table%' OR html LIKE '%<img%' THEN 'put' ELSE 'whiteout' END AS op, CAST(1 AS BIGINT) AS size FROM pages) GROUP BY path
+    UNION ALL SELECT DISTINCT regexp_replace(url, '^[a-z]+://', '') || '.note', 'put', CAST(7 AS BIGINT) FROM pages)
+"""
+
+
+def page_overlay(spark, sf_dir):
+    p = read(spark, sf_dir, "pages").select(F.regexp_replace("url", "^[a-z]+://", "").alias("path"), F.when(F.col("html").contains("<table") | F.col("html").contains("<img"), "put").otherwise("whiteout").alias("op"))
+    own = p.groupBy("path").agg(F.max("op").alias("op")).withColumn("size", F.lit(1).cast("long"))
+    return cut(own.union(p.select(F.concat("path", F.lit(".note")), F.lit("put"), F.lit(7).cast("long")).distinct()))
+
+
+@register(f"""
+    WITH {TREE_SQL}, {OVERLAY_SQL}, w AS (SELECT path FROM o WHERE op = 'whiteout'), u AS (SELECT path, unnest(range(1, len(string_split(path, '/')) + 1)) AS i FROM tree),
+    gone AS (SELECT DISTINCT path FROM u WHERE array_to_string(string_split(path, '/')[1:i], '/') IN (SELECT path FROM w))
+    SELECT * FROM tree WHERE path NOT IN (SELECT path FROM gone) AND path NOT IN (SELECT path FROM o WHERE op <> 'whiteout') UNION ALL SELECT path, 'file', size FROM o WHERE op <> 'whiteout'
+""")
+def merged_tree(spark, sf_dir):
+    return tree.merged(page_tree(spark, sf_dir), page_overlay(spark, sf_dir))
+
+
+@register(f"""
+    WITH {TREE_SQL}, {OVERLAY_SQL} SELECT path, state FROM (SELECT o.path, CASE WHEN op = 'whiteout' AND t.kind IS NOT NULL THEN 'deleted' WHEN op <> 'whiteout' AND t.kind IS NULL THEN 'added'
+    WHEN op <> 'whiteout' AND t.kind = 'file' THEN 'modified' END AS state FROM o LEFT JOIN tree t ON t.path = o.path) WHERE state IS NOT NULL
+""")
+def workspace_status(spark, sf_dir):
+    return tree.status(page_tree(spark, sf_dir), page_overlay(spark, sf_dir))
+
+
+# --- streaming ------------------------------------------------------------------
+
+
+@register("SELECT sha256(props) AS hash, CAST(octet_length(encode(props)) AS BIGINT) AS n FROM (SELECT DISTINCT props FROM events)")
+def streamed_blocks(spark, sf_dir):
+    """Blocks that streaming ingestion keeps of the events' properties."""
+    from uuid import uuid4
+
+    cut(spark.range(1))  # the shared folder is known from here on
+    root = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/ingest-{uuid4().hex}"
+    schema = read(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir) if not is_folder(spark, f"{sf_dir}/events.parquet") else spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet")
+    ingest.ingest(stream.select(F.encode("props", "UTF-8").alias("content")), f"{root}/store", f"{root}/checkpoint")
+    return spark.read.option("basePath", f"{root}/store").parquet(f"{root}/store/batch=*").select("hash", F.octet_length("content").cast("long").alias("n"))
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
