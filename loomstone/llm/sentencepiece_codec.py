@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import os
 import pickle
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,7 +35,7 @@ MARK = "▁"
 TOKENIZERS = "/opt/tokenizers"
 DEFAULT_MODEL = "piece_bpe_32k.model"
 #: Distinct words of a stretch of texts; when there are more, a new stretch begins.
-STRETCH_BYTES = 1 << 25
+STRETCH_BYTES = 12 << 20
 
 
 # --- the model file ---------------------------------------------------------
@@ -204,9 +205,9 @@ class Codec:
             same += 1
         return same
 
-    def encode_bpe(self, words: list[str]) -> list[list[int]]:
+    def encode_bpe(self, words: list[str]):
         """Ids of each word of a sorted list: for each position the one piece that can end there."""
-        out, last = [], ""
+        last = ""
         ids, starts = [-1], [0]  # by position: the last piece's id (-1: a character that is no piece), and where it starts
         ends, follows = self.ends.get, self.follows
         for word in words:
@@ -242,8 +243,7 @@ class Codec:
                     self._missing(got, word[end - 1])
                 end = starts[end]
             got.reverse()
-            out.append(got)
-        return out
+            yield got
 
     def _missing(self, got: list[int], char: str) -> None:
         """Ids, last first, of a character that is no piece."""
@@ -252,9 +252,9 @@ class Codec:
         elif not (got and got[-1] == self.unknown):
             got.append(self.unknown)
 
-    def encode_unigram(self, words: list[str]) -> list[list[int]]:
+    def encode_unigram(self, words: list[str]):
         """Ids of each word of a sorted list: for each position the best sum of scores up to it."""
-        out, last = [], ""
+        last = ""
         path = [(0.0, 0, -1)]  # by position: score, where the last piece starts, its id (-1: a character that is no piece)
         for word in words:
             same = self._prefix(last, word)
@@ -279,10 +279,9 @@ class Codec:
                     self._missing(got, word[start:end])
                 end = start
             got.reverse()
-            out.append(got)
-        return out
+            yield got
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
+    def encode_words(self, words: list[str]):
         """Ids of each word; positions of a prefix that sorted neighbours share are searched once."""
         return self.encode_bpe(words) if self.v.kind == BPE else self.encode_unigram(words)
 
@@ -317,14 +316,20 @@ class Codec:
             counts.append(len(w))
             where += [known.setdefault(x, len(known)) for x in w]
         order = sorted(known)
-        ids = self.encode_words(order)
         at = np.array([known[x] for x in order], np.int64)
-        size = np.zeros(len(order), np.int64)
-        size[at] = [len(x) for x in ids]
-        by_number = np.argsort(at)
-        flat = np.fromiter((i for k in by_number for i in ids[k]), np.int32, int(size.sum()))
-        begin = np.concatenate(([0], np.cumsum(size)))
-        return ragged(flat, begin[:-1], size, np.array(where, np.int64)), np.concatenate(([0], np.cumsum(_sums(size, where, counts))))
+        del known
+        flat, sizes = array("i"), array("i")
+        for ids in self.encode_words(order):
+            flat.extend(ids)
+            sizes.append(len(ids))
+        del order
+        # words are numbered as they come, but were encoded in order
+        size, begin = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        size[at] = np.frombuffer(sizes, np.int32) if len(at) else 0
+        begin[at] = np.concatenate(([0], np.cumsum(size[at])))[:-1]
+        rows = np.array(where, np.int64)
+        del where
+        return ragged(np.frombuffer(flat, np.int32) if flat else np.zeros(0, np.int32), begin, size, rows), np.concatenate(([0], np.cumsum(_sums(size, rows, counts))))
 
     def decode(self, ids: np.ndarray, begins: np.ndarray) -> list[bytes]:
         """UTF-8 of each text (bytes that are no UTF-8 stay as they are)."""
@@ -337,8 +342,8 @@ class Codec:
         return out
 
 
-def _sums(size: np.ndarray, where: list, counts: list) -> np.ndarray:
-    total = np.concatenate(([0], np.cumsum(size[np.array(where, np.int64)])))
+def _sums(size: np.ndarray, rows: np.ndarray, counts: list) -> np.ndarray:
+    total = np.concatenate(([0], np.cumsum(size[rows])))
     return np.diff(total[np.concatenate(([0], np.cumsum(counts))).astype(np.int64)])
 
 
@@ -371,6 +376,7 @@ def _encode(sent):
             texts = as_bytes(batch.column("text"))
             for first, last in pieces(texts, STRETCH_BYTES):
                 ids, begins = codec.encode([t.decode("utf-8", "replace") for t in texts[first:last]])
+                texts[first:last] = [b""] * (last - first)
                 own = batch.slice(first, last - first)
                 at = own.schema.get_field_index("text")
                 columns = [c for i, c in enumerate(own.columns) if i != at]
@@ -387,14 +393,12 @@ def _decode(sent):
             lists = batch.column("ids")
             lists = lists.fill_null([]) if lists.null_count else lists
             sizes = np.diff(lists.offsets.to_numpy())
-            done = 0
-            for first, last in pieces([range(4 * n) for n in sizes], STRETCH_BYTES) if len(sizes) else ():
+            for first, last in pieces([range(4 * n) for n in sizes], STRETCH_BYTES // 3) if len(sizes) else ():
                 begins = np.concatenate(([0], np.cumsum(sizes[first:last])))
                 ids = lists.slice(first, last - first).flatten().to_numpy()
                 texts = codec.decode(ids, begins)
                 own = batch.slice(first, last - first)
                 yield pa.RecordBatch.from_arrays([*own.columns, pa.array([t.decode("utf-8", "replace") for t in texts], pa.string())], [*own.schema.names, "decoded"])
-                done = last
 
     return run
 
