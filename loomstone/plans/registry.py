@@ -239,6 +239,55 @@ def hash_sets(spark, sf_dir):
     return n(d.intersect(p), "intersect").union(n(d.subtract(p), "except")).union(n(d.union(p).distinct(), "union"))
 
 
+@register(f"SELECT doc_id, CAST((octet_length(encode(text)) // 2) // {BLOCK} AS INT) AS seq, CAST((octet_length(encode(text)) // 2) % {BLOCK} AS BIGINT) AS skip FROM documents WHERE text <> ''")
+def block_lookup(spark, sf_dir):
+    """The block that holds the middle byte of each document."""
+    a = archive.pack(documents(spark, sf_dir), archive.PackConfig(block=BLOCK))
+    middle = F.col("offset") + F.floor(F.col("size") / 2)
+    ask = a.files.where("size > 0").select(F.col("path").cast("long").alias("request_id"), "stream", middle.alias("first"), F.lit(1).alias("n"))
+    return archive.overlaps(ask, a.blocks).select(F.col("request_id").alias("doc_id"), "seq", "skip")
+
+
+@register(f"""
+    WITH c AS {cut_sql(DOCS)}, f AS (SELECT id AS doc_id, h FROM c WHERE i = 0), n AS (SELECT h, count(*) AS places FROM c GROUP BY h) SELECT doc_id, places FROM f JOIN n USING (h)
+""")
+def blocks_by_hash(spark, sf_dir):
+    """In how many places the first block of each document is."""
+    b = archive.pack(documents(spark, sf_dir), archive.PackConfig(block=BLOCK)).blocks
+    wanted = b.where("seq = 0").select(F.col("path").cast("long").alias("doc_id"), "hash")
+    return wanted.join(b.groupBy("hash").agg(F.count(F.lit(1)).alias("places")), "hash").select("doc_id", "places")
+
+
+@register("""
+    SELECT (SELECT CAST(sum(octet_length(encode(text))) AS BIGINT) FROM documents) AS main_size, (SELECT CAST(sum(octet_length(encode(text))) AS BIGINT) FROM conversations) AS aux_size
+""")
+def stream_sizes(spark, sf_dir):
+    """Documents in stream main and conversations in stream aux of one archive."""
+    c = read(spark, sf_dir, "conversations")
+    aux = c.select(F.concat_ws("/", F.lit("chat"), F.lpad(F.col("conv_id").cast("string"), 12, "0"), F.lpad(F.col("turn").cast("string"), 6, "0")).alias("path"), F.lit("aux").alias("stream"), F.encode("text", "UTF-8").alias("content"), F.lit(0o644).alias("mode"), F.lit(0).cast("long").alias("mtime"))
+    a = archive.pack(documents(spark, sf_dir).unionByName(aux), archive.PackConfig(block=BLOCK))
+    end = a.blocks.groupBy("stream").agg(F.max(F.col("logical_start") + F.col("logical_len")).alias("n"))
+    return end.agg(F.max(F.when(F.col("stream") == "main", F.col("n"))).alias("main_size"), F.max(F.when(F.col("stream") == "aux", F.col("n"))).alias("aux_size"))
+
+
+@register("SELECT lpad(CAST(doc_id AS VARCHAR), 12, '0') AS path, sha256(encode(text)) AS digest FROM documents WHERE text <> ''")
+def restore_encrypted(spark, sf_dir):
+    """Files of an encrypted and compressed archive."""
+    a = archive.pack(documents(spark, sf_dir), archive.PackConfig(block=1 << 16, compression="lz4", key=bytes(range(32))))
+    whole = archive.payloads(a).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("seq", "content"))).alias("x"))
+    return whole.select("path", F.sha2(F.aggregate(F.transform("x", lambda e: e["content"]), F.unhex(F.lit("")), lambda b, e: F.concat(b, e)), 256).alias("digest"))
+
+
+@register("SELECT lang AS archive_id, count(*) AS tensors, CAST(sum(n_chars) AS BIGINT) AS bytes FROM documents WHERE source IN (SELECT max(source) FROM documents UNION ALL SELECT min(source) FROM documents) GROUP BY lang")
+def delta_tensors(spark, sf_dir):
+    """Documents of the first and last source as tensors stored as differences, all others as whole ones."""
+    d = read(spark, sf_dir, "documents")
+    ends = d.agg(F.min("source").alias("a"), F.max("source").alias("b"))
+    kind = F.when((F.col("source") == F.col("a")) | (F.col("source") == F.col("b")), "xor_delta").otherwise("full")
+    entry = F.map_from_arrays(F.array(F.col("doc_id").cast("string")), F.array(F.struct(kind.alias("storage"), F.col("n_chars").alias("base_length"))))
+    return analysis.delta_tensors(d.join(F.broadcast(ends)).select(F.col("lang").alias("archive_id"), F.to_json(F.struct(entry.alias("tensors"))).alias("metadata_json")))
+
+
 # --- codecs, transforms and content-defined blocks --------------------------------
 
 
@@ -249,6 +298,16 @@ def codec_round_trip(spark, sf_dir):
     return packed.select("doc_id", (codecs.decompress("lz4")("l") == F.col("b")).alias("lz4"), (codecs.decompress("zstd")("z") == F.col("b")).alias("zstd"), (codecs.byte_unshuffle(4)("s") == F.col("b")).alias("shuffled"))
 
 
+@register("SELECT doc_id, TRUE AS restored FROM documents")
+def dictionary_round_trip(spark, sf_dir):
+    """Zstandard with a dictionary trained on at most 2000 blocks, those with the least hashes."""
+    d = read(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("b"))
+    samples = [bytes(r[0]) for r in d.orderBy(F.xxhash64("b"), "doc_id").select("b").limit(2000).collect()]
+    given = codecs.train_dictionary(samples, 16 << 10)
+    packed = d.select("doc_id", "b", codecs.compress("zstd", 3, given)("b").alias("z"))
+    return packed.select("doc_id", (codecs.decompress("zstd", 3, given)("z") == F.col("b")).alias("restored"))
+
+
 @register("""
     WITH x AS (SELECT doc_id, hex(encode(text)) AS h FROM documents), b AS (SELECT doc_id, h[2 * i + 1 : 2 * i + 2] AS v FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2)) AS i FROM x)),
     c AS (SELECT doc_id, v, count(*) AS n FROM b GROUP BY doc_id, v), t AS (SELECT doc_id, sum(n) AS t FROM c GROUP BY doc_id)
@@ -340,6 +399,12 @@ def metadata_totals(spark, sf_dir):
     return e.groupBy("user_id").agg(F.count(F.lit(1)).alias("entries"), F.sum("x.k").alias("total"))
 
 
+@register("SELECT * FROM (VALUES (0, 'too_old'), (1, 'full'), (2, 'too_new')) t(version, status)")
+def format_versions(spark, sf_dir):
+    df = spark.createDataFrame([(0,), (1,), (2,)], "version int")
+    return df.select("version", C.version_status(F.col("version")).alias("status"))
+
+
 # --- lineage --------------------------------------------------------------------
 
 # Regions, nations and customers as archives that build on each other.
@@ -401,6 +466,23 @@ def directory_listings(spark, sf_dir):
     return tree.children(page_tree(spark, sf_dir)).select("parent", F.array_join("names", "\n").alias("names"))
 
 
+@register(f"""
+    WITH {TREE_SQL}, h AS (SELECT min(path) AS old FROM tree WHERE path <> '' AND kind = 'dir')
+    SELECT CASE WHEN path = old OR starts_with(path, old || '/') THEN 'moved' || substr(path, length(old) + 1) ELSE path END AS path, kind, size FROM tree, h
+""")
+def renamed_tree(spark, sf_dir):
+    """The tree with its first folder under another name."""
+    t = page_tree(spark, sf_dir)
+    return tree.rename(t, t.where("path <> '' and kind = 'dir'").agg(F.min("path")).first()[0], "moved")
+
+
+@register("SELECT CAST(user_id AS VARCHAR) AS path, arg_max(event_type, event_id) AS op, CAST(round(arg_max(value, event_id)) AS BIGINT) AS size FROM events GROUP BY user_id")
+def overlay_log(spark, sf_dir):
+    """The last event of each user, as the last change of a path."""
+    e = read(spark, sf_dir, "events")
+    return tree.latest(e.select(F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("path"), F.col("event_type").alias("op"), F.round("value").cast("long").alias("size")))
+
+
 # Changes over the tree: pages with a table or a form are put anew, those with none of the two but a list are removed, and each gets a note.
 OVERLAY_SQL = f"""
     o AS (SELECT path, max(op) AS op, max(size) AS size FROM (SELECT regexp_replace(url, '^[a-z]+://', '') AS path, CASE WHEN html LIKE '%<table%' OR html LIKE '%<img%' THEN 'put' ELSE 'whiteout' END AS op, CAST(1 AS BIGINT) AS size FROM pages) GROUP BY path
