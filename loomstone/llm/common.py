@@ -34,10 +34,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows read from reliable checkpoint files: lineage ends here."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def cut(df: DataFrame, batch_rows: int | None = None) -> DataFrame:
+    """The same rows read from reliable checkpoint files: lineage ends here.
+
+    batch_rows: rows to an Arrow batch meanwhile, for Python code that is given long values.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    before = spark.conf.get(BATCH)
+    if batch_rows:
+        spark.conf.set(BATCH, str(batch_rows))
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(BATCH, before)
 
 
 def scratch(spark: SparkSession, what: str) -> str:
@@ -109,7 +122,7 @@ class WordHasher:
         return (np.stack([found, *(of(np.minimum(start + n, end)) for n in prefixes)]) if prefixes else found), start, end
 
 
-def pieces(texts: list, most: int = 1 << 21):
+def pieces(texts: list, most: int = 1 << 19):
     """Slices (first, last) of a list of byte strings, each of about `most` bytes."""
     first = total = 0
     for i, t in enumerate(texts):

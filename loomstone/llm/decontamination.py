@@ -174,7 +174,7 @@ def _leaks(w: DataFrame, items: DataFrame, k: int, stride: int, threshold: float
 
 def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -> DataFrame:
     """The rows of `docs`, with all their columns, into which no item leaks."""
-    bad = leaks(docs, items, threshold).select(F.col("doc_id").alias("bad_doc_id"), F.col("digest").alias("bad_digest")).distinct()
+    bad = leaks(docs, items, threshold).select(F.col("doc_id").alias("_bad_id"), F.col("digest").alias("_bad_digest")).distinct()
     bad = cut(bad)
     digest = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("bad_doc_id")) & (digest == F.col("bad_digest")), "left_anti")
+    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_bad_id")) & (digest == F.col("_bad_digest")), "left_anti")

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from loomstone.llm.common import WordHasher, as_bytes, cut, joined, mix, pieces
 
-ORDER = 5
+ORDER = 6
 BITS = 9  # of a symbol: 256 bytes, END and PAD
 END, PAD = 256, 257
 SYMBOLS = 257  # that can be predicted
@@ -38,6 +38,8 @@ DISCOUNT = 0.5
 SHARE = 4e-7
 #: Words that make up at least this share of all tokens are at most 1e6; their counts are broadcast.
 WORD_SHARE = 1e-6
+#: Texts to an Arrow batch.
+TEXTS = 2000
 
 
 def grams(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -59,7 +61,7 @@ def grams(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarra
 class Counter:
     """Sums of equal keys, kept sorted; merged whenever much has come."""
 
-    def __init__(self, most: int = 1 << 22):
+    def __init__(self, most: int = 1 << 21):
         self.most, self.size, self.held = most, 0, []
 
     def add(self, keys: np.ndarray) -> None:
@@ -92,7 +94,7 @@ def _count(batches):
     for batch in batches:
         kept = [t for t, x in zip(as_bytes(batch.column("text")), batch.column("train").to_pylist(), strict=True) if x]
         texts += len(kept)
-        for first, last in pieces(kept, 1 << 20):
+        for first, last in pieces(kept):
             grams_.add(grams(kept[first:last])[0])
             words.add(hasher.hashes(joined(kept[first:last])[0])[0])
     for kind, (keys, counts) in ((GRAM, grams_.total()), (WORD, words.total()), (TEXT, (np.zeros(1, np.uint64), np.array([texts])))):
@@ -278,7 +280,7 @@ def _score(sent):
         for batch in batches:
             texts = as_bytes(batch.column("text"))
             scores, tokens, known, base, rare, rare_at = [], [], [], [], [], [0]
-            for first, last in pieces(texts, 1 << 19):
+            for first, last in pieces(texts):
                 keys, begins = grams(texts[first:last])
                 scores.append(np.add.reduceat(model.log10(keys).astype(np.float64), begins[:-1]))
                 buf, starts = joined(texts[first:last])
@@ -318,7 +320,7 @@ def score(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), train_rule().alias("held_out"))
     partial = rows.select("text", (~F.col("held_out")).alias("train")).mapInArrow(_count, COUNTED)
-    counted = cut(partial.groupBy("kind", "key").agg(F.sum("n").alias("n")))
+    counted = cut(partial.groupBy("kind", "key").agg(F.sum("n").alias("n")), TEXTS)
     words = counted.where(F.col("kind") == WORD).select("key", "n")
     n_texts = counted.where(F.col("kind") == TEXT).agg(F.sum("n")).first()[0] or 0
     n_words, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
@@ -330,7 +332,7 @@ def score(docs: DataFrame) -> DataFrame:
     table = Table(keys, counts)
     sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps((model, table, np.log10(table.values[0] + 1.0) - z, -z), protocol=5))
     schema = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>"
-    scored = cut(rows.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "held_out", "text").mapInArrow(_score(sent), schema))
+    scored = cut(rows.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "held_out", "text").mapInArrow(_score(sent), schema), TEXTS)
     loose = scored.select("row", F.explode("rare").alias("key"))
     rest = words.where(F.col("n") < often)
     found = loose.join(rest, "key", "left").groupBy("row").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + 1) - z).alias("more"), F.count("n").alias("also"))

@@ -16,7 +16,8 @@ Only classes of one key that are then still in different components are
 held against each other. Where a key has many of those, its classes are compared by
 their rarest shingles instead: sets as similar as asked share one of their first
 shingles in any fixed order, at places that leave room for the overlap needed.
-Every link counts only once confirmed on the full shingle sets.
+Candidates are dropped unread only where counts of shingles by hash range show that
+the sets cannot share enough. Every link counts only once confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ ORDERED = 1 << 16
 SIGNED = "n_shingles long, set_id binary, signature binary"
 #: Ids of at most so many rows (16 bytes each) are broadcast to fetch their texts; more are joined by shuffling.
 BROADCAST = 2_000_000
+#: Texts to an Arrow batch.
+TEXTS = 1000
 
 
 def shingles(words: np.ndarray, n: int = WORDS) -> np.ndarray:
@@ -154,12 +157,34 @@ def _rarest(order, percent: int):
     return run
 
 
-def _close(batches):
-    """Pairs whose signatures differ in at most 2 * CHUNKS - 1 values."""
+def _profile(batches):
+    """How many shingles of each set lie in each of 256 ranges of hashes; 255 stands for that many or more."""
+    hasher = WordHasher()
     for batch in batches:
-        if batch.num_rows:
-            near = (_signs(batch.column("sign_a")) != _signs(batch.column("sign_b"))).sum(axis=1) < 2 * CHUNKS
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(near))
+        rows = [np.minimum(np.bincount((x >> np.uint64(56)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes() for x in sets_of(as_bytes(batch.column("text")), hasher)]
+        yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(rows, pa.binary())], ["class", "profile"])
+
+
+def may_link(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of sizes n_a and n_b with these profiles (rows) can be similar enough: they share at most the lesser count of each range."""
+    most = np.minimum(a, b).sum(axis=1, dtype=np.int64)
+    full = ((a == 255) | (b == 255)).any(axis=1)
+    most = np.where(full, np.minimum(n_a, n_b), most)
+    return 100 * most >= percent * (n_a + n_b - most)
+
+
+def _close(percent: int):
+    """Pairs whose signatures differ in at most 2 * CHUNKS - 1 values and whose profiles allow a link."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                near = (_signs(batch.column("sign_a")) != _signs(batch.column("sign_b"))).sum(axis=1) < 2 * CHUNKS
+                a, b = (np.frombuffer(b"".join(batch.column(f"profile_{x}").to_pylist()), np.uint8).reshape(-1, 256) for x in "ab")
+                near &= may_link(a, b, *(batch.column(f"n_{x}").to_numpy() for x in "ab"), percent)
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(near))
+
+    return run
 
 
 def _confirm(percent: int):
@@ -209,13 +234,12 @@ def _texts(source: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFram
 
 def _links(pairs: DataFrame, classes: DataFrame, source: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of classes that full sets confirm."""
-    a = classes.select(F.col("class").alias("a"), F.col("n_shingles").alias("n_a"), F.col("signature").alias("sign_a"))
-    b = classes.select(F.col("class").alias("b"), F.col("n_shingles").alias("n_b"), F.col("signature").alias("sign_b"))
-    sized = pairs.join(a, "a").join(b, "b").where((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")))
-    near = cut(sized.select("a", "b", "sign_a", "sign_b").mapInArrow(_close, "a long, b long"))
-    held = _texts(source, classes, near.select(F.col("a").alias("class")).union(near.select(F.col("b").alias("class"))))
+    held = _texts(source, classes, pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))))
+    facts = cut(held.select("class", "text").mapInArrow(_profile, "class long, profile binary").join(classes.select("class", "n_shingles", "signature"), "class"), TEXTS)
+    a, b = (facts.select(F.col("class").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("signature").alias(f"sign_{x}"), F.col("profile").alias(f"profile_{x}")) for x in "ab")
+    near = cut(pairs.join(a, "a").join(b, "b").mapInArrow(_close(percent), "a long, b long"), 2 * TEXTS)
     left, right = held.select(F.col("class").alias("a"), F.col("text").alias("text_a")), held.select(F.col("class").alias("b"), F.col("text").alias("text_b"))
-    return cut(near.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_confirm(percent), "a long, b long"))
+    return cut(near.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_confirm(percent), "a long, b long"), TEXTS // 4)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -230,17 +254,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = cut(source.withColumn("digest", digest()).mapInArrow(_sign, "doc_id long, digest long, " + SIGNED))
+    signed = cut(source.withColumn("digest", digest()).mapInArrow(_sign, "doc_id long, digest long, " + SIGNED), TEXTS)
     sets = signed.where("set_id is not null").groupBy("set_id")
     sets = sets.agg(F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"), F.min("doc_id").alias("least"), F.min("digest").alias("digest"))
     classes = cut(sets.withColumn("class", F.monotonically_increasing_id()))
     keys = cut(_shared(classes.select("class", "signature").mapInArrow(_keys, "key long, class long")))
     met = keys.groupBy("class").agg(F.sum("n").alias("met"))
     leaders = keys.join(met, "class").groupBy("key").agg(F.max_by("class", F.struct("met", "class")).alias("a"))
-    pairs = keys.join(leaders, "key").where(F.col("a") != F.col("class")).select("a", F.col("class").alias("b")).distinct()
+    pairs = cut(keys.join(leaders, "key").where(F.col("a") != F.col("class")).select("a", F.col("class").alias("b")).distinct())
     links = _links(pairs, classes, source, percent)
     found = components(links)
-    more = _links(_rest(keys, found, classes, source, percent), classes, source, percent)
+    more = _links(cut(_rest(keys, found, classes, source, percent)), classes, source, percent)
     if not more.isEmpty():
         found = components(links.union(more))
     least = classes.join(found, classes["class"] == found["node"], "left").select("set_id", "least", F.coalesce("component", "class").alias("component"))
@@ -264,8 +288,8 @@ def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
     """
     found = near_duplicates(docs, percent)
     rows = cut(found.groupBy("doc_id", "digest").agg(F.first("kept").alias("kept"), F.first("n_shingles").alias("n_shingles"), F.count(F.lit(1)).alias("n")))
-    named = lambda df: df.select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id")) & (digest() == F.col("gone"))
+    named = lambda df: df.select(F.col("doc_id").alias("_gone_id"), F.col("digest").alias("_gone"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_gone_id")) & (digest() == F.col("_gone"))
     left = docs.join(named(rows.where(~F.col("kept"))), same, "left_anti")
     several = rows.where("kept and n > 1 and n_shingles > 0")
     if several.isEmpty():
@@ -296,7 +320,7 @@ def _rest(keys: DataFrame, found: DataFrame, classes: DataFrame, source: DataFra
     order = np.argsort(known)
     sent = keys.sparkSession.sparkContext.broadcast((known[order].tobytes(), counts[order].tobytes()))
     rare = held.select("text", "class", "component").repartition(2 + many // 512).mapInArrow(_rarest(sent, percent), "key long, class long, component long, place long, size long")
-    rare = cut(_open(cut(_shared(cut(rare)))))
+    rare = cut(_open(cut(_shared(cut(rare, TEXTS)))))
     room = (100 + percent) * F.least(F.col("size_x") - F.col("place_x"), F.col("size_y") - F.col("place_y")) >= percent * (F.col("size_x") + F.col("size_y"))
     return _met(plain).union(_met(rare, ("place", "size"), room)).distinct()
 
@@ -310,7 +334,9 @@ def _open(labelled: DataFrame) -> DataFrame:
 
 def _met(open_: DataFrame, more: tuple = (), room=None) -> DataFrame:
     """Pairs (a, b) of one key and two components: one class at least is outside the key's largest component."""
-    few = open_.where(F.col("component") != F.col("top")).select("key", F.col("class").alias("x"), F.col("component").alias("cx"), *(F.col(c).alias(f"{c}_x") for c in more))
+    few = open_.where(F.col("component") != F.col("top")).select("key", "top", F.col("class").alias("x"), F.col("component").alias("cx"), *(F.col(c).alias(f"{c}_x") for c in more))
     all_ = open_.select("key", F.col("class").alias("y"), F.col("component").alias("cy"), *(F.col(c).alias(f"{c}_y") for c in more))
-    met = few.join(all_, (few["key"] == all_["key"]) & (F.col("cx") != F.col("cy")) & (F.lit(True) if room is None else room))
+    # of two that both are outside, one holds the other against itself
+    once = (F.col("cy") == F.col("top")) | (F.col("x") < F.col("y"))
+    met = few.join(all_, (few["key"] == all_["key"]) & (F.col("cx") != F.col("cy")) & once & (F.lit(True) if room is None else room))
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()

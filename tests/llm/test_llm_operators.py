@@ -13,6 +13,7 @@ from loomstone.llm import chat, decontamination, licenses, lm_scoring, media, mi
 from loomstone.llm.common import scratch
 
 SMALL = "/root/testdata/sf0.001"
+# Columns beside doc_id, text and lang have names that the operators use inside.
 SCHEMA = "doc_id long, text string, lang string, key string, n long"
 
 
@@ -95,7 +96,7 @@ def test_lm_probabilities_sum_to_one_also_when_pruned():
         totals.append((names, np.bincount(inverse, n).astype(np.int64)))
         entries.append((u[n >= 5], n[n >= 5]))
     model = lm_scoring.Model(entries, totals)
-    for context in (b"abcde", b"zzzzz", b"  abc", b"a b c"):
+    for context in (b"abcdea", b"zzzzzz", b"  abca", b"a b c "):
         high = sum(int(x) << (lm_scoring.BITS * (i + 1)) for i, x in enumerate(reversed(context)))
         p = 10.0 ** model.log10(np.array([high | s for s in range(lm_scoring.SYMBOLS)], np.uint64)).astype(float)
         assert abs(p.sum() - 1) < 1e-4
@@ -363,6 +364,22 @@ def test_near_duplicates_equal_brute_force(hostile, percent):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"] or r["component_id"] is None) for r in got if r["doc_id"] is not None)
 
 
+def test_profiles_drop_no_link():
+    rng = np.random.default_rng(2)
+    profile = lambda x: np.minimum(np.bincount((x >> np.uint64(56)).astype(np.int64), minlength=256), 255).astype(np.uint8)[None]
+    dropped = 0
+    for n in (1, 20, 150, 3000, 70_000):
+        for share in (0.0, 0.5, 0.84, 0.86, 0.95, 1.0):
+            both = rng.integers(0, 1 << 64, max(1, int(n * 2 * share / (1 + share))), dtype=np.uint64)
+            a, b = (np.unique(np.concatenate((both, rng.integers(0, 1 << 64, max(0, n - len(both)), dtype=np.uint64)))) for _ in "ab")
+            shared = len(np.intersect1d(a, b))
+            linked = 100 * shared >= 85 * (len(a) + len(b) - shared)
+            may = minhash_dedup.may_link(profile(a), profile(b), np.array([len(a)]), np.array([len(b)]), 85)[0]
+            assert may or not linked
+            dropped += not may
+    assert dropped >= 8
+
+
 def test_near_duplicates_of_a_large_cloud(spark, monkeypatch):
     """Copies around one text with many or few edits: links run between some of them only."""
     monkeypatch.setattr(minhash_dedup, "SPLIT_AT", 3)
