@@ -13,8 +13,20 @@ from pyspark.sql import functions as F
 MASK64 = (1 << 64) - 1
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Texts to an Arrow batch, as some are long.
+TEXTS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on, Arrow batches of the session hold TEXTS rows at most."""
+    if not 0 < int(spark.conf.get(BATCH)) <= TEXTS:
+        spark.conf.set(BATCH, str(TEXTS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, columns: list[str]) -> DataFrame:
-    """The named columns of an input table, and no others."""
+    """The named columns of an input table, and no others; to be read with small Arrow batches."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
@@ -34,9 +46,6 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
 def cut(df: DataFrame, batch_rows: int | None = None) -> DataFrame:
     """The same rows read from reliable checkpoint files: lineage ends here.
 
@@ -45,7 +54,7 @@ def cut(df: DataFrame, batch_rows: int | None = None) -> DataFrame:
     spark = df.sparkSession
     shared_dir(spark)
     before = spark.conf.get(BATCH)
-    if batch_rows:
+    if batch_rows and not 0 < int(before) <= batch_rows:
         spark.conf.set(BATCH, str(batch_rows))
     try:
         return df.checkpoint(eager=True)

@@ -369,10 +369,23 @@ def prepared(path: str | None) -> bytes:
 ENCODED = "ids array<int>"
 
 
+def regrouped(batches, size: int):
+    """The rows of Arrow batches in batches of about so many bytes, or of one given batch."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.nbytes
+        if n >= size:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def _encode(sent):
     def run(batches):
         codec = pickle.loads(sent.value)
-        for batch in batches:
+        for batch in regrouped(batches, STRETCH_BYTES):
             texts = as_bytes(batch.column("text"))
             for first, last in pieces(texts, STRETCH_BYTES):
                 ids, begins = codec.encode([t.decode("utf-8", "replace") for t in texts[first:last]])
