@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from loomstone.llm.common import WordHasher, as_bytes, cut, joined, mix, pieces
 
-ORDER = 6
+ORDER = 5
 BITS = 9  # of a symbol: 256 bytes, END and PAD
 END, PAD = 256, 257
 SYMBOLS = 257  # that can be predicted

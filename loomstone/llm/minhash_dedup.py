@@ -165,6 +165,16 @@ def _profile(batches):
         yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(rows, pa.binary())], ["class", "profile"])
 
 
+def _ranges(batches):
+    """Profiles over 128 ranges as arrays of whole counts."""
+    hasher = WordHasher()
+    for batch in batches:
+        rows = [np.bincount((x >> np.uint64(57)).astype(np.int64), minlength=128).astype(np.int32) for x in sets_of(as_bytes(batch.column("text")), hasher)]
+        flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * 128, pa.int32()), pa.array(flat))
+        yield pa.RecordBatch.from_arrays([batch.column("class"), lists], ["class", "ranges"])
+
+
 def may_link(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
     """Whether sets of sizes n_a and n_b with these profiles (rows) can be similar enough: they share at most the lesser count of each range."""
     most = np.minimum(a, b).sum(axis=1, dtype=np.int64)
@@ -320,9 +330,12 @@ def _rest(keys: DataFrame, found: DataFrame, classes: DataFrame, source: DataFra
     order = np.argsort(known)
     sent = keys.sparkSession.sparkContext.broadcast((known[order].tobytes(), counts[order].tobytes()))
     rare = held.select("text", "class", "component").repartition(2 + many // 512).mapInArrow(_rarest(sent, percent), "key long, class long, component long, place long, size long")
-    rare = cut(_open(cut(_shared(cut(rare, TEXTS)))))
-    room = (100 + percent) * F.least(F.col("size_x") - F.col("place_x"), F.col("size_y") - F.col("place_y")) >= percent * (F.col("size_x") + F.col("size_y"))
-    return _met(plain).union(_met(rare, ("place", "size"), room)).distinct()
+    profiles = cut(held.select("class", "text").mapInArrow(_ranges, "class long, ranges array<int>"), TEXTS)
+    rare = cut(_open(cut(_shared(cut(rare, TEXTS)))).join(profiles, "class"))
+    sizes = F.col("size_x") + F.col("size_y")
+    room = (100 + percent) * F.least(F.col("size_x") - F.col("place_x"), F.col("size_y") - F.col("place_y")) >= percent * sizes
+    most = F.aggregate(F.zip_with("ranges_x", "ranges_y", lambda a, b: F.least(a, b)), F.lit(0), lambda a, b: a + b)
+    return _met(plain).union(_met(rare, ("place", "size", "ranges"), room & ((100 + percent) * most >= percent * sizes))).distinct()
 
 
 def _open(labelled: DataFrame) -> DataFrame:
