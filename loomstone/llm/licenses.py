@@ -1,9 +1,10 @@
 """License scans by conditional compression.
 
-Blocks of a text that may state a license are compressed alone and with each
-template as a raw zstandard dictionary. How much smaller a template makes a
-block ranks the templates; the best ones are confirmed by an exact comparison of
-wordings, which also gives the differences.
+In blocks of a text that may state a license, however long, every run of words that
+is as similar to a template as LEAST asks is found by an exact alignment; stretches
+without enough of the template's words are skipped, as they cannot hold one. Each run is
+compressed alone and with the template as a raw zstandard dictionary: what the
+template saves is measured on the run, so it does not depend on the text around, and drops nothing.
 """
 
 from __future__ import annotations
@@ -82,10 +83,12 @@ You can obtain one at http://mozilla.org/MPL/2.0/.""",
 
 #: Words one of which stands in each template; blocks without any cannot match one.
 SIGNS = r"(?i)licen[sc]e|permission|redistribut|free software|public domain"
-#: Best templates by size reduction that are compared word by word.
-FINALISTS = 4
 #: Least share of equal words for a confirmed match.
 LEAST = 0.85
+#: The same in whole points: a run that shares `own` words with a template of n has 2 * own / (n + run) >= LEAST just if SAME * own - EACH * run >= EACH * n.
+SAME, EACH = 40, 17
+#: Bits of a run's start below its points.
+PLACE = 32
 
 WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
 
@@ -95,13 +98,23 @@ def words(text: str) -> list[str]:
 
 
 class Scanner:
-    """Compressors for all templates, made once for each task."""
+    """Compressors and word tables for all templates, made once for each task."""
 
     def __init__(self, templates=TEMPLATES):
         self.templates = [(name, words(text)) for name, text in templates]
         self.alone = zstandard.ZstdCompressor(level=3)
         self.given = [zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(" ".join(w).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, w in self.templates]
         self.signs = re.compile(SIGNS)
+        self.number: dict[str, int] = {}
+        for _, template in self.templates:
+            for w in template:
+                self.number.setdefault(w, len(self.number))
+        # For each template, a row for each word and last one for all others: the gain where the word stands.
+        self.gain = []
+        for _, template in self.templates:
+            equal = np.arange(len(self.number) + 1)[:, None] == np.array([self.number[w] for w in template])
+            self.gain.append(np.where(equal, SAME - EACH << PLACE, -(1 << 60)))
+        self.inside = [(g > 0).any(1) for g in self.gain]
 
     def blocks(self, text: str):
         """(start, end) of stretches of lines that hold a sign: paragraphs, and beside each paragraph of several lines, its lines with signs."""
@@ -114,49 +127,68 @@ class Scanner:
                         yield m.start() + line.start(), m.start() + line.end()
             yield m.span()
 
-    def rank(self, block: list[str]) -> list[tuple[float, int]]:
-        """(share of the compressed size saved, template), the best first."""
-        data = " ".join(block).encode()
-        alone = len(self.alone.compress(data))
-        return sorted(((1 - len(c.compress(data)) / alone, i) for i, c in enumerate(self.given)), key=lambda x: (-x[0], x[1]))
-
-    def compare(self, block: list[str], template: list[str]) -> tuple[float, int, int, list[str]]:
-        """Best similarity of a run of the block's words to the template, the run's first and last word, and the differences."""
-        if len(block) > 3 * len(template):
-            # only where the template's words are can a run of them be
-            inside = set(template)
-            hits = np.convolve([w in inside for w in block], np.ones(len(template)), "valid")
-            at = int(hits.argmax())
-            margin = len(template) // 4 + 1
-            low, high = max(0, at - margin), min(len(block), at + len(template) + margin)
-        else:
-            low, high = 0, len(block)
-        match = difflib.SequenceMatcher(None, template, block[low:high], autojunk=False)
-        same = [m for m in match.get_matching_blocks() if m.size]
-        if not same:
-            return 0.0, 0, 0, []
-        first, last = same[0].b, same[-1].b + same[-1].size
-        own = sum(m.size for m in same)
-        differences = []
-        for tag, i1, i2, j1, j2 in match.get_opcodes():
-            j1, j2 = max(j1, first), min(j2, last)
-            if tag != "equal" and (i2 > i1 or j2 > j1):
-                differences.append(f"-{' '.join(template[i1:i2])} +{' '.join(block[low + j1 : low + j2])}")
-        return 2 * own / (len(template) + last - first), low + first, low + last, differences
+    def saved(self, run: list[str], i: int) -> float:
+        """Share of a run's compressed size that template i saves."""
+        data = " ".join(run).encode()
+        return 1 - len(self.given[i].compress(data)) / len(self.alone.compress(data))
+
+    def stretches(self, block: np.ndarray, i: int) -> list[tuple[int, int]]:
+        """(low, high) of the words that can be in a match with template i.
+
+        A match has at least n * EACH / (SAME - EACH) of the template's n words in
+        at most n * (SAME - EACH) / EACH words: all windows of that length with so many are covered.
+        """
+        n = len(self.templates[i][1])
+        wide, need = min(n * (SAME - EACH) // EACH, len(block)), -(-n * EACH // (SAME - EACH))
+        sums = np.concatenate(([0], np.cumsum(self.inside[i][block])))
+        starts = np.flatnonzero(sums[wide:] - sums[:-wide] >= need)
+        if not len(starts):
+            return []
+        breaks = np.flatnonzero(np.diff(starts) > wide) + 1
+        return [(int(x[0]), int(x[-1]) + wide) for x in np.split(starts, breaks)]
+
+    def align(self, block: np.ndarray, low: int, high: int, i: int) -> list[tuple[int, int, int]]:
+        """(points, first, last) of the best run that ends at each word of a stretch, of those that reach LEAST.
+
+        Best is by points for the longest common subsequence with the template, in one
+        pass for all runs: best[j] has the points, and below them the start, of the best
+        run up to here against the template's first j words.
+        """
+        gain, n = self.gain[i], len(self.templates[i][1])
+        best, found = np.full(n + 1, low, np.int64), []
+        for at in range(low, high):
+            new = best - (EACH << PLACE)
+            np.maximum(new[1:], best[:-1] + gain[block[at]], out=new[1:])
+            new[0] = at + 1
+            best = np.maximum.accumulate(new)
+            points = int(best[n]) >> PLACE
+            if points >= EACH * n:
+                found.append((points, int(best[n]) & ((1 << PLACE) - 1), at + 1))
+        return found
+
+    def runs(self, block: np.ndarray, i: int) -> list[tuple[int, int, int]]:
+        """(points, first, last) of the block's best match with template i, if any."""
+        found = [x for low, high in self.stretches(block, i) for x in self.align(block, low, high, i)]
+        return [min(found, key=lambda x: (-x[0], x[1]))] if found else []
+
+    def differences(self, run: list[str], template: list[str]) -> list[str]:
+        codes = difflib.SequenceMatcher(None, template, run, autojunk=False).get_opcodes()
+        return [f"-{' '.join(template[i1:i2])} +{' '.join(run[j1:j2])}" for tag, i1, i2, j1, j2 in codes if tag != "equal"]
 
     def scan(self, text: str) -> list[tuple]:
         """(license, start, end, saved, similarity, differences) of the licenses stated, one for each name and place, in order; those inside another's place are left out."""
         found = []
         for start, end in self.blocks(text):
             spans = [m.span() for m in WORD.finditer(text, start, end)]
-            block = [text[a:b].lower() for a, b in spans]
-            if not block:
+            words_ = [text[a:b].lower() for a, b in spans]
+            block = np.array([self.number.get(w, len(self.number)) for w in words_], np.int64)
+            if not len(block):
                 continue
-            for saved, i in self.rank(block)[:FINALISTS]:
-                name, template = self.templates[i]
-                similarity, first, last, differences = self.compare(block, template)
-                if saved > 0 and similarity >= LEAST:
-                    found.append((name, spans[first][0], spans[last - 1][1], round(saved, 6), round(similarity, 6), differences))
+            for i, (name, template) in enumerate(self.templates):
+                for points, first, last in self.runs(block, i):
+                    run = words_[first:last]
+                    similarity = 2 * (points + EACH * len(run)) / SAME / (len(template) + len(run))
+                    found.append((name, spans[first][0], spans[last - 1][1], round(self.saved(run, i), 6), round(similarity, 6), self.differences(run, template)))
         # Of matches that overlap, the longer template's wording wins, then the more similar one.
         found.sort(key=lambda x: (-(x[2] - x[1]) * x[4], x[1], x[0]))
         kept: list[tuple] = []

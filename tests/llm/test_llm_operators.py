@@ -273,6 +273,20 @@ def test_licenses_are_found_and_confirmed(spark, hostile, empty):
     assert licenses.scan(hostile).collect() == [] and licenses.scan(empty).collect() == []
 
 
+def test_licenses_are_found_in_long_lines_of_many_notices():
+    rng, scanner = random.Random(5), licenses.Scanner()
+    for name, template in licenses.TEMPLATES:
+        flat = " ".join(template.split())
+        for n in (50, 1000, 10000):
+            before = prose(rng, n)
+            got = scanner.scan(f"{before} {flat} {prose(rng, n)}")
+            assert [(x[0], x[1], x[4]) for x in got] == [(name, len(before) + 1, 1.0)] and got[0][3] > 0
+    # more licenses in a line than were once compared
+    short = [t for t in licenses.TEMPLATES if len(t[1].split()) < 20]
+    got = scanner.scan(" ".join(f"{prose(rng, 30)} {' '.join(t.split())}" for _, t in short))
+    assert len(short) > 4 and [x[0] for x in got] == [name for name, _ in short]
+
+
 # --- 6 -----------------------------------------------------------------------
 
 
