@@ -9,6 +9,7 @@ template saves is measured on the run, so it does not depend on the text around,
 
 from __future__ import annotations
 
+import bisect
 import difflib
 import re
 
@@ -167,9 +168,21 @@ class Scanner:
         return found
 
     def runs(self, block: np.ndarray, i: int) -> list[tuple[int, int, int]]:
-        """(points, first, last) of the block's best match with template i, if any."""
-        found = [x for low, high in self.stretches(block, i) for x in self.align(block, low, high, i)]
-        return [min(found, key=lambda x: (-x[0], x[1]))] if found else []
+        """(points, first, last) of all matches of a block with template i that do not overlap: the best of each stretch first, then those in the gaps between."""
+        least = -(-len(self.templates[i][1]) * EACH // (SAME - EACH))
+        found, open_ = [], self.stretches(block, i)
+        while open_:
+            low, high = open_.pop()
+            taken: list[tuple[int, int, int]] = []  # by place
+            for points, first, last in sorted(self.align(block, low, high, i), key=lambda x: (-x[0], x[1])):
+                at = bisect.bisect(taken, first, key=lambda x: x[0])
+                if (not at or taken[at - 1][1] <= first) and (at == len(taken) or last <= taken[at][0]):
+                    taken.insert(at, (first, last, points))
+            found += [(points, first, last) for first, last, points in taken]
+            if taken:
+                edges = zip([low, *(x[1] for x in taken)], [*(x[0] for x in taken), high], strict=True)
+                open_ += [(a, b) for a, b in edges if b - a >= least]
+        return found
 
     def differences(self, run: list[str], template: list[str]) -> list[str]:
         codes = difflib.SequenceMatcher(None, template, run, autojunk=False).get_opcodes()

@@ -287,6 +287,24 @@ def test_licenses_are_found_in_long_lines_of_many_notices():
     assert len(short) > 4 and [x[0] for x in got] == [name for name, _ in short]
 
 
+def test_licenses_are_found_each_time_a_line_states_them():
+    rng, scanner = random.Random(6), licenses.Scanner()
+    for name, template in licenses.TEMPLATES:
+        flat = " ".join(template.split())
+        for gap in (0, 1, 40, 400):
+            text, starts = prose(rng, 3), []
+            for _ in range(4):
+                starts.append(len(text) + 1)
+                text += f" {flat} {prose(rng, gap)}".rstrip()
+            got = scanner.scan(text)
+            assert [(x[0], x[1], x[4], x[5]) for x in got] == [(name, at, 1.0, []) for at in starts]
+    # beside a verbatim notice, one with a changed word, and scattered words that are no notice
+    flat = " ".join(licenses.TEMPLATES[3][1].split())
+    changed = flat.replace("free of charge", "free of any charge")
+    got = scanner.scan(f"{' '.join(sorted(flat.split()))} {prose(rng, 300)} {changed} {flat} {prose(rng, 9)} {changed}")
+    assert [(x[0], len(x[5])) for x in got] == [("MIT", 1), ("MIT", 0), ("MIT", 1)]
+
+
 # --- 6 -----------------------------------------------------------------------
 
 
