@@ -5,16 +5,17 @@ texts. A symbol is predicted by the longest context that is in the trie; where i
 not followed that context, an escape leads to the context one byte shorter,
 at which the symbols of the longer context are excluded, and so on down to a uniform
 choice. Escapes are estimated by method D: each distinct symbol of a context gives
-DISCOUNT of its count to the escape, and so does what pruning took from the context. Texts begin after ORDER pad symbols and end in an end
+DISCOUNT of its count to the escape. Texts begin after ORDER pad symbols and end in an end
 symbol, so that the probabilities of all texts sum to one.
 
-The trie keeps an entry (context and symbol) if it makes up at least `SHARE` of all
-symbols: by that rule alone each order has at most 1 / SHARE entries, however
-large the corpus, so the trie can be broadcast. Counts are made over all training texts.
+The trie keeps every gram of the training texts. It is never in one place: its
+orders above LOCAL lie in BUCKETS by the last bytes of the context, which all the
+contexts that a symbol can escape to share, so each bucket has all counts that its
+symbols need. Orders up to LOCAL are bounded by the alphabet and are broadcast. Texts
+go in chunks of about CHUNK bytes; a chunk asks each bucket once for each of its
+distinct grams, and gets their log probabilities back.
 
-Pretrained scores are made by tables: for each order, entries and contexts lie
-in hash order, and a batch of positions is looked up at once. The adaptive
-mode learns from nothing but the text's own past.
+The adaptive mode learns from nothing but the text's own past.
 """
 
 from __future__ import annotations
@@ -25,17 +26,23 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomstone.llm.common import WordHasher, as_bytes, cut, joined, mix, pieces
+from loomstone.llm.common import WordHasher, as_bytes, cut, joined, mix, pieces, scratch, small_batches
 
 ORDER = 5
 BITS = 9  # of a symbol: 256 bytes, END and PAD
 END, PAD = 256, 257
 SYMBOLS = 257  # that can be predicted
 DISCOUNT = 0.5
-SHARE = 4e-7
+#: Bytes of context up to which counts are broadcast, and one less than those that name a bucket.
+LOCAL = 2
+BUCKETS = 512
+#: Bytes of text that ask together.
+CHUNK = 1 << 24
 #: Words that make up at least this share of all tokens are at most 1e6; their counts are broadcast.
 WORD_SHARE = 1e-6
 #: Texts to an Arrow batch.
@@ -84,23 +91,99 @@ class Counter:
         return keys[first], np.add.reduceat(counts[order], first) if len(first) else np.zeros(0, np.int64)
 
 
-GRAM, WORD, TEXT = 0, 1, 2
-COUNTED = "kind int, key long, n long"
+def summed(keys: np.ndarray, n: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of n by the grams of `order` bytes of context in which keys end."""
+    found, at = np.unique(keys & np.uint64((1 << (BITS * (order + 1))) - 1), return_inverse=True)
+    return found, np.bincount(at, n, len(found)).astype(np.int64)
+
+
+def bucket_of(keys: np.ndarray) -> np.ndarray:
+    context = (keys >> np.uint64(BITS)) & np.uint64((1 << (BITS * (LOCAL + 1))) - 1)
+    return (mix(context) % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def pack(values: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(np.diff(values, prepend=values.dtype.type(0)).tobytes())
+
+
+def unpack(data: bytes, dtype) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype), dtype=dtype)
+
+
+GRAMS, SHORT, WORD, TEXTS_READ, ROW = range(5)
+COUNTED = "kind int, chunk long, bucket int, key long, n long, keys binary, counts binary, row long, doc_id long, held_out boolean, text string"
+TYPES = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_(), "string": pa.string()}
+
+
+def _filled(size: int, **columns):
+    """A batch of COUNTED with nulls in the columns that are not given."""
+    fields = [x.split() for x in COUNTED.split(", ")]
+    arrays = []
+    for name, kind in fields:
+        x = columns.get(name)
+        arrays.append(pa.nulls(size, TYPES[kind]) if x is None else x.cast(TYPES[kind]) if isinstance(x, pa.Array) else pa.array(x, TYPES[kind]))
+    return pa.RecordBatch.from_arrays(arrays, [name for name, _ in fields])
+
+
+def _sums(kind: int, keys: np.ndarray, counts: np.ndarray):
+    for at in range(0, len(keys), 1 << 17):
+        part = keys[at : at + (1 << 17)].view(np.int64)
+        yield _filled(len(part), kind=np.full(len(part), kind, np.int32), key=part, n=counts[at : at + (1 << 17)])
+
+
+def _asked(chunk: int, train: Counter, held: Counter):
+    """A chunk's distinct grams by bucket with their counts in training rows, and sums of these for orders up to LOCAL."""
+    own, n = train.total()
+    keys = np.union1d(own, held.total()[0])
+    counts = np.zeros(len(keys), np.int64)
+    counts[np.searchsorted(keys, own)] = n
+    bucket = bucket_of(keys)
+    order = np.argsort(bucket, kind="stable")
+    edges = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
+    keys, counts = keys[order], counts[order]
+    full = np.flatnonzero(np.diff(edges))
+    parts = [slice(edges[b], edges[b + 1]) for b in full]
+    yield _filled(
+        len(full),
+        kind=np.full(len(full), GRAMS, np.int32),
+        chunk=np.full(len(full), chunk),
+        bucket=full.astype(np.int32),
+        keys=[pack(keys[x]) for x in parts],
+        counts=[pack(counts[x]) for x in parts],
+    )
+    yield from _sums(SHORT, *summed(own, n, LOCAL))
 
 
 def _count(batches):
-    """Partial counts of byte grams, words and texts of the training rows that a task reads."""
-    hasher, grams_, words, texts = WordHasher(), Counter(), Counter(), 0
+    """The rows that a task reads with their chunks, what each chunk asks, and partial counts of words and texts of its training rows."""
+    hasher, words, texts = WordHasher(), Counter(), 0
+    chunk = TaskContext.get().partitionId() << 32
+    train, held, size = Counter(), Counter(), 0
     for batch in batches:
-        kept = [t for t, x in zip(as_bytes(batch.column("text")), batch.column("train").to_pylist(), strict=True) if x]
-        texts += len(kept)
-        for first, last in pieces(kept):
-            grams_.add(grams(kept[first:last])[0])
-            words.add(hasher.hashes(joined(kept[first:last])[0])[0])
-    for kind, (keys, counts) in ((GRAM, grams_.total()), (WORD, words.total()), (TEXT, (np.zeros(1, np.uint64), np.array([texts])))):
-        for at in range(0, len(keys), 1 << 17):
-            part = keys[at : at + (1 << 17)].view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int32)), pa.array(part), pa.array(counts[at : at + (1 << 17)])], ["kind", "key", "n"])
+        own, out = as_bytes(batch.column("text")), np.array(batch.column("held_out").to_pylist(), bool)
+        texts += int((~out).sum())
+        first = 0
+        while first < len(own):
+            last = first
+            while last < len(own) and size < CHUNK:
+                size += len(own[last]) + 1
+                last += 1
+            for counter, wanted in ((train, False), (held, True)):
+                kept = [t for t, x in zip(own[first:last], out[first:last], strict=True) if x == wanted]
+                for a, b in pieces(kept):
+                    counter.add(grams(kept[a:b])[0])
+                    if not wanted:
+                        words.add(hasher.hashes(joined(kept[a:b])[0])[0])
+            part = batch.slice(first, last - first)
+            yield _filled(len(part), kind=np.full(len(part), ROW, np.int32), chunk=np.full(len(part), chunk), **{c: part.column(c) for c in ("row", "doc_id", "held_out", "text")})
+            first = last
+            if size >= CHUNK:
+                yield from _asked(chunk, train, held)
+                chunk, train, held, size = chunk + 1, Counter(), Counter(), 0
+    if size:
+        yield from _asked(chunk, train, held)
+    yield from _sums(WORD, *words.total())
+    yield from _sums(TEXTS_READ, np.zeros(1, np.uint64), np.array([texts]))
 
 
 class Table:
@@ -132,7 +215,7 @@ class Table:
 
 
 class Model:
-    """A pruned trie as tables; entries[k] and contexts[k] for contexts of k bytes."""
+    """A trie, or those parts of it that some symbols need, as tables; entries[k] and contexts[k] for contexts of k bytes."""
 
     def __init__(self, counts: list[tuple[np.ndarray, np.ndarray]], totals: list[dict] | None = None, floor: float = 1):
         """counts: for each order, keys of (context, symbol) and their counts, all of them or those of at least `floor` (then totals holds (keys, counts) of contexts)."""
@@ -253,54 +336,57 @@ def collect(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return got.column(0).to_numpy().view(np.uint64), got.column(1).to_numpy()
 
 
-def build(counts: DataFrame, share: float = SHARE) -> Model:
-    """The model of (key, n), the counts of all grams of ORDER + 1 symbols."""
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    floor = max(1, math.ceil(share * total))
-    entries, totals = [], []
-    for k in range(ORDER, -1, -1):
-        if k < ORDER:
-            counts = counts.groupBy(F.col("key").bitwiseAND(F.lit((1 << (BITS * (k + 1))) - 1)).alias("key")).agg(F.sum("n").alias("n"))
-            counts = cut(counts)
-        kept = counts.where(F.col("n") >= floor)
-        names = kept.select(F.shiftrightunsigned("key", BITS).alias("name")).distinct()
-        full = counts.groupBy(F.shiftrightunsigned("key", BITS).alias("name")).agg(F.sum("n").alias("n")).join(names, "name", "left_semi")
-        # At most 1 / share rows each.
-        entries.append(collect(kept))
-        totals.append(collect(full))
-    return Model(entries[::-1], totals[::-1])
+def _answer(sent):
+    """For a bucket's rows of GRAMS, log10 probabilities of their grams."""
+
+    def run(table):
+        short = pickle.loads(sent.value)
+        asked = [unpack(x, np.uint64) for x in table.column("keys").to_pylist()]
+        keys, at = np.unique(np.concatenate(asked), return_inverse=True)
+        n = np.zeros(len(keys), np.int64)
+        np.add.at(n, at, np.concatenate([unpack(x, np.int64) for x in table.column("counts").to_pylist()]))
+        own, n = keys[n > 0], n[n > 0]
+        model = Model([summed(*short, k) for k in range(LOCAL + 1)] + [summed(own, n, k) for k in range(LOCAL + 1, ORDER + 1)])
+        logs = np.concatenate([model.log10(keys[a : a + (1 << 19)]) for a in range(0, len(keys), 1 << 19)])[at]
+        ends = np.cumsum([len(x) for x in asked])
+        return pa.table({"chunk": table.column("chunk"), "keys": table.column("keys"), "logs": pa.array([x.tobytes() for x in np.split(logs, ends[:-1])], pa.binary())})
+
+    return run
 
 
 def _score(sent):
     names = ["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "rare"]
 
-    def run(batches):
-        model, words, logs, unknown = pickle.loads(sent.value)
+    def run(rows, answers):
+        words, logs, unknown = pickle.loads(sent.value)
         hasher = WordHasher()
-        for batch in batches:
-            texts = as_bytes(batch.column("text"))
-            scores, tokens, known, base, rare, rare_at = [], [], [], [], [], [0]
-            for first, last in pieces(texts):
-                keys, begins = grams(texts[first:last])
-                scores.append(np.add.reduceat(model.log10(keys).astype(np.float64), begins[:-1]))
-                buf, starts = joined(texts[first:last])
-                h, start, _ = hasher.hashes(buf)
-                at = np.searchsorted(start, starts)
-                place = words.find(h) if len(words.keys) > 1 else np.full(len(h), -1)
-                hit = place >= 0
-                value = np.where(hit, logs[place], 0.0)
-                sums = lambda x: np.diff(np.concatenate(([0], np.cumsum(x)))[at])
-                tokens.append(np.diff(at))
-                known.append(sums(hit))
-                base.append(sums(value))
-                missing = np.concatenate(([0], np.cumsum(~hit)))[at]
-                rare.append(h[~hit])
-                rare_at += (missing[1:] + rare_at[-1]).tolist()
-            cat = lambda x, t: pa.array(np.concatenate(x).astype(t) if x else np.zeros(0, t))
-            lists = pa.ListArray.from_arrays(pa.array(rare_at, pa.int32()), pa.array((np.concatenate(rare) if rare else np.zeros(0, np.uint64)).view(np.int64)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("doc_id"), batch.column("held_out"), cat(tokens, np.int64), cat(known, np.int64), cat(base, np.float64), cat(scores, np.float64), lists], names
-            )
+        got = Table(
+            np.concatenate([np.zeros(0, np.uint64), *(unpack(x, np.uint64) for x in answers.column("keys").to_pylist())]),
+            np.concatenate([np.zeros(0, np.float32), *(np.frombuffer(x, np.float32) for x in answers.column("logs").to_pylist())]),
+        )
+        texts = [x or b"" for x in rows.column("text").cast("binary").to_pylist()]
+        scores, tokens, known, base, rare, rare_at = [], [], [], [], [], [0]
+        for first, last in pieces(texts):
+            keys, begins = grams(texts[first:last])
+            at = got.find(keys)
+            assert (at >= 0).all()
+            scores.append(np.add.reduceat(got.values[0][at].astype(np.float64), begins[:-1]))
+            buf, starts = joined(texts[first:last])
+            h, start, _ = hasher.hashes(buf)
+            at = np.searchsorted(start, starts)
+            place = words.find(h) if len(words.keys) > 1 else np.full(len(h), -1)
+            hit = place >= 0
+            value = np.where(hit, logs[place], 0.0)
+            sums = lambda x: np.diff(np.concatenate(([0], np.cumsum(x)))[at])
+            tokens.append(np.diff(at))
+            known.append(sums(hit))
+            base.append(sums(value))
+            missing = np.concatenate(([0], np.cumsum(~hit)))[at]
+            rare.append(h[~hit])
+            rare_at += (missing[1:] + rare_at[-1]).tolist()
+        cat = lambda x, t: pa.array(np.concatenate(x).astype(t) if x else np.zeros(0, t))
+        lists = pa.ListArray.from_arrays(pa.array(rare_at, pa.int32()), pa.array((np.concatenate(rare) if rare else np.zeros(0, np.uint64)).view(np.int64)))
+        return pa.table([rows.column("row"), rows.column("doc_id"), rows.column("held_out"), cat(tokens, np.int64), cat(known, np.int64), cat(base, np.float64), cat(scores, np.float64), lists], names)
 
     return run
 
@@ -315,24 +401,30 @@ def score(docs: DataFrame) -> DataFrame:
     text's probability by PPM, its end included). Rows that repeat count
     each time. Without training rows the model is uniform.
 
-    Counts of frequent words go out with the trie; the others are joined to
+    Counts of frequent words are broadcast; the others are joined to
     their texts by word, and no such word has more than WORD_SHARE of all tokens.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), train_rule().alias("held_out"))
-    partial = rows.select("text", (~F.col("held_out")).alias("train")).mapInArrow(_count, COUNTED)
-    counted = cut(partial.groupBy("kind", "key").agg(F.sum("n").alias("n")), TEXTS)
+    spark, path = docs.sparkSession, scratch(docs.sparkSession, "lm")
+    small_batches(spark)
+    rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_count, COUNTED).write.option("compression", "zstd").parquet(path)
+    stored = spark.read.schema(COUNTED).parquet(path)
+    counted = cut(stored.where(F.col("kind").isin(SHORT, WORD, TEXTS_READ)).groupBy("kind", "key").agg(F.sum("n").alias("n")), TEXTS)
     words = counted.where(F.col("kind") == WORD).select("key", "n")
-    n_texts = counted.where(F.col("kind") == TEXT).agg(F.sum("n")).first()[0] or 0
+    n_texts = counted.where(F.col("kind") == TEXTS_READ).agg(F.sum("n")).first()[0] or 0
     n_words, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     n, v = n_words + n_texts, distinct + bool(n_texts)
     z = math.log10(n + v + 1)
     often = math.ceil(WORD_SHARE * n)
     keys, counts = collect(words.where(F.col("n") >= often))
-    model = build(counted.where(F.col("kind") == GRAM).select("key", "n"))
     table = Table(keys, counts)
-    sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps((model, table, np.log10(table.values[0] + 1.0) - z, -z), protocol=5))
+    short = spark.sparkContext.broadcast(pickle.dumps(collect(counted.where(F.col("kind") == SHORT).select("key", "n")), protocol=5))
+    sent = spark.sparkContext.broadcast(pickle.dumps((table, np.log10(table.values[0] + 1.0) - z, -z), protocol=5))
+    asked = stored.where(F.col("kind") == GRAMS).select("bucket", "chunk", "keys", "counts")
+    answers = asked.groupBy("bucket").applyInArrow(_answer(short), "chunk long, keys binary, logs binary")
     schema = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>"
-    scored = cut(rows.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "held_out", "text").mapInArrow(_score(sent), schema), TEXTS)
+    texts = stored.where(F.col("kind") == ROW).select("chunk", "row", "doc_id", "held_out", "text")
+    scored = cut(texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(sent), schema), TEXTS)
     loose = scored.select("row", F.explode("rare").alias("key"))
     rest = words.where(F.col("n") < often)
     found = loose.join(rest, "key", "left").groupBy("row").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + 1) - z).alias("more"), F.count("n").alias("also"))

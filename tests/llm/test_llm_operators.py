@@ -106,6 +106,26 @@ def test_lm_without_training_rows(empty):
     assert lm_scoring.score(empty).collect() == []
 
 
+def test_lm_scores_use_every_gram_of_more_symbols_than_were_once_kept_whole(spark):
+    rng = random.Random(8)
+    bulk = [("abcdefgh " * 40000, i) for i in range(12)]  # above 2.5 million symbols, single grams were dropped
+    odd = [(prose(rng, 30), 100 + i) for i in range(20)]
+    rows = [(i, t) for t, i in bulk + odd]
+    counts = Counter()
+    for i, t in rows:
+        if not held_out(i, 7, 2):
+            keys, n = np.unique(lm_scoring.grams([t.encode()])[0], return_counts=True)
+            counts.update(dict(zip(keys.tolist(), n.tolist(), strict=True)))
+    assert sum(counts.values()) > 2_500_000
+    keys, n = np.array(list(counts), np.uint64), np.array(list(counts.values()))
+    order = np.argsort(keys)
+    model = lm_scoring.Model([lm_scoring.summed(keys[order], n[order], k) for k in range(lm_scoring.ORDER + 1)])
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    for t, i in odd:
+        assert abs(got[i] - float(model.log10(lm_scoring.grams([t.encode()])[0]).astype(float).sum())) < 0.01
+
+
+
 def test_adaptive_mode_learns_from_the_text_itself():
     assert lm_scoring.adaptive(b"abcabcabcabcabc" * 10) > 10 * lm_scoring.adaptive(b"abcabcabcabcabc") * 0.6
 
