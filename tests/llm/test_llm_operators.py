@@ -577,7 +577,8 @@ def test_shards_equal_brute_force(spark, hostile, shards):
     for r in got:
         fill[r["shard"]] += r["size"]
         slots[r["shard"]].append(r["slot"])
-    assert len(got) == len(rows) and max(fill.values()) == best and set(fill) <= set(range(shards))
+    even = brute_even([groups[h] for h in sorted(groups)], shards, best)
+    assert len(got) == len(rows) and max(fill.values()) == best and [fill[k] for k in range(shards)] == even
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     crc = Counter((r["doc_id"], zlib.crc32((r["text"] or "").encode()), len((r["text"] or "").encode()) + 16) for r in rows)
     assert Counter((r["doc_id"], r["text_crc32"], r["size"]) for r in got) == crc
@@ -587,6 +588,50 @@ def test_shards_equal_brute_force(spark, hostile, shards):
     assert all(len(x) == 1 for x in where.values())
 
 
+def brute_even(sizes, shards, capacity):
+    """Sizes of shards by trying, for each cut, all places that leave a feasible rest."""
+
+    def fits(rest, n):
+        if len(rest) < n:
+            return False
+        k, fill = 1, 0
+        for s in rest:
+            if s > capacity:
+                return False
+            if fill + s > capacity:
+                k, fill = k + 1, 0
+            fill += s
+        return k <= n
+
+    out = []
+    for left in range(min(shards, len(sizes)), 1, -1):
+        goal, best = sum(sizes) / left, None
+        for k in range(1, len(sizes)):
+            if sum(sizes[:k]) <= capacity and fits(sizes[k:], left - 1) and (best is None or abs(sum(sizes[:k]) - goal) < abs(sum(sizes[:best]) - goal)):
+                best = k
+        out.append(sum(sizes[:best]))
+        sizes = sizes[best:]
+    return [*out, sum(sizes)]
+
+
+def test_even_cuts_equal_brute_force():
+    rng = random.Random(11)
+    for trial in range(60):
+        n, shards = rng.randrange(1, 40), rng.randrange(1, 12)
+        sizes = [rng.choice((1, 5, rng.randrange(1, 30), rng.randrange(1, 200 if trial % 3 else 20))) for _ in range(n)]
+        capacity = brute_capacity(sizes, shards)
+        ranges = sharding.Ranges([(i << 32, 32, s, 1) for i, s in enumerate(sizes)])
+        assert ranges.least(shards, False) == capacity
+        cuts = [0, *(k for k, _ in ranges.even(shards, capacity)), n]
+        assert [sum(sizes[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)] == brute_even(sizes, shards, capacity)
+
+
+def test_shards_of_many_texts_are_even(spark):
+    docs = spark.range(60_000).selectExpr("id AS doc_id", "concat('text ', CAST(id % 50000 AS STRING)) AS text")
+    fill = [r[0] for r in sharding.shard(docs, 40).groupBy("shard").agg({"size": "sum"}).collect()]
+    assert len(fill) == 40 and max(fill) - min(fill) <= 120
+
+
 def test_no_rows_no_shards(empty):
     assert sharding.shard(empty).collect() == []
 
