@@ -12,8 +12,9 @@ The trie keeps every gram of the training texts. It is never in one place: its
 orders above LOCAL lie in BUCKETS by the last bytes of the context, which all the
 contexts that a symbol can escape to share, so each bucket has all counts that its
 symbols need. Orders up to LOCAL are bounded by the alphabet and are broadcast. Texts
-go in chunks of about CHUNK bytes; a chunk asks each bucket once for each of its
-distinct grams, and gets their log probabilities back.
+go in chunks of about CHUNK bytes. A chunk asks each bucket once for each of its
+distinct grams and words; a bucket's rows are streamed twice, first to sum them to its part of the
+trie, then to answer each chunk from it, so a task holds one bucket's distinct grams or one chunk.
 
 The adaptive mode learns from nothing but the text's own past.
 """
@@ -40,13 +41,12 @@ SYMBOLS = 257  # that can be predicted
 DISCOUNT = 0.5
 #: Bytes of context up to which counts are broadcast, and one less than those that name a bucket.
 LOCAL = 2
-BUCKETS = 512
+#: Parts of the grams, and as many more of the words.
+BUCKETS = 1024
 #: Bytes of text that ask together.
 CHUNK = 1 << 24
-#: Words that make up at least this share of all tokens are at most 1e6; their counts are broadcast.
-WORD_SHARE = 1e-6
-#: Texts to an Arrow batch.
-TEXTS = 2000
+#: Rows of packed arrays to an Arrow batch.
+PACKED = 256
 
 
 def grams(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -66,15 +66,17 @@ def grams(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarra
 
 
 class Counter:
-    """Sums of equal keys, kept sorted; merged whenever much has come."""
+    """Sums of counts by key, kept sorted; merged whenever much has come."""
 
     def __init__(self, most: int = 1 << 21):
         self.most, self.size, self.held = most, 0, []
 
-    def add(self, keys: np.ndarray) -> None:
-        values, counts = np.unique(keys, return_counts=True)
-        self.held.append((values, counts))
-        self.size += len(values)
+    def add(self, keys: np.ndarray, counts: np.ndarray | None = None) -> None:
+        """Counts each key once, or distinct keys as often as given."""
+        if counts is None:
+            keys, counts = np.unique(keys, return_counts=True)
+        self.held.append((keys, counts))
+        self.size += len(keys)
         if self.size > self.most:
             self.held = [self.total()]
             self.size = len(self.held[0][0])
@@ -102,88 +104,157 @@ def bucket_of(keys: np.ndarray) -> np.ndarray:
     return (mix(context) % np.uint64(BUCKETS)).astype(np.int64)
 
 
-def pack(values: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.diff(values, prepend=values.dtype.type(0)).tobytes())
+def word_bucket(keys: np.ndarray) -> np.ndarray:
+    return (keys >> np.uint64(64 - (BUCKETS - 1).bit_length())).astype(np.int64)
 
 
-def unpack(data: bytes, dtype) -> np.ndarray:
-    return np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype), dtype=dtype)
+def planes(values: np.ndarray) -> bytes:
+    """Compressed: first bytes of all values, then second ones, and so on."""
+    return zstandard.ZstdCompressor(level=1).compress(values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes())
 
 
-GRAMS, SHORT, WORD, TEXTS_READ, ROW = range(5)
-COUNTED = "kind int, chunk long, bucket int, key long, n long, keys binary, counts binary, row long, doc_id long, held_out boolean, text string"
-TYPES = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_(), "string": pa.string()}
+def from_planes(data: bytes, dtype) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).reshape(-1)
 
 
-def _filled(size: int, **columns):
-    """A batch of COUNTED with nulls in the columns that are not given."""
-    fields = [x.split() for x in COUNTED.split(", ")]
-    arrays = []
-    for name, kind in fields:
-        x = columns.get(name)
-        arrays.append(pa.nulls(size, TYPES[kind]) if x is None else x.cast(TYPES[kind]) if isinstance(x, pa.Array) else pa.array(x, TYPES[kind]))
-    return pa.RecordBatch.from_arrays(arrays, [name for name, _ in fields])
+def pack(values: np.ndarray) -> bytes:
+    return planes(np.diff(values, prepend=values.dtype.type(0)))
 
 
-def _sums(kind: int, keys: np.ndarray, counts: np.ndarray):
-    for at in range(0, len(keys), 1 << 17):
-        part = keys[at : at + (1 << 17)].view(np.int64)
-        yield _filled(len(part), kind=np.full(len(part), kind, np.int32), key=part, n=counts[at : at + (1 << 17)])
+def unpack(data: bytes, dtype) -> np.ndarray:
+    return np.cumsum(from_planes(data, dtype), dtype=dtype)
+
+
+ASKED, TEXTS_READ, TEXTS = range(3)
+COUNTED = "kind int, chunk long, bucket int, n long, keys binary, counts binary, texts binary"
+TYPES = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_(), "string": pa.string(), "double": pa.float64()}
 
 
-def _asked(chunk: int, train: Counter, held: Counter):
-    """A chunk's distinct grams by bucket with their counts in training rows, and sums of these for orders up to LOCAL."""
-    own, n = train.total()
-    keys = np.union1d(own, held.total()[0])
-    counts = np.zeros(len(keys), np.int64)
-    counts[np.searchsorted(keys, own)] = n
-    bucket = bucket_of(keys)
+def _filled(schema: str, size: int, **columns):
+    """A batch with nulls in the columns that are not given."""
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.nulls(size, TYPES[t]) if columns.get(c) is None else pa.array(columns[c], TYPES[t]) for c, t in fields], [c for c, _ in fields])
+
+
+def by_bucket(keys: np.ndarray, buckets) -> tuple[np.ndarray, np.ndarray]:
+    """The order in which sorted keys lie by bucket, and where each bucket begins in it (and the end)."""
+    bucket = buckets(keys)
     order = np.argsort(bucket, kind="stable")
-    edges = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
-    keys, counts = keys[order], counts[order]
-    full = np.flatnonzero(np.diff(edges))
-    parts = [slice(edges[b], edges[b + 1]) for b in full]
-    yield _filled(
-        len(full),
-        kind=np.full(len(full), GRAMS, np.int32),
-        chunk=np.full(len(full), chunk),
-        bucket=full.astype(np.int32),
-        keys=[pack(keys[x]) for x in parts],
-        counts=[pack(counts[x]) for x in parts],
-    )
-    yield from _sums(SHORT, *summed(own, n, LOCAL))
+    return order, np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
+
+
+class Chunk:
+    """Texts that ask together: their rows, and their grams and words in training and in held-out rows."""
+
+    def __init__(self, number: int):
+        self.number, self.size, self.rows = number, 0, []
+        self.grams, self.words = [(Counter(), Counter()) for _ in range(2)]
+
+    def count(self, texts: list[bytes], held: int, hasher: WordHasher) -> None:
+        for a, b in pieces(texts):
+            self.grams[held].add(grams(texts[a:b])[0])
+            self.words[held].add(hasher.hashes(joined(texts[a:b])[0])[0])
+
+    def add(self, batch: pa.RecordBatch, texts: list[bytes], held: np.ndarray, hasher: WordHasher) -> None:
+        for wanted in (0, 1):
+            self.count([t for t, x in zip(texts, held, strict=True) if x == wanted], wanted, hasher)
+        codec = pa.Codec("zstd", compression_level=6)
+        for a, b in pieces(texts, 1 << 21):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=codec)) as out:
+                out.write_batch(batch.slice(a, b - a))
+            self.rows.append(sink.getvalue().to_pybytes())
+
+    def keys(self):
+        """Distinct grams and then words of all rows, sorted, with their counts in training rows."""
+        for train, held in (self.grams, self.words):
+            own, n = train.total()
+            keys = np.union1d(own, held.total()[0])
+            counts = np.zeros(len(keys), np.int64)
+            counts[np.searchsorted(keys, own)] = n
+            yield keys, counts
+
+    def asked(self):
+        """Its rows, and its distinct grams and words by bucket."""
+        for first in range(0, len(self.rows), 4):
+            part = self.rows[first : first + 4]
+            yield _filled(COUNTED, len(part), kind=[TEXTS] * len(part), chunk=[self.number] * len(part), texts=part)
+        for (keys, counts), buckets, offset in zip(self.keys(), (bucket_of, word_bucket), (0, BUCKETS), strict=True):
+            order, edges = by_bucket(keys, buckets)
+            keys, counts = keys[order], counts[order]
+            for first in range(0, BUCKETS, PACKED):
+                full = [b for b in range(first, first + PACKED) if edges[b] < edges[b + 1]]
+                parts = [slice(edges[b], edges[b + 1]) for b in full]
+                yield _filled(COUNTED, len(full), kind=[ASKED] * len(full), chunk=[self.number] * len(full), bucket=[b + offset for b in full], keys=[pack(keys[x]) for x in parts], counts=[pack(counts[x]) for x in parts])
+
+    def tables(self, answers: pa.Table) -> tuple[Table, Table]:
+        """Log probabilities of its grams and counts of its words, from what all buckets answer: in the order asked."""
+        found = dict(zip(answers.column("bucket").to_pylist(), answers.column("found").to_pylist(), strict=True))
+        out = []
+        for (keys, _), buckets, offset, kind in zip(self.keys(), (bucket_of, word_bucket), (0, BUCKETS), (np.float32, np.int64), strict=True):
+            order, edges = by_bucket(keys, buckets)
+            got = [from_planes(found[b + offset], kind) for b in range(BUCKETS) if edges[b] < edges[b + 1]]
+            out.append(Table(keys[order], np.concatenate([np.zeros(0, kind), *got])))
+        return out[0], out[1]
 
 
 def _count(batches):
-    """The rows that a task reads with their chunks, what each chunk asks, and partial counts of words and texts of its training rows."""
-    hasher, words, texts = WordHasher(), Counter(), 0
-    chunk = TaskContext.get().partitionId() << 32
-    train, held, size = Counter(), Counter(), 0
+    """What each chunk of a task's texts asks, its rows, and how many training rows the task reads."""
+    hasher, texts = WordHasher(), 0
+    chunk = Chunk(TaskContext.get().partitionId() << 32)
     for batch in batches:
-        own, out = as_bytes(batch.column("text")), np.array(batch.column("held_out").to_pylist(), bool)
-        texts += int((~out).sum())
+        own, held = as_bytes(batch.column("text")), np.array(batch.column("held_out").to_pylist(), bool)
+        texts += int((~held).sum())
         first = 0
         while first < len(own):
             last = first
-            while last < len(own) and size < CHUNK:
-                size += len(own[last]) + 1
+            while last < len(own) and chunk.size < CHUNK:
+                chunk.size += len(own[last]) + 1
                 last += 1
-            for counter, wanted in ((train, False), (held, True)):
-                kept = [t for t, x in zip(own[first:last], out[first:last], strict=True) if x == wanted]
-                for a, b in pieces(kept):
-                    counter.add(grams(kept[a:b])[0])
-                    if not wanted:
-                        words.add(hasher.hashes(joined(kept[a:b])[0])[0])
-            part = batch.slice(first, last - first)
-            yield _filled(len(part), kind=np.full(len(part), ROW, np.int32), chunk=np.full(len(part), chunk), **{c: part.column(c) for c in ("row", "doc_id", "held_out", "text")})
+            chunk.add(batch.slice(first, last - first), own[first:last], held[first:last], hasher)
             first = last
-            if size >= CHUNK:
-                yield from _asked(chunk, train, held)
-                chunk, train, held, size = chunk + 1, Counter(), Counter(), 0
-    if size:
-        yield from _asked(chunk, train, held)
-    yield from _sums(WORD, *words.total())
-    yield from _sums(TEXTS_READ, np.zeros(1, np.uint64), np.array([texts]))
+            if chunk.size >= CHUNK:
+                yield from chunk.asked()
+                chunk = Chunk(chunk.number + 1)
+    if chunk.size:
+        yield from chunk.asked()
+    yield _filled(COUNTED, 1, kind=[TEXTS_READ], n=[texts])
+
+
+SUMMED = "bucket int, keys binary, counts binary, n long, distinct long"
+SHORT = "key long, n long"
+
+
+def _sum(batches):
+    """For each bucket of a task, whose rows come together, its keys that training rows have, and their counts."""
+
+    def whole():
+        keys, n = counter.total()
+        own, n = keys[n > 0], n[n > 0]
+        return _filled(SUMMED, 1, bucket=[bucket], keys=[pack(own)], counts=[pack(n)], n=[int(n.sum())], distinct=[len(own)])
+
+    bucket, counter = None, Counter()
+    for batch in batches:
+        for b, k, n in zip(*(batch.column(c).to_pylist() for c in ("bucket", "keys", "counts")), strict=True):
+            if b != bucket:
+                if bucket is not None:
+                    yield whole()
+                bucket, counter = b, Counter()
+            counter.add(unpack(k, np.uint64), unpack(n, np.int64))
+    if bucket is not None:
+        yield whole()
+
+
+def _short(batches):
+    """Counts of the grams of order LOCAL."""
+    counter = Counter()
+    for batch in batches:
+        for k, n in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+            counter.add(*summed(unpack(k, np.uint64), unpack(n, np.int64), LOCAL))
+    keys, n = counter.total()
+    for at in range(0, len(keys), 1 << 17):
+        yield _filled(SHORT, len(keys[at : at + (1 << 17)]), key=keys[at : at + (1 << 17)].view(np.int64), n=n[at : at + (1 << 17)])
 
 
 class Table:
@@ -217,12 +288,12 @@ class Table:
 class Model:
     """A trie, or those parts of it that some symbols need, as tables; entries[k] and contexts[k] for contexts of k bytes."""
 
-    def __init__(self, counts: list[tuple[np.ndarray, np.ndarray]], totals: list[dict] | None = None, floor: float = 1):
-        """counts: for each order, keys of (context, symbol) and their counts, all of them or those of at least `floor` (then totals holds (keys, counts) of contexts)."""
-        self.order = len(counts) - 1
-        shift = np.uint64(BITS)
-        per = []
-        for k, (keys, n) in enumerate(counts):
+    def __init__(self, counts: list[tuple[np.ndarray, np.ndarray]], totals: list[dict] | None = None, below: Model | None = None):
+        """counts: for each order, keys of (context, symbol) and their counts, all of them or some (then totals holds (keys, counts) of contexts). Those of `below` are taken over."""
+        per, q, self.entries, self.contexts = (list(x) for x in ((below.per, below.q, below.entries, below.contexts) if below else ((), (), (), ())))
+        shift, start = np.uint64(BITS), len(per)
+        self.order = start + len(counts) - 1
+        for k, (keys, n) in enumerate(counts, start):
             order = np.argsort(keys, kind="stable")
             keys, n = keys[order], n[order].astype(np.float64) - DISCOUNT
             context = keys >> shift
@@ -243,11 +314,12 @@ class Model:
             per[0] |= {"names": np.zeros(1, np.uint64), "kept": np.zeros(1), "escape": np.ones(1), "given": np.zeros(1), "distinct": np.zeros(1)}
         log = lambda x: np.log10(np.maximum(x, 1e-300))
         self.uniform = -math.log10(max(1, SYMBOLS - int(per[0]["distinct"][0])))
-        q = [np.zeros(len(per[0]["names"]))]  # escapes from the context's suffixes, in sum
-        tops, lows, dens = [], [None], []
-        for k, p in enumerate(per):
-            dens.append(log(p["kept"] + p["escape"]))
-            if k:
+        self.per, self.q = per, q  # q: escapes from the context's suffixes, in sum
+        for k, p in enumerate(per[start:], start):
+            density, lows = log(p["kept"] + p["escape"]), np.zeros(len(p["names"]))
+            if not k:
+                q.append(np.zeros(len(p["names"])))
+            else:
                 s = per[k - 1]
                 mask = np.uint64((1 << (BITS * (k - 1))) - 1)
                 suffix = np.searchsorted(s["names"], p["names"] & mask)
@@ -258,10 +330,10 @@ class Model:
                 weight = np.where(weight < 1e-9, np.where(left < 1e-9, 1.0, 0.0), weight)
                 full = log(left + weight)
                 q.append(q[k - 1][suffix] + log(weight) - full)
-                lows.append(full + q[k])
-            tops.append(log(p["escape"]) - dens[k] + q[k])
-        self.entries = [Table(p["keys"], (log(p["n"]) - dens[k][p["node"]] if len(p["keys"]) else p["n"]).astype(np.float32), log(p["n"]).astype(np.float32)) for k, p in enumerate(per)]
-        self.contexts = [Table(p["names"], tops[k].astype(np.float32), (lows[k] if k else np.zeros(len(p["names"]))).astype(np.float32)) for k, p in enumerate(per)]
+                lows = full + q[k]
+            tops = log(p["escape"]) - density + q[k]
+            self.entries.append(Table(p["keys"], (log(p["n"]) - density[p["node"]] if len(p["keys"]) else p["n"]).astype(np.float32), log(p["n"]).astype(np.float32)))
+            self.contexts.append(Table(p["names"], tops.astype(np.float32), lows.astype(np.float32)))
 
     def log10(self, keys: np.ndarray) -> np.ndarray:
         """log10 probability of each symbol after its context, for keys of grams()."""
@@ -331,62 +403,71 @@ def train_rule(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-def collect(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    got = df.toArrow()
-    return got.column(0).to_numpy().view(np.uint64), got.column(1).to_numpy()
+ANSWERED = "chunk long, bucket int, found binary"
 
 
 def _answer(sent):
-    """For a bucket's rows of GRAMS, log10 probabilities of their grams."""
-
-    def run(table):
-        short = pickle.loads(sent.value)
-        asked = [unpack(x, np.uint64) for x in table.column("keys").to_pylist()]
-        keys, at = np.unique(np.concatenate(asked), return_inverse=True)
-        n = np.zeros(len(keys), np.int64)
-        np.add.at(n, at, np.concatenate([unpack(x, np.int64) for x in table.column("counts").to_pylist()]))
-        own, n = keys[n > 0], n[n > 0]
-        model = Model([summed(*short, k) for k in range(LOCAL + 1)] + [summed(own, n, k) for k in range(LOCAL + 1, ORDER + 1)])
-        logs = np.concatenate([model.log10(keys[a : a + (1 << 19)]) for a in range(0, len(keys), 1 << 19)])[at]
-        ends = np.cumsum([len(x) for x in asked])
-        return pa.table({"chunk": table.column("chunk"), "keys": table.column("keys"), "logs": pa.array([x.tobytes() for x in np.split(logs, ends[:-1])], pa.binary())})
+    """For rows sorted by bucket, each bucket's sums first: log10 probabilities of the grams that a chunk asks for, or counts of its words."""
+
+    def run(batches):
+        keys, counts = pickle.loads(sent.value)
+        short = Model([summed(keys, counts, k) for k in range(LOCAL + 1)])
+        bucket = model = None
+        for batch in batches:
+            out = []
+            for b, chunk, k, n in zip(*(batch.column(c).to_pylist() for c in ("bucket", "chunk", "keys", "counts")), strict=True):
+                own = unpack(k, np.uint64)
+                if chunk is None:
+                    bucket, n = b, unpack(n, np.int64)
+                    model = Model([summed(own, n, order) for order in range(LOCAL + 1, ORDER + 1)], below=short) if b < BUCKETS else Table(own, n)
+                    continue
+                assert b == bucket
+                if b < BUCKETS:
+                    found = np.concatenate([model.log10(own[a : a + (1 << 19)]) for a in range(0, len(own), 1 << 19)])
+                else:
+                    at = model.find(own)
+                    found = np.where(at < 0, 0, model.values[0][at])
+                out.append((chunk, b, planes(found)))
+            columns = zip(*out, strict=True) if out else [()] * 3
+            yield _filled(ANSWERED, len(out), **dict(zip(("chunk", "bucket", "found"), map(list, columns), strict=True)))
 
     return run
 
 
-def _score(sent):
-    names = ["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "rare"]
+def _score(n: int, v: int, n_texts: int):
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    z = math.log10(n + v + 1)
+    end = math.log10(n_texts + 1) - z
 
     def run(rows, answers):
-        words, logs, unknown = pickle.loads(sent.value)
-        hasher = WordHasher()
-        got = Table(
-            np.concatenate([np.zeros(0, np.uint64), *(unpack(x, np.uint64) for x in answers.column("keys").to_pylist())]),
-            np.concatenate([np.zeros(0, np.float32), *(np.frombuffer(x, np.float32) for x in answers.column("logs").to_pylist())]),
-        )
-        texts = [x or b"" for x in rows.column("text").cast("binary").to_pylist()]
-        scores, tokens, known, base, rare, rare_at = [], [], [], [], [], [0]
-        for first, last in pieces(texts):
-            keys, begins = grams(texts[first:last])
-            at = got.find(keys)
+        hasher, chunk, held = WordHasher(), Chunk(0), []
+        for packed in rows.column("texts").to_pylist():
+            batch = pa.ipc.open_stream(packed).read_next_batch()
+            chunk.count(as_bytes(batch.column("text")), 0, hasher)
+            held.append(batch)
+        logs, counts = chunk.tables(answers)
+        out = []
+        for batch, texts in ((x, as_bytes(x.column("text"))) for x in held):
+            keys, begins = grams(texts)
+            at = logs.find(keys)
             assert (at >= 0).all()
-            scores.append(np.add.reduceat(got.values[0][at].astype(np.float64), begins[:-1]))
-            buf, starts = joined(texts[first:last])
+            scores = np.add.reduceat(logs.values[0][at].astype(np.float64), begins[:-1])
+            buf, starts = joined(texts)
             h, start, _ = hasher.hashes(buf)
             at = np.searchsorted(start, starts)
-            place = words.find(h) if len(words.keys) > 1 else np.full(len(h), -1)
-            hit = place >= 0
-            value = np.where(hit, logs[place], 0.0)
-            sums = lambda x: np.diff(np.concatenate(([0], np.cumsum(x)))[at])
-            tokens.append(np.diff(at))
-            known.append(sums(hit))
-            base.append(sums(value))
-            missing = np.concatenate(([0], np.cumsum(~hit)))[at]
-            rare.append(h[~hit])
-            rare_at += (missing[1:] + rare_at[-1]).tolist()
-        cat = lambda x, t: pa.array(np.concatenate(x).astype(t) if x else np.zeros(0, t))
-        lists = pa.ListArray.from_arrays(pa.array(rare_at, pa.int32()), pa.array((np.concatenate(rare) if rare else np.zeros(0, np.uint64)).view(np.int64)))
-        return pa.table([rows.column("row"), rows.column("doc_id"), rows.column("held_out"), cat(tokens, np.int64), cat(known, np.int64), cat(base, np.float64), cat(scores, np.float64), lists], names)
+            c = counts.values[0][counts.find(h)] if len(h) else np.zeros(0, np.int64)
+            sums = lambda x: np.diff(np.concatenate(([0], np.cumsum(x)))[at])  # noqa: E731, B023
+            size = len(texts)
+            out.append(
+                pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("doc_id"), batch.column("held_out"), pa.array(np.diff(at) + 1, pa.int64()), pa.array(sums(c > 0) + int(n_texts > 0), pa.int64()),
+                        pa.array(np.full(size, n), pa.int64()), pa.array(sums(np.log10(c + 1.0) - z) + end), pa.array(scores),
+                    ],
+                    names,
+                )
+            )
+        return pa.Table.from_batches(out)
 
     return run
 
@@ -399,42 +480,23 @@ def score(docs: DataFrame) -> DataFrame:
     Returned for each row: doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score (an add-one unigram model of words and ends) and score (log10 of the
     text's probability by PPM, its end included). Rows that repeat count
-    each time. Without training rows the model is uniform.
-
-    Counts of frequent words are broadcast; the others are joined to
-    their texts by word, and no such word has more than WORD_SHARE of all tokens.
+    each time, and get the same scores. Without training rows the model is uniform; an empty table
+    gives no rows. Texts are scored whole: a text longer than CHUNK is a chunk of its own.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), train_rule().alias("held_out"))
     spark, path = docs.sparkSession, scratch(docs.sparkSession, "lm")
     small_batches(spark)
-    rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_count, COUNTED).write.option("compression", "zstd").parquet(path)
+    rows.mapInArrow(_count, COUNTED).write.option("compression", "zstd").parquet(path)
     stored = spark.read.schema(COUNTED).parquet(path)
-    counted = cut(stored.where(F.col("kind").isin(SHORT, WORD, TEXTS_READ)).groupBy("kind", "key").agg(F.sum("n").alias("n")), TEXTS)
-    words = counted.where(F.col("kind") == WORD).select("key", "n")
-    n_texts = counted.where(F.col("kind") == TEXTS_READ).agg(F.sum("n")).first()[0] or 0
-    n_words, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    n_texts = stored.where(F.col("kind") == TEXTS_READ).agg(F.sum("n")).first()[0] or 0
+    asked = stored.where(F.col("kind") == ASKED).select("bucket", "chunk", "keys", "counts")
+    parts = cut(asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_sum, SUMMED), PACKED)
+    n_words, distinct = parts.where(F.col("bucket") >= BUCKETS).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     n, v = n_words + n_texts, distinct + bool(n_texts)
-    z = math.log10(n + v + 1)
-    often = math.ceil(WORD_SHARE * n)
-    keys, counts = collect(words.where(F.col("n") >= often))
-    table = Table(keys, counts)
-    short = spark.sparkContext.broadcast(pickle.dumps(collect(counted.where(F.col("kind") == SHORT).select("key", "n")), protocol=5))
-    sent = spark.sparkContext.broadcast(pickle.dumps((table, np.log10(table.values[0] + 1.0) - z, -z), protocol=5))
-    asked = stored.where(F.col("kind") == GRAMS).select("bucket", "chunk", "keys", "counts")
-    answers = asked.groupBy("bucket").applyInArrow(_answer(short), "chunk long, keys binary, logs binary")
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>"
-    texts = stored.where(F.col("kind") == ROW).select("chunk", "row", "doc_id", "held_out", "text")
-    scored = cut(texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(sent), schema), TEXTS)
-    loose = scored.select("row", F.explode("rare").alias("key"))
-    rest = words.where(F.col("n") < often)
-    found = loose.join(rest, "key", "left").groupBy("row").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + 1) - z).alias("more"), F.count("n").alias("also"))
-    end = math.log10(n_texts + 1) - z
-    return scored.join(found, "row", "left").select(
-        "doc_id",
-        "held_out",
-        (F.col("n_tokens") + 1).alias("n_tokens"),
-        (F.col("known") + F.coalesce("also", F.lit(0)) + F.lit(int(n_texts > 0))).alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0)) + end).alias("base_score"),
-        "score",
-    )
+    short = parts.where(F.col("bucket") < BUCKETS).select("keys", "counts").mapInArrow(_short, SHORT).groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    sent = spark.sparkContext.broadcast(pickle.dumps((short.column("key").to_numpy().view(np.uint64), short.column("n").to_numpy()), protocol=5))
+    both = parts.select("bucket", F.lit(None).cast("long").alias("chunk"), "keys", "counts").union(asked)
+    answers = both.repartition("bucket").sortWithinPartitions("bucket", F.col("chunk").asc_nulls_first()).mapInArrow(_answer(sent), ANSWERED)
+    texts = stored.where(F.col("kind") == TEXTS).select("chunk", "texts")
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(n, v, n_texts), schema)
