@@ -1,10 +1,11 @@
 """License scans by conditional compression.
 
-In blocks of a text that may state a license, however long, every run of words that
-is as similar to a template as LEAST asks is found by an exact alignment; stretches
-without enough of the template's words are skipped, as they cannot hold one. Each run is
-compressed alone and with the template as a raw zstandard dictionary: what the
-template saves is measured on the run, so it does not depend on the text around, and drops nothing.
+In texts that may state a license, every run of words that is as similar to a template
+as LEAST asks is found by an exact alignment; stretches without enough of the template's words
+are skipped, as they cannot hold one. Each run found is a candidate block: it is compressed
+alone and with each template as a raw zstandard dictionary. Of candidates that overlap, the one whose
+template takes the most bytes off stands, and its exact wording differences are given. What a template
+saves is measured on the run, so it does not depend on the text around, and drops nothing.
 """
 
 from __future__ import annotations
@@ -12,9 +13,11 @@ from __future__ import annotations
 import bisect
 import difflib
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -82,8 +85,6 @@ You can obtain one at http://mozilla.org/MPL/2.0/.""",
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
 
-#: Words one of which stands in each template; blocks without any cannot match one.
-SIGNS = r"(?i)licen[sc]e|permission|redistribut|free software|public domain"
 #: Least share of equal words for a confirmed match.
 LEAST = 0.85
 #: The same in whole points: a run that shares `own` words with a template of n has 2 * own / (n + run) >= LEAST just if SAME * own - EACH * run >= EACH * n.
@@ -98,6 +99,26 @@ def words(text: str) -> list[str]:
     return [w.lower() for w in WORD.findall(text)]
 
 
+def gate(templates=TEMPLATES) -> str:
+    """A pattern that each match holds, as alternative words.
+
+    A match has at least n * EACH / (SAME - EACH) of the template's n words, so it has one of any
+    words that are together more of them than it can lack: the longest ones are taken.
+    """
+    found: set[str] = set()
+    for _, text in templates:
+        own = words(text)
+        lack = len(own) - -(-len(own) * EACH // (SAME - EACH))
+        count = 0
+        for w in sorted(set(own), key=lambda w: (w not in found, -len(w), w)):
+            if count > lack:
+                break
+            found.add(w)
+            count += own.count(w)
+    # a word that holds another one is found with it
+    return "|".join(re.escape(w) for w in sorted(found) if not any(x != w and x in w for x in found))
+
+
 class Scanner:
     """Compressors and word tables for all templates, made once for each task."""
 
@@ -105,7 +126,6 @@ class Scanner:
         self.templates = [(name, words(text)) for name, text in templates]
         self.alone = zstandard.ZstdCompressor(level=3)
         self.given = [zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(" ".join(w).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, w in self.templates]
-        self.signs = re.compile(SIGNS)
         self.number: dict[str, int] = {}
         for _, template in self.templates:
             for w in template:
@@ -117,21 +137,12 @@ class Scanner:
             self.gain.append(np.where(equal, SAME - EACH << PLACE, -(1 << 60)))
         self.inside = [(g > 0).any(1) for g in self.gain]
 
-    def blocks(self, text: str):
-        """(start, end) of stretches of lines that hold a sign: paragraphs, and beside each paragraph of several lines, its lines with signs."""
-        for m in re.finditer(r"\S[^\n]*(?:\n[^\n]*\S[^\n]*)*", text):
-            if not self.signs.search(m[0]):
-                continue
-            if "\n" in m[0]:
-                for line in re.finditer(r"[^\n]+", m[0]):
-                    if self.signs.search(line[0]):
-                        yield m.start() + line.start(), m.start() + line.end()
-            yield m.span()
-
-    def saved(self, run: list[str], i: int) -> float:
-        """Share of a run's compressed size that template i saves."""
-        data = " ".join(run).encode()
-        return 1 - len(self.given[i].compress(data)) / len(self.alone.compress(data))
+    def saved(self, run: str, i: int) -> tuple[int, float]:
+        """How many bytes template i takes off a run's compressed size, and what share of it."""
+        data = run.encode()
+        alone = len(self.alone.compress(data))
+        off = alone - len(self.given[i].compress(data))
+        return off, off / alone
 
     def stretches(self, block: np.ndarray, i: int) -> list[tuple[int, int]]:
         """(low, high) of the words that can be in a match with template i.
@@ -188,40 +199,52 @@ class Scanner:
         codes = difflib.SequenceMatcher(None, template, run, autojunk=False).get_opcodes()
         return [f"-{' '.join(template[i1:i2])} +{' '.join(run[j1:j2])}" for tag, i1, i2, j1, j2 in codes if tag != "equal"]
 
+    def numbers(self, text: str) -> tuple[array, array, np.ndarray]:
+        """Where each word of a text starts and stops, and its number."""
+        starts, stops, found, other = array("q"), array("q"), array("i"), len(self.number)
+        for m in WORD.finditer(text):
+            starts.append(m.start())
+            stops.append(m.end())
+            found.append(self.number.get(m[0].lower(), other))
+        return starts, stops, np.frombuffer(found, np.int32)
+
     def scan(self, text: str) -> list[tuple]:
         """(license, start, end, saved, similarity, differences) of the licenses stated, one for each name and place, in order; those inside another's place are left out."""
+        starts, stops, block = self.numbers(text)
         found = []
-        for start, end in self.blocks(text):
-            spans = [m.span() for m in WORD.finditer(text, start, end)]
-            words_ = [text[a:b].lower() for a, b in spans]
-            block = np.array([self.number.get(w, len(self.number)) for w in words_], np.int64)
-            if not len(block):
-                continue
-            for i, (name, template) in enumerate(self.templates):
-                for points, first, last in self.runs(block, i):
-                    run = words_[first:last]
-                    similarity = 2 * (points + EACH * len(run)) / SAME / (len(template) + len(run))
-                    found.append((name, spans[first][0], spans[last - 1][1], round(self.saved(run, i), 6), round(similarity, 6), self.differences(run, template)))
-        # Of matches that overlap, the longer template's wording wins, then the more similar one.
-        found.sort(key=lambda x: (-(x[2] - x[1]) * x[4], x[1], x[0]))
-        kept: list[tuple] = []
+        for i, (_, template) in enumerate(self.templates):
+            for points, first, last in self.runs(block, i) if len(block) else ():
+                run = words(text[starts[first] : stops[last - 1]])
+                off, share = self.saved(" ".join(run), i)
+                found.append((off, share, 2 * (points + EACH * len(run)) / SAME / (len(template) + len(run)), first, last, i))
+        # Of runs that overlap, the one that its template takes the most off wins, then the more similar one.
+        found.sort(key=lambda x: (-x[0], -x[2], x[3], x[5]))
+        kept: list[tuple] = []  # by place
         for x in found:
-            if not any(x[1] < y[2] and y[1] < x[2] for y in kept):
-                kept.append(x)
-        return sorted(kept, key=lambda x: x[1])
+            at = bisect.bisect(kept, x[3], key=lambda y: y[3])
+            if (not at or kept[at - 1][4] <= x[3]) and (at == len(kept) or x[4] <= kept[at][3]):
+                kept.insert(at, x)
+        out = []
+        for _, share, similarity, first, last, i in kept:
+            name, template = self.templates[i]
+            start, stop = starts[first], stops[last - 1]
+            out.append((name, start, stop, round(share, 6), round(similarity, 6), self.differences(words(text[start:stop]), template)))
+        return out
 
 
 FOUND = "doc_id long, license string, start long, stop long, saved double, similarity double, n_differences int, differences array<string>"
 
 
 def _scan(batches):
-    scanner = Scanner()
+    scanner, holds = Scanner(), gate()
     names = [x.split()[0] for x in FOUND.split(", ")]
     types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int32(), pa.list_(pa.string())]
     for batch in batches:
+        may = pc.match_substring_regex(batch.column("text"), pattern=holds, ignore_case=True)
         rows = []
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            rows += [(doc_id, *x[:5], len(x[5]), x[5]) for x in scanner.scan(text)]
+        some = batch.filter(may)
+        for doc_id, text in zip(some.column("doc_id").to_pylist(), some.column("text"), strict=True):
+            rows += [(doc_id, *x[:5], len(x[5]), x[5]) for x in scanner.scan(text.as_py())]
         columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
@@ -229,9 +252,10 @@ def _scan(batches):
 def scan(docs: DataFrame) -> DataFrame:
     """A row for each license that a text of `docs` (doc_id, text; other columns are ignored) states.
 
-    start and stop count characters. Texts that hold none of SIGNS, null and empty
-    ones among them, give no rows; rows that repeat give their rows each time;
-    an empty table gives none. Texts are scanned whole, each by itself.
+    start and stop count characters. Null and empty texts, and such as hold no word of
+    gate(), give no rows; rows that repeat give their rows each time;
+    an empty table gives none. Texts are scanned whole, each by itself, across lines and paragraphs.
+    Of licenses that tie in the bytes saved and in similarity, the one that TEMPLATES has first is given.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.where(F.col("text").rlike(SIGNS)).mapInArrow(_scan, FOUND)
+    return rows.mapInArrow(_scan, FOUND)

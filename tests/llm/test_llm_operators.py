@@ -323,6 +323,78 @@ def test_licenses_are_found_each_time_a_line_states_them():
     assert [(x[0], len(x[5])) for x in got] == [("MIT", 1), ("MIT", 0), ("MIT", 1)]
 
 
+def brute_runs(template, w):
+    """All runs of words whose longest common subsequence with the template is long enough, by plain loops."""
+    out = []
+    for first in range(len(w)):
+        row = [0] * (len(template) + 1)
+        for last in range(first + 1, min(len(w), first + 3 * len(template)) + 1):
+            new = [0]
+            for j, x in enumerate(template):
+                new.append(row[j] + 1 if x == w[last - 1] else max(row[j + 1], new[j]))
+            row = new
+            if 2 * row[-1] >= licenses.LEAST * (len(template) + last - first) - 1e-9:
+                out.append((first, last, row[-1]))
+    return out
+
+
+def test_licenses_equal_brute_force():
+    """Of texts with notices that are cut, changed and mixed: a template is found just if some run is similar enough, and the best run of each place is among those found."""
+    rng, scanner = random.Random(7), licenses.Scanner()
+    short = [i for i, (_, w) in enumerate(scanner.templates) if len(w) <= 30]
+    pool = [x for i in short for x in scanner.templates[i][1]]
+    hits = 0
+    for _ in range(120):
+        w = []
+        for _ in range(rng.randrange(1, 4)):
+            own = list(scanner.templates[rng.choice(short)][1])
+            for _ in range(rng.randrange(0, 4)):
+                at = rng.randrange(len(own))
+                own[at : at + rng.randrange(0, 2)] = rng.choices([*pool, "zz"], k=rng.randrange(0, 2))
+                own = own or ["zz"]
+            w += own + rng.choices([*pool, "zz"], k=rng.randrange(0, 6))
+        block = np.array([scanner.number.get(x, len(scanner.number)) for x in w], np.int32)
+        found = set()
+        for i in short:
+            template = scanner.templates[i][1]
+            want, got = brute_runs(template, w), scanner.runs(block, i)
+            points = {(a, b): licenses.SAME * own - licenses.EACH * (b - a) for a, b, own in want}
+            assert bool(want) == bool(got) and all(points[a, b] == p for p, a, b in got)
+            # no run that is left over lies outside all of those found, and none found is worse than all that it overlaps
+            assert all(any(a < y and x < b for _, x, y in got) for a, b in points)
+            if got:
+                assert max(p for p, _, _ in got) == max(points.values())
+            found |= {i} if want else set()
+            hits += bool(want)
+        assert bool(scanner.scan(" ".join(w))) == bool(found)
+    assert hits > 100
+
+
+def test_licenses_gate_passes_every_match():
+    """Templates with as many words gone as a match allows, whichever they are."""
+    import re
+
+    rng, scanner, holds = random.Random(8), licenses.Scanner(), re.compile(licenses.gate(), re.IGNORECASE)
+    for i, (name, template) in enumerate(scanner.templates):
+        for trial in range(60):
+            keep = list(range(len(template)))
+            if trial == 0:  # the words of the gate go first
+                keep.sort(key=lambda k: bool(holds.search(template[k])))
+            else:
+                rng.shuffle(keep)
+            keep = sorted(keep[: -(-len(template) * licenses.EACH // (licenses.SAME - licenses.EACH))])
+            w = [template[k] for k in keep]
+            assert scanner.runs(np.array([scanner.number[x] for x in w], np.int32), i) and holds.search(" ".join(w)), name
+
+
+def test_licenses_across_paragraphs_and_in_very_long_texts(spark):
+    flat = licenses.TEMPLATES[3][1].replace("conditions: The", "conditions:\n\nThe").replace("Software.\nTHE", "Software.\n\nTHE")
+    rng = random.Random(9)
+    rows = [(1, f"Copyright (c) some one\n\n{flat}\n"), (2, prose(rng, 120_000) + " Released under CC BY-NC 4.0. " + prose(rng, 120_000)), (2, "Released under CC BY-NC 4.0."), (2, "Released under CC BY-NC 4.0."), (None, "\u212aey. LICENSED UNDER THE APACHE LICENSE, VERSION 2.0")]
+    got = sorted((r["doc_id"] or 0, r["license"], r["n_differences"]) for r in licenses.scan(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, license string")).collect())
+    assert got == [(0, "Apache-2.0", 0), (1, "MIT", 0), (2, "CC-BY-NC-4.0", 1), (2, "CC-BY-NC-4.0", 1), (2, "CC-BY-NC-4.0", 1)]
+
+
 # --- 6 -----------------------------------------------------------------------
 
 
