@@ -67,6 +67,23 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/loomstone/{what}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, what: str, path: str | None = None) -> tuple[DataFrame, str]:
+    """The same rows from a table written in the shared folder, and its path.
+
+    Unlike a checkpoint, it tells the planner its true size: the estimates of a loop's joins are products
+    of products, which take the driver longer and longer to write down.
+    """
+    path = path or scratch(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Removes a table that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col), F.lit(""))
 

@@ -29,12 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomstone.llm.common import WordHasher, as_bytes, cut, joined, mix, pieces
+from loomstone.llm.common import WordHasher, as_bytes, cut, joined, mix, pieces, removed, stored
 
 WORDS = 5
 CHUNKS, WIDTH = 10, 4
 #: Members of a key outside its largest component beyond which rare shingles take the key's place.
 SPLIT_AT = 8
+#: Rows of a key that are joined in one place, and parts of a key of which it is not known yet how many rows it has.
+TOGETHER, PARTS = 128, 8
 #: Shingles whose frequency orders the rest; the order decides only how many candidates there are.
 ORDERED = 1 << 16
 
@@ -184,12 +186,13 @@ def may_link(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, per
 
 
 def _close(percent: int):
-    """Pairs whose signatures differ in at most 2 * CHUNKS - 1 values and whose profiles allow a link."""
+    """Pairs whose signatures differ in at most 2 * CHUNKS - 1 values, or that shingles brought together (exact), and whose profiles allow a link."""
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
                 near = (_signs(batch.column("sign_a")) != _signs(batch.column("sign_b"))).sum(axis=1) < 2 * CHUNKS
+                near |= np.array(batch.column("exact").to_pylist(), bool)
                 a, b = (np.frombuffer(b"".join(batch.column(f"profile_{x}").to_pylist()), np.uint8).reshape(-1, 256) for x in "ab")
                 near &= may_link(a, b, *(batch.column(f"n_{x}").to_numpy() for x in "ab"), percent)
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(near))
@@ -219,16 +222,18 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Labels are passed along links and then along labels (pointer jumping), so
     the number of rounds grows with the logarithm of a path's length. All tables
-    stay distributed; each round ends in a checkpoint.
+    stay distributed; each round ends in a written table.
     """
-    both = cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
+    spark = links.sparkSession
+    both, _ = stored(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    labels, last = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
     for _ in range(most_rounds):
         heard = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("heard"))
         step = labels.join(heard, labels["node"] == heard["a"]).select("node", F.least("component", "heard").alias("now"), F.col("component").alias("was"))
         ahead = labels.select(F.col("node").alias("via"), F.col("component").alias("far"))
-        step = cut(step.join(ahead, step["now"] == ahead["via"], "left").select("node", F.least("now", F.coalesce("far", "now")).alias("component"), "was"))
-        labels = step.select("node", "component")
+        step, path = stored(step.join(ahead, step["now"] == ahead["via"]).select("node", F.least("now", "far").alias("component"), "was"), "labels")
+        removed(spark, last)
+        labels, last = step.select("node", "component"), path
         if step.where(F.col("component") != F.col("was")).isEmpty():
             return labels
     raise RuntimeError("components did not settle")
@@ -243,7 +248,7 @@ def _texts(source: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFram
 
 
 def _links(pairs: DataFrame, classes: DataFrame, source: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that full sets confirm."""
+    """The pairs (a, b) of classes that full sets confirm. Those not marked exact must have near signatures."""
     held = _texts(source, classes, pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))))
     facts = cut(held.select("class", "text").mapInArrow(_profile, "class long, profile binary").join(classes.select("class", "n_shingles", "signature"), "class"), TEXTS)
     a, b = (facts.select(F.col("class").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("signature").alias(f"sign_{x}"), F.col("profile").alias(f"profile_{x}")) for x in "ab")
@@ -270,8 +275,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     classes = cut(sets.withColumn("class", F.monotonically_increasing_id()))
     keys = cut(_shared(classes.select("class", "signature").mapInArrow(_keys, "key long, class long")))
     met = keys.groupBy("class").agg(F.sum("n").alias("met"))
-    leaders = keys.join(met, "class").groupBy("key").agg(F.max_by("class", F.struct("met", "class")).alias("a"))
-    pairs = cut(keys.join(leaders, "key").where(F.col("a") != F.col("class")).select("a", F.col("class").alias("b")).distinct())
+    leaders = keys.join(met, "class").groupBy("key").agg(F.max_by("class", F.struct("met", "class")).alias("a"), F.first("n").alias("n"))
+    pairs = _by_key(keys, leaders).where(F.col("a") != F.col("class"))
+    pairs = cut(pairs.select("a", F.col("class").alias("b"), F.lit(False).alias("exact")).distinct())
     links = _links(pairs, classes, source, percent)
     found = components(links)
     more = _links(cut(_rest(keys, found, classes, source, percent)), classes, source, percent)
@@ -310,19 +316,28 @@ def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
 
 def _shared(keys: DataFrame) -> DataFrame:
     """The rows whose key another row has too, with how many have it (n)."""
-    return keys.join(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key")
+    counts = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    return keys.withColumn("part", F.pmod(F.xxhash64("class"), F.lit(PARTS)).cast("int")).join(counts, ["key", "part"]).drop("part")
+
+
+def _by_key(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """Rows (key, class, n and more) joined with a table of one row for each key (key, n and more); about TOGETHER rows of a key meet in a place."""
+    parts = F.floor(F.col("n") / TOGETHER).cast("int")
+    table = table.withColumn("part", F.explode(F.sequence(F.lit(0), parts))).drop("n")
+    return rows.withColumn("part", F.pmod(F.xxhash64("class"), parts + 1).cast("int")).join(table, ["key", "part"]).drop("part")
 
 
 def _rest(keys: DataFrame, found: DataFrame, classes: DataFrame, source: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes that share a key and are not in one component yet."""
-    labelled = keys.join(found, keys["class"] == found["node"], "left").select("key", "class", F.coalesce("component", "class").alias("component"))
+    """Pairs of classes that share a key and are not in one component yet; exact are those of crowded keys that share a rare shingle, too."""
+    labelled = cut(keys.join(found, keys["class"] == found["node"], "left").select("key", "class", "n", F.coalesce("component", "class").alias("component")))
     open_ = cut(_open(labelled))
     plain = open_.where(F.col("others") <= SPLIT_AT)
     crowded = open_.where(F.col("others") > SPLIT_AT).select("class", "component").distinct()
     held = cut(_texts(source, classes, crowded).join(crowded, "class"))
     many = held.count()
+    near = _met(plain).withColumn("exact", F.lit(False))
     if not many:
-        return _met(plain)
+        return near
     # At most ORDERED rows come to the driver and go out again.
     often = held.select("text").repartition(max(1, many // 4096)).mapInArrow(_frequent, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     often = often.orderBy(F.desc("n"), "shingle").limit(ORDERED).collect()
@@ -335,21 +350,24 @@ def _rest(keys: DataFrame, found: DataFrame, classes: DataFrame, source: DataFra
     sizes = F.col("size_x") + F.col("size_y")
     room = (100 + percent) * F.least(F.col("size_x") - F.col("place_x"), F.col("size_y") - F.col("place_y")) >= percent * sizes
     most = F.aggregate(F.zip_with("ranges_x", "ranges_y", lambda a, b: F.least(a, b)), F.lit(0), lambda a, b: a + b)
-    return _met(plain).union(_met(rare, ("place", "size", "ranges"), room & ((100 + percent) * most >= percent * sizes))).distinct()
+    more = _met(rare, ("place", "size", "ranges"), room & ((100 + percent) * most >= percent * sizes)).withColumn("exact", F.lit(True))
+    return near.union(more).groupBy("a", "b").agg(F.max("exact").alias("exact"))
 
 
 def _open(labelled: DataFrame) -> DataFrame:
     """The rows of keys that meet several components, with the largest one (top) and the number of rows outside it (others)."""
     sizes = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    top = sizes.groupBy("key").agg(F.max_by("component", "n").alias("top"), (F.sum("n") - F.max("n")).alias("others")).where("others > 0")
-    return labelled.join(top, "key")
+    top = sizes.groupBy("key").agg(F.max_by("component", "n").alias("top"), (F.sum("n") - F.max("n")).alias("others"), F.sum("n").alias("n")).where("others > 0")
+    return _by_key(labelled, top)
 
 
 def _met(open_: DataFrame, more: tuple = (), room=None) -> DataFrame:
     """Pairs (a, b) of one key and two components: one class at least is outside the key's largest component."""
-    few = open_.where(F.col("component") != F.col("top")).select("key", "top", F.col("class").alias("x"), F.col("component").alias("cx"), *(F.col(c).alias(f"{c}_x") for c in more))
-    all_ = open_.select("key", F.col("class").alias("y"), F.col("component").alias("cy"), *(F.col(c).alias(f"{c}_y") for c in more))
+    # The rows of a key meet in parts of about TOGETHER rows (see _by_key); those outside its largest component go to all parts.
+    parts = F.floor(F.col("n") / TOGETHER).cast("int")
+    few = open_.where(F.col("component") != F.col("top")).select("key", F.explode(F.sequence(F.lit(0), parts)).alias("part"), F.col("class").alias("x"), F.col("component").alias("cx"), *(F.col(c).alias(f"{c}_x") for c in more))
+    all_ = open_.select("key", F.pmod(F.xxhash64("class"), parts + 1).cast("int").alias("part"), "top", F.col("class").alias("y"), F.col("component").alias("cy"), *(F.col(c).alias(f"{c}_y") for c in more))
     # of two that both are outside, one holds the other against itself
     once = (F.col("cy") == F.col("top")) | (F.col("x") < F.col("y"))
-    met = few.join(all_, (few["key"] == all_["key"]) & (F.col("cx") != F.col("cy")) & once & (F.lit(True) if room is None else room))
+    met = few.join(all_, (few["key"] == all_["key"]) & (few["part"] == all_["part"]) & (F.col("cx") != F.col("cy")) & once & (F.lit(True) if room is None else room))
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
