@@ -77,10 +77,14 @@ def _entropy(data: bytes) -> float:
     return float(-(p * np.log2(p)).sum()) + 0.0
 
 
-@F.pandas_udf(T.DoubleType())
-def entropy(s: pd.Series) -> pd.Series:
+def entropy(column):
     """Bits for each byte over the histogram of bytes; 0 for no bytes."""
-    return s.map(lambda x: None if x is None else _entropy(bytes(x)))
+
+    @F.pandas_udf(T.DoubleType())
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else _entropy(bytes(x)))
+
+    return run(column)
 
 
 def _shuffle(data: bytes, size: int, back: bool) -> bytes:

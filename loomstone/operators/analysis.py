@@ -8,13 +8,20 @@ from pyspark.sql import functions as F
 from loomstone.functions import columns as C
 from loomstone.functions import codecs
 from loomstone.operators import chunking
+from loomstone.operators.archive import Archive
+from loomstone.operators.lineage import cut, running_sums
 
 
-def inspect(blocks: DataFrame, streams: tuple = ("main",)) -> DataFrame:
-    """One row of counts and sizes by kind of block."""
-    b = blocks.where(F.col("stream").isin(*streams))
+def inspect(archive: Archive, streams: tuple = ("main",)) -> DataFrame:
+    """One row of counts and sizes by kind of block. Payloads are only read where they are compressed or sealed."""
+    b = archive.blocks.where(F.col("stream").isin(*streams))
     data = F.col("kind") == "data"
-    per = b.groupBy("kind", "store_id").agg(F.count(F.lit(1)).alias("n"), F.sum("logical_len").alias("bytes"), F.max("logical_len").alias("most"), F.min("logical_len").alias("least"), F.sum("stored_len").alias("stored"))
+    per = b.groupBy("kind", "store_id").agg(F.count(F.lit(1)).alias("n"), F.sum("logical_len").alias("bytes"), F.max("logical_len").alias("most"), F.min("logical_len").alias("least"))
+    if archive.config.compression or archive.config.key:
+        lengths = archive.store.select(F.col("store_id").alias("_id"), "stored_len")
+        per = per.where(data).join(lengths, F.col("store_id") == F.col("_id")).drop("_id").unionByName(per.where(~data).withColumn("stored_len", F.lit(None).cast("long")))
+    else:
+        per = per.withColumn("stored_len", F.when(data, F.col("most")))
     total = lambda x: F.coalesce(x, F.lit(0)).cast("long")
     return per.agg(
         total(F.sum("n")).alias("total_blocks"),
@@ -24,43 +31,63 @@ def inspect(blocks: DataFrame, streams: tuple = ("main",)) -> DataFrame:
         total(F.sum(F.when(data, F.lit(1)))).alias("unique_blocks"),
         total(F.sum("bytes")).alias("logical_bytes"),
         total(F.sum(F.when(data, F.col("bytes") - F.col("most")))).alias("duplicate_bytes"),
-        total(F.sum("stored")).alias("stored_bytes_by_reference"),
+        total(F.sum(F.when(data, F.col("n") * F.col("stored_len")))).alias("stored_bytes_by_reference"),
+        total(F.sum(F.when(data, F.col("stored_len")))).alias("stored_bytes"),
         total(F.min(F.when(data, F.col("least")))).alias("min_block"),
         total(F.max(F.when(data, F.col("most")))).alias("max_block"),
         total(F.floor(F.sum(F.when(data, F.col("bytes"))) / F.sum(F.when(data, F.col("n"))))).alias("avg_block"),
     )
 
 
+def compression_ratio(logical, stored):
+    """Logical bytes for each stored one; 0 where nothing is stored."""
+    return F.when(stored == 0, F.lit(0.0)).otherwise(logical / stored)
+
+
 def diff(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Blocks and bytes that two archives share, and that are new in b or gone from a: by hash, zero blocks aside."""
+    """Blocks and bytes that two archives share, and that are new in b or gone from a: by hash, zero blocks aside. share: of b's bytes, at least 1, in percent."""
     hashes = lambda x, name: x.where("hash is not null and kind <> 'zero'").groupBy("hash").agg(F.min("logical_len").alias(name))
     both = hashes(a, "a").join(hashes(b, "b"), "hash", "full_outer")
     label = F.when(F.col("a").isNull(), "new").when(F.col("b").isNull(), "removed").otherwise("shared")
-    return both.groupBy(label.alias("state")).agg(F.count(F.lit(1)).alias("blocks"), F.sum(F.coalesce("b", "a")).cast("long").alias("bytes"))
+    per = both.groupBy(label.alias("state")).agg(F.count(F.lit(1)).alias("blocks"), F.sum(F.coalesce("b", "a")).cast("long").alias("bytes"))
+    # Three rows at most.
+    of_b = per.where("state <> 'removed'").agg(F.greatest(F.lit(1), F.coalesce(F.sum("bytes"), F.lit(0))).alias("of_b"))
+    return per.join(F.broadcast(of_b)).select("state", "blocks", "bytes", F.when(F.col("state") != "removed", 100.0 * F.col("bytes") / F.col("of_b")).alias("share"))
+
+
+def _known(archives: DataFrame, name: str) -> int:
+    """Names archives (archive_id, parent_id) for SQL, and tells how many there are at most."""
+    kept = cut(archives.select("archive_id", "parent_id"))
+    kept.createOrReplaceTempView(name)
+    return kept.count() + 2
 
 
 def lineage(spark: SparkSession, archives: DataFrame) -> DataFrame:
-    """archive_id, depth and path of archives (archive_id, parent_id) below their roots; a parent that is not listed makes a root."""
-    archives.select("archive_id", "parent_id").createOrReplaceTempView("loomstone_archives")
-    return spark.sql("""
-        WITH RECURSIVE tree(archive_id, depth, path) AS (
+    """archive_id, depth and path of archives (archive_id, parent_id) below their roots; a parent that is not listed makes a root. A cycle is an error."""
+    most = _known(archives, "loomstone_archives")
+    tree = cut(spark.sql(f"""
+        WITH RECURSIVE tree(archive_id, depth, path) MAX RECURSION LEVEL {most} AS (
             SELECT a.archive_id, 0, a.archive_id FROM loomstone_archives a LEFT ANTI JOIN loomstone_archives p ON a.parent_id = p.archive_id
             UNION ALL
-            SELECT a.archive_id, t.depth + 1, concat(t.path, '/', a.archive_id) FROM tree t JOIN loomstone_archives a ON a.parent_id = t.archive_id WHERE t.depth < 64
+            SELECT a.archive_id, t.depth + 1, concat(t.path, '/', a.archive_id) FROM tree t JOIN loomstone_archives a ON a.parent_id = t.archive_id
         )
         SELECT archive_id, depth, path FROM tree
-    """)
+    """))
+    lost = spark.table("loomstone_archives").join(tree, "archive_id", "left_anti").select("archive_id").limit(1).collect()
+    if lost:
+        raise ValueError(f"archive {lost[0][0]} is its own ancestor, or builds on one that is")
+    return tree
 
 
 def closure(spark: SparkSession, archives: DataFrame, wanted: DataFrame) -> DataFrame:
-    """archive_id and depth of the wanted archives and all they build on; depth is the greatest distance from a wanted one."""
-    archives.select("archive_id", "parent_id").createOrReplaceTempView("loomstone_archives")
+    """archive_id and depth of the wanted archives and all they build on; depth is the greatest distance from a wanted one. A cycle exceeds the recursion level, which is an error."""
+    most = _known(archives, "loomstone_archives")
     wanted.select("archive_id").createOrReplaceTempView("loomstone_wanted")
-    return spark.sql("""
-        WITH RECURSIVE need(archive_id, depth) AS (
+    return spark.sql(f"""
+        WITH RECURSIVE need(archive_id, depth) MAX RECURSION LEVEL {most} AS (
             SELECT archive_id, 0 FROM loomstone_wanted
             UNION ALL
-            SELECT a.parent_id, n.depth + 1 FROM need n JOIN loomstone_archives a ON a.archive_id = n.archive_id WHERE a.parent_id IS NOT NULL AND n.depth < 64
+            SELECT DISTINCT a.parent_id, n.depth + 1 FROM need n JOIN loomstone_archives a ON a.archive_id = n.archive_id WHERE a.parent_id IS NOT NULL
         )
         SELECT archive_id, max(depth) AS depth FROM need GROUP BY archive_id
     """)
@@ -69,7 +96,8 @@ def closure(spark: SparkSession, archives: DataFrame, wanted: DataFrame) -> Data
 def copy_plan(spark: SparkSession, archives: DataFrame, wanted: DataFrame, there: DataFrame) -> DataFrame:
     """What to send, in which order (parents first): the closure without what `there` lists."""
     need = closure(spark, archives, wanted).join(there.select("archive_id"), "archive_id", "left_anti")
-    return need.select("archive_id", F.expr("CAST(row_number() OVER (ORDER BY depth DESC, archive_id) AS INT)").alias("step"))
+    order = need.select("archive_id", (-F.col("depth")).alias("order"))
+    return running_sums(order, ["order", "archive_id"], {"before": F.lit(1)}).select("archive_id", (F.col("before") + 1).cast("int").alias("step"))
 
 
 def predict(files: DataFrame, block: int, params: chunking.ChunkParams, samples: int | None = None) -> DataFrame:

@@ -58,15 +58,16 @@ def gear_table() -> np.ndarray:
 GEAR = gear_table()
 
 
-def cut_points(data: bytes, p: ChunkParams) -> list[int]:
-    """Ends of the chunks, by a rolling gear hash with a stricter test before the mean size and a laxer one after it.
+#: Bytes that the hash of a place covers.
+REACH = 64
+
+
+def places(data: bytes, p: ChunkParams) -> tuple[np.ndarray, np.ndarray]:
+    """Where the stricter and the laxer test of the rolling gear hash hold, as ends of chunks.
 
-    The hash of a place covers the 64 bytes before it, so it does not depend on
+    The hash of a place covers the REACH bytes before it, so it does not depend on
     where the chunk began: all places are tested at once.
     """
-    n = len(data)
-    if not n:
-        return []
     # h[i] = sum of GEAR[data[i - k]] << k: built by doubling, 1, 2, 4, ... bytes
     h = GEAR[np.frombuffer(data, np.uint8)]
     for shift in (1, 2, 4, 8, 16, 32):
@@ -75,21 +76,57 @@ def cut_points(data: bytes, p: ChunkParams) -> list[int]:
         h = more
     strict = np.flatnonzero((h >> np.uint64(64 - min(63, p.bits + 2))) == 0) + 1
     lax = np.flatnonzero((h >> np.uint64(64 - max(1, p.bits - 2))) == 0) + 1
+    return strict, lax
+
+
+def next_end(strict: np.ndarray, lax: np.ndarray, at: int, n: int, p: ChunkParams) -> int:
+    """The end of the chunk that begins at a place with n - at > p.least bytes from there on: a strict place up to the mean size, else a lax one."""
+    middle, last = min(at + p.mean, n), min(at + p.most, n)
+    i = np.searchsorted(strict, at + p.least)
+    if i < len(strict) and strict[i] <= middle:
+        return int(strict[i])
+    i = np.searchsorted(lax, max(middle, at + p.least))
+    return int(lax[i]) if i < len(lax) and lax[i] <= last else last
+
+
+def cut_points(data: bytes, p: ChunkParams) -> list[int]:
+    """Ends of the chunks of a whole file."""
+    n = len(data)
+    if not n:
+        return []
+    strict, lax = places(data, p)
     out, at = [], 0
     while n - at > p.least:
-        middle, last = min(at + p.mean, n), min(at + p.most, n)
-        i = np.searchsorted(strict, at + p.least)
-        end = int(strict[i]) if i < len(strict) and strict[i] <= middle else 0
-        if not end:
-            i = np.searchsorted(lax, max(middle, at + p.least))
-            end = int(lax[i]) if i < len(lax) and lax[i] <= last else last
-        out.append(end)
-        at = end
+        at = next_end(strict, lax, at, n, p)
+        out.append(at)
     if at < n:
         out.append(n)
     return out
 
 
+def stream_chunks(read, p: ChunkParams, buffer: int = 1 << 20):
+    """The chunks of a file of any length, the same that cut_points gives; read(n) gives its next bytes, none at its end.
+
+    No more than about twice the greatest chunk, or twice `buffer`, is held.
+    """
+    data, at, ended = b"", 0, False
+    while True:
+        while not ended and len(data) - at < 2 * max(p.most, buffer):
+            more = read(max(p.most, buffer))
+            ended = not more
+            data += more
+        if at == len(data):
+            return
+        strict, lax = places(data, p)
+        # REACH bytes before the chunk are kept, so that hashes are those of the whole file
+        while len(data) - at >= p.most or (ended and at < len(data)):
+            end = next_end(strict, lax, at, len(data), p) if len(data) - at > p.least else len(data)
+            yield data[at:end]
+            at = end
+        first = max(0, at - REACH)
+        data, at = data[first:], at - first
+
+
 def content_blocks(files: DataFrame, params: ChunkParams = ChunkParams()) -> DataFrame:
     """Blocks cut by content. A file is one row and is cut whole within its task; files are spread over tasks."""
     keep = [c for c in files.columns if c != "content"]

@@ -8,11 +8,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows from reliable checkpoint files in the folder that spark.checkpoint.dir names (a local one only where that is unset, as in tests)."""
-    sc = df.sparkSession.sparkContext
+def shared_dir(spark) -> str:
+    """The folder that spark.checkpoint.dir names, where driver and executors share it. A local one is made only where that is unset and the master is local."""
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='loomstone-')}")
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(found or f"file://{tempfile.mkdtemp(prefix='loomstone-')}")
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows from reliable checkpoint files in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomstone.operators.lineage import running_sums
+
 
 def parent(path: Column) -> Column:
     return F.when(path.contains("/"), F.regexp_replace(path, "/[^/]*$", "")).otherwise(F.lit(""))
@@ -28,6 +30,19 @@ def attributes(tree: DataFrame) -> DataFrame:
     return tree.select("path", "kind", "size", parent(F.col("path")).alias("parent"), F.element_at(F.split("path", "/"), -1).alias("name"), F.when(F.col("kind") == "dir", 0o755).otherwise(0o644).alias("mode"), F.ceil(F.col("size") / 512).alias("blocks"))
 
 
+def inodes(tree: DataFrame) -> DataFrame:
+    """Nodes with inode (1 for the root, from 2 on in order of path) and parent_inode (null for the root)."""
+    numbered = running_sums(tree, ["path"], {"_before": F.lit(1)}).withColumn("inode", F.col("_before") + 1).drop("_before")
+    above = numbered.where("kind = 'dir'").select(F.col("path").alias("_up"), F.col("inode").alias("parent_inode"))
+    up = F.when(F.col("path") != "", parent(F.col("path")))
+    return numbered.join(above, up == F.col("_up"), "left").drop("_up")
+
+
+def file_info(files: DataFrame) -> DataFrame:
+    """path, stream, offset, size, mode and mtime of the manifest's files of stream main."""
+    return files.where("stream = 'main'").select("path", "stream", "offset", "size", "mode", "mtime")
+
+
 def lookup(tree: DataFrame, path: str) -> DataFrame:
     return tree.where(F.col("path") == path)
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from loomstone.functions import codecs
 from loomstone.functions import columns as C
-from loomstone.operators import analysis, archive, chunking, tree
-from loomstone.operators.lineage import cut, running_sums
+from loomstone.operators import analysis, archive, chunking, tree, workspace
+from loomstone.operators.catalog import Catalog
+from loomstone.operators.lineage import cut, running_sums, shared_dir
 from loomstone.streaming import ingest
 
 QUERIES: dict = {}
@@ -133,11 +134,11 @@ def directory_totals(spark, sf_dir):
 @register(f"""
     WITH c AS {cut_sql(DOCS)}, u AS (SELECT h, count(*) AS n, min(len) AS len FROM c GROUP BY h)
     SELECT count(*) AS total_blocks, count(*) AS data_blocks, CAST(0 AS BIGINT) AS zero_blocks, CAST(0 AS BIGINT) AS parent_blocks, count(DISTINCT h) AS unique_blocks,
-           CAST(sum(len) AS BIGINT) AS logical_bytes, (SELECT CAST(sum((n - 1) * len) AS BIGINT) FROM u) AS duplicate_bytes, CAST(sum(len) AS BIGINT) AS stored_bytes_by_reference,
+           CAST(sum(len) AS BIGINT) AS logical_bytes, (SELECT CAST(sum((n - 1) * len) AS BIGINT) FROM u) AS duplicate_bytes, CAST(sum(len) AS BIGINT) AS stored_bytes_by_reference, (SELECT CAST(sum(len) AS BIGINT) FROM u) AS stored_bytes,
            CAST(min(len) AS BIGINT) AS min_block, CAST(max(len) AS BIGINT) AS max_block, CAST(sum(len) // count(*) AS BIGINT) AS avg_block FROM c
 """)
 def inspect_archive(spark, sf_dir):
-    return analysis.inspect(archive.pack(documents(spark, sf_dir), archive.PackConfig(block=BLOCK)).blocks)
+    return analysis.inspect(archive.pack(documents(spark, sf_dir), archive.PackConfig(block=BLOCK)))
 
 
 @register(f"""
@@ -153,13 +154,14 @@ def zero_blocks(spark, sf_dir):
 
 @register(f"""
     WITH a AS (SELECT h, min(len) AS len FROM {cut_sql(DOCS)} GROUP BY h), b AS (SELECT h, min(len) AS len FROM {cut_sql(EDITED)} GROUP BY h)
-    SELECT CASE WHEN a.h IS NULL THEN 'new' WHEN b.h IS NULL THEN 'removed' ELSE 'shared' END AS state, count(*) AS blocks, CAST(sum(coalesce(b.len, a.len)) AS BIGINT) AS bytes
-    FROM a FULL JOIN b ON a.h = b.h GROUP BY 1
+    SELECT state, blocks, bytes, CASE WHEN state <> 'removed' THEN round(100.0 * bytes / (SELECT sum(len) FROM b), 6) END AS share FROM
+    (SELECT CASE WHEN a.h IS NULL THEN 'new' WHEN b.h IS NULL THEN 'removed' ELSE 'shared' END AS state, count(*) AS blocks, CAST(sum(coalesce(b.len, a.len)) AS BIGINT) AS bytes
+    FROM a FULL JOIN b ON a.h = b.h GROUP BY 1)
 """)
 def diff_versions(spark, sf_dir):
     files = documents(spark, sf_dir)
     one, two = archive.pack(files, archive.PackConfig("one", BLOCK)), archive.pack(next_version(files), archive.PackConfig("two", BLOCK))
-    return analysis.diff(one.blocks, two.blocks)
+    return analysis.diff(one.blocks, two.blocks).withColumn("share", F.round("share", 6))
 
 
 @register(f"""
@@ -169,7 +171,7 @@ def diff_versions(spark, sf_dir):
 def thin_pack(spark, sf_dir):
     files = documents(spark, sf_dir)
     base = archive.pack(files, archive.PackConfig("one", BLOCK))
-    b = archive.pack(next_version(files), archive.PackConfig("two", BLOCK, parents=("one",)), base.blocks).blocks
+    b = archive.pack(next_version(files), archive.PackConfig("two", BLOCK), base).blocks
     return b.groupBy("kind").agg(F.count(F.lit(1)).alias("blocks"), F.count_distinct("hash").alias("hashes"), F.sum("logical_len").alias("bytes"))
 
 
@@ -181,49 +183,89 @@ def thin_pack(spark, sf_dir):
 def parent_chain(spark, sf_dir):
     """Three versions, each on the one before: the third one's blocks lead to the first two."""
     files = documents(spark, sf_dir)
-    one = archive.pack(files, archive.PackConfig("one", BLOCK)).blocks
-    two = archive.pack(next_version(files), archive.PackConfig("two", BLOCK), one).blocks
-    three = archive.pack(next_version(files), archive.PackConfig("three", BLOCK), two).blocks
+    one, two, three = versions(files)
     parents = spark.createDataFrame([("two", "one", 0), ("three", "two", 0)], "archive_id string, parent_id string, ordinal int")
-    found = archive.resolve(three, one.unionByName(two).unionByName(three), parents)
+    found = archive.resolve(three.blocks, one.blocks.unionByName(two.blocks).unionByName(three.blocks), parents).where(F.col("found") == F.col("owner"))
     return found.groupBy("owner").agg(F.count(F.lit(1)).alias("blocks"), F.sum("logical_len").alias("bytes"))
 
 
-@register("SELECT doc_id, sha256(substr(x, 1 + CAST(doc_id % 97 AS BIGINT) * 2, 2000)) AS digest FROM (SELECT doc_id, hex(encode(text)) AS x FROM documents)")
+def versions(files: DataFrame, **more) -> tuple:
+    """Three versions, each on the one before; the third is as the second."""
+    one = archive.pack(files, archive.PackConfig("one", BLOCK, **more))
+    two = archive.pack(next_version(files), archive.PackConfig("two", BLOCK, **more), one)
+    return one, two, archive.pack(next_version(files), archive.PackConfig("three", BLOCK, **more), two)
+
+
+def whole_files(a: archive.Archive) -> DataFrame:
+    """path and digest of each file, put together from its blocks."""
+    # A file is one value again, as it was in the input.
+    pieces = archive.payloads(a).select("path", "seq", archive.part("0", "logical_len").alias("part"))
+    whole = pieces.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("seq", "part"))).alias("x"))
+    content = F.aggregate(F.transform("x", lambda e: e["part"]), F.unhex(F.lit("")), lambda b, e: F.concat(b, e))
+    return a.files.select("path").join(whole, "path", "left").select("path", F.sha2(F.coalesce(content, F.unhex(F.lit(""))), 256).alias("digest"))
+
+
+@register("""
+    SELECT 'two' AS version, lpad(CAST(doc_id AS VARCHAR), 12, '0') AS path, sha256(encode(text || chr(10) || 'edited' || chr(10))) AS digest FROM documents
+    UNION ALL SELECT 'three', lpad(CAST(doc_id AS VARCHAR), 12, '0'), sha256(encode(text || chr(10) || 'edited' || chr(10))) FROM documents
+""")
+def restore_thin(spark, sf_dir):
+    """Files of thin, compressed versions, whose blocks are read from the versions that store them."""
+    _, two, three = versions(documents(spark, sf_dir), compression="zstd")
+    return whole_files(two).withColumn("version", F.lit("two")).union(whole_files(three).withColumn("version", F.lit("three")))
+
+
+#: Three ranges in each document, spread over its whole size.
+RANGES_SQL = "(SELECT doc_id, k, x, least(length(x) // 2, (length(x) // 2) * k // 3 + doc_id % 97) AS first FROM (SELECT doc_id, hex(encode({text})) AS x, unnest(range(0, 3)) AS k FROM documents))"
+
+
+def spread_ranges(a: archive.Archive) -> DataFrame:
+    ask = a.files.select(F.col("path").cast("long").alias("doc_id"), "path", "size", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("k"))
+    first = F.least(F.col("size"), F.floor(F.col("size") * F.col("k") / 3) + F.pmod("doc_id", F.lit(97)))
+    return ask.select((F.col("doc_id") * 3 + F.col("k")).alias("request_id"), "path", first.alias("first"), F.lit(1000).cast("long").alias("n"))
+
+
+@register(f"SELECT doc_id, CAST(k AS INT) AS k, sha256(substr(x, CAST(1 + first * 2 AS BIGINT), 2000)) AS digest FROM {RANGES_SQL.format(text='text')}")
 def read_ranges(spark, sf_dir):
-    """From each document the 1000 bytes from byte doc_id mod 97 on, read through the blocks; the digest is over their hex digits."""
-    files = documents(spark, sf_dir)
-    a = archive.pack(files, archive.PackConfig(block=BLOCK))
-    contents = archive.payloads(a)
-    ask = a.files.select(F.col("path").cast("long").alias("request_id"), "stream", "offset", "size")
-    first = F.least(F.pmod("request_id", F.lit(97)), F.col("size"))
-    ask = ask.select("request_id", "stream", (F.col("offset") + first).alias("first"), F.least(F.lit(1000), F.col("size") - first).alias("n"))
-    return archive.read_ranges(ask, contents).select(F.col("request_id").alias("doc_id"), F.sha2(F.hex("bytes"), 256).alias("digest"))
+    """1000 bytes from three places of each document, read through the blocks; the digest is over their hex digits."""
+    a = archive.pack(documents(spark, sf_dir), archive.PackConfig(block=BLOCK))
+    got = archive.read_files(a, spread_ranges(a))
+    return got.select(F.floor(F.col("request_id") / 3).alias("doc_id"), F.pmod("request_id", F.lit(3)).cast("int").alias("k"), F.sha2(F.hex("bytes"), 256).alias("digest"))
+
 
+@register(f"SELECT doc_id, CAST(k AS INT) AS k, sha256(substr(x, CAST(1 + first * 2 AS BIGINT), 2000)) AS digest FROM {RANGES_SQL.format(text="text || chr(10) || 'edited' || chr(10)")}")
+def read_thin_ranges(spark, sf_dir):
+    """The same of a thin version: most bytes come from its parents."""
+    _, _, a = versions(documents(spark, sf_dir))
+    got = archive.read_files(a, spread_ranges(a))
+    return got.select(F.floor(F.col("request_id") / 3).alias("doc_id"), F.pmod("request_id", F.lit(3)).cast("int").alias("k"), F.sha2(F.hex("bytes"), 256).alias("digest"))
 
-@register("SELECT lpad(CAST(doc_id AS VARCHAR), 12, '0') AS path, sha256(encode(text)) AS digest FROM documents WHERE text <> ''")
+
+@register("SELECT lpad(CAST(doc_id AS VARCHAR), 12, '0') AS path, sha256(encode(text)) AS digest FROM documents")
 def restore_files(spark, sf_dir):
     """Files put together again from compressed, deduplicated blocks of variable size."""
     c = archive.PackConfig(params=chunking.ChunkParams(256, 1024, 4096), block=None, compression="zstd")
-    contents = archive.payloads(archive.pack(documents(spark, sf_dir), c))
-    # A file is one value again, as it was in the input.
-    whole = contents.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("seq", "content"))).alias("x"))
-    return whole.select("path", F.sha2(F.aggregate(F.transform("x", lambda e: e["content"]), F.unhex(F.lit("")), lambda a, e: F.concat(a, e)), 256).alias("digest"))
+    return whole_files(archive.pack(documents(spark, sf_dir), c))
 
 
-@register("SELECT count(DISTINCT sha256(encode(text))) AS stored, CAST(0 AS BIGINT) AS corrupt FROM documents")
+@register("SELECT count(DISTINCT h) AS stored, count(DISTINCT h) FILTER (h LIKE '0%') AS corrupt FROM (SELECT sha256(encode(text)) AS h FROM documents WHERE text <> '')")
 def audit_store(spark, sf_dir):
+    """Of stored payloads those are damaged whose hash begins with 0."""
     a = archive.pack(documents(spark, sf_dir), archive.PackConfig(block=1 << 26, compression="lz4"))
+    damaged = F.when(F.col("store_id").startswith("0"), F.concat("payload", F.unhex(F.lit("00")))).otherwise(F.col("payload"))
+    a.store = cut(a.store.withColumn("payload", damaged))
     bad = archive.audit(a).agg(F.count(F.lit(1)).alias("corrupt"))
     return a.store.agg(F.count(F.lit(1)).alias("stored")).join(F.broadcast(bad))
 
 
-@register("SELECT doc_id, TRUE AS restored, CAST(octet_length(encode(text)) + 16 AS BIGINT) AS sealed FROM documents")
+@register("SELECT doc_id, sha256(encode(text)) AS restored, CAST(octet_length(encode(text)) + 16 AS BIGINT) AS sealed, FALSE AS plain FROM documents")
 def encrypted_blocks(spark, sf_dir):
     key = F.lit(bytes(range(32)))
     d = read(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("b"))
     sealed = C.encrypt(F.col("b"), key, F.col("doc_id"))
-    return d.select("doc_id", F.col("b"), sealed.alias("s")).select("doc_id", (C.decrypt(F.col("s"), key, F.col("doc_id")) == F.col("b")).alias("restored"), F.octet_length("s").cast("long").alias("sealed"))
+    both = d.select("doc_id", F.col("b"), sealed.alias("s"))
+    plain = (F.octet_length("b") > 16) & (F.expr("substring(s, 1, 16)") == F.expr("substring(b, 1, 16)"))
+    return both.select("doc_id", F.sha2(C.decrypt(F.col("s"), key, F.col("doc_id")), 256).alias("restored"), F.octet_length("s").cast("long").alias("sealed"), plain.alias("plain"))
 
 
 @register(f"""
@@ -239,23 +281,22 @@ def hash_sets(spark, sf_dir):
     return n(d.intersect(p), "intersect").union(n(d.subtract(p), "except")).union(n(d.union(p).distinct(), "union"))
 
 
-@register(f"SELECT doc_id, CAST((octet_length(encode(text)) // 2) // {BLOCK} AS INT) AS seq, CAST((octet_length(encode(text)) // 2) % {BLOCK} AS BIGINT) AS skip FROM documents WHERE text <> ''")
+@register(f"SELECT doc_id, CASE WHEN text <> '' THEN CAST((octet_length(encode(text)) // 2) // {BLOCK} AS INT) END AS seq, CASE WHEN text <> '' THEN CAST((octet_length(encode(text)) // 2) % {BLOCK} AS BIGINT) END AS skip FROM documents")
 def block_lookup(spark, sf_dir):
-    """The block that holds the middle byte of each document."""
+    """The block that holds the middle byte of each document; none of an empty one."""
     a = archive.pack(documents(spark, sf_dir), archive.PackConfig(block=BLOCK))
     middle = F.col("offset") + F.floor(F.col("size") / 2)
-    ask = a.files.where("size > 0").select(F.col("path").cast("long").alias("request_id"), "stream", middle.alias("first"), F.lit(1).alias("n"))
-    return archive.overlaps(ask, a.blocks).select(F.col("request_id").alias("doc_id"), "seq", "skip")
+    ask = cut(a.files.select(F.col("path").cast("long").alias("request_id"), "stream", middle.alias("first"), F.least(F.lit(1), F.col("size")).alias("n")))
+    return ask.select("request_id").join(archive.overlaps(ask, a.blocks), "request_id", "left").select(F.col("request_id").alias("doc_id"), "seq", "skip")
 
 
 @register(f"""
-    WITH c AS {cut_sql(DOCS)}, f AS (SELECT id AS doc_id, h FROM c WHERE i = 0), n AS (SELECT h, count(*) AS places FROM c GROUP BY h) SELECT doc_id, places FROM f JOIN n USING (h)
+    WITH c AS {cut_sql(DOCS)}, n AS (SELECT h, count(*) AS places FROM c GROUP BY h) SELECT id AS doc_id, CAST(i AS INT) AS seq, places FROM c JOIN n USING (h)
 """)
 def blocks_by_hash(spark, sf_dir):
-    """In how many places the first block of each document is."""
+    """In how many places each block of each document is."""
     b = archive.pack(documents(spark, sf_dir), archive.PackConfig(block=BLOCK)).blocks
-    wanted = b.where("seq = 0").select(F.col("path").cast("long").alias("doc_id"), "hash")
-    return wanted.join(b.groupBy("hash").agg(F.count(F.lit(1)).alias("places")), "hash").select("doc_id", "places")
+    return b.select(F.col("path").cast("long").alias("doc_id"), "seq", "hash").join(b.groupBy("hash").agg(F.count(F.lit(1)).alias("places")), "hash").select("doc_id", "seq", "places")
 
 
 @register("""
@@ -270,12 +311,10 @@ def stream_sizes(spark, sf_dir):
     return end.agg(F.max(F.when(F.col("stream") == "main", F.col("n"))).alias("main_size"), F.max(F.when(F.col("stream") == "aux", F.col("n"))).alias("aux_size"))
 
 
-@register("SELECT lpad(CAST(doc_id AS VARCHAR), 12, '0') AS path, sha256(encode(text)) AS digest FROM documents WHERE text <> ''")
+@register("SELECT lpad(CAST(doc_id AS VARCHAR), 12, '0') AS path, sha256(encode(text)) AS digest FROM documents")
 def restore_encrypted(spark, sf_dir):
     """Files of an encrypted and compressed archive."""
-    a = archive.pack(documents(spark, sf_dir), archive.PackConfig(block=1 << 16, compression="lz4", key=bytes(range(32))))
-    whole = archive.payloads(a).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("seq", "content"))).alias("x"))
-    return whole.select("path", F.sha2(F.aggregate(F.transform("x", lambda e: e["content"]), F.unhex(F.lit("")), lambda b, e: F.concat(b, e)), 256).alias("digest"))
+    return whole_files(archive.pack(documents(spark, sf_dir), archive.PackConfig(block=1 << 16, compression="lz4", key=bytes(range(32)))))
 
 
 @register("SELECT lang AS archive_id, count(*) AS tensors, CAST(sum(n_chars) AS BIGINT) AS bytes FROM documents WHERE source IN (SELECT max(source) FROM documents UNION ALL SELECT min(source) FROM documents) GROUP BY lang")
@@ -288,53 +327,195 @@ def delta_tensors(spark, sf_dir):
     return analysis.delta_tensors(d.join(F.broadcast(ends)).select(F.col("lang").alias("archive_id"), F.to_json(F.struct(entry.alias("tensors"))).alias("metadata_json")))
 
 
+# --- stored archives and workspaces ------------------------------------------------
+
+
+def new_catalog(spark: SparkSession, what: str) -> Catalog:
+    from uuid import uuid4
+
+    return Catalog(spark, f"{shared_dir(spark).rstrip('/')}/loomstone/{what}-{uuid4().hex}")
+
+
+def stored_versions(spark: SparkSession, sf_dir: str, what: str, **more) -> Catalog:
+    """Two versions of the documents in a new catalog."""
+    catalog, files = new_catalog(spark, what), documents(spark, sf_dir)
+    one = catalog.save(archive.pack(files, archive.PackConfig("one", BLOCK, **more)))
+    catalog.save(archive.pack(next_version(files), archive.PackConfig("two", BLOCK, **more), one))
+    return catalog
+
+
+@register("SELECT lpad(CAST(doc_id AS VARCHAR), 12, '0') AS path, sha256(encode(text || chr(10) || 'edited' || chr(10))) AS digest FROM documents")
+def reopened_archive(spark, sf_dir):
+    """Files of a thin archive that was saved and opened again, in a catalog that it was sent to."""
+    catalog, other = stored_versions(spark, sf_dir, "reopened", compression="lz4"), new_catalog(spark, "sent")
+    assert catalog.send(other, ["two"]) == ["one", "two"] and catalog.send(other, ["two"]) == []
+    return whole_files(other.open("two"))
+
+
+@register(f"""
+    WITH a AS {cut_sql(DOCS)}, b AS (SELECT *, h IN (SELECT h FROM a) AS old FROM {cut_sql(EDITED)}), u AS (SELECT h, min(len) AS len FROM a GROUP BY h), v AS (SELECT h, min(len) AS len FROM b WHERE NOT old GROUP BY h)
+    SELECT 'one' AS archive_id, 0 AS depth, 'one' AS path, count(*) AS data_blocks, CAST(0 AS BIGINT) AS parent_blocks, CAST(0 AS BIGINT) AS zero_blocks, (SELECT CAST(sum(len) AS BIGINT) FROM u) AS stored_bytes FROM a
+    UNION ALL SELECT 'two', 1, 'one/two', count(*) FILTER (NOT old), count(*) FILTER (old), 0, (SELECT CAST(sum(len) AS BIGINT) FROM v) FROM b
+""")
+def catalog_log(spark, sf_dir):
+    return stored_versions(spark, sf_dir, "log").log()
+
+
+@register(f"""
+    WITH a AS {cut_sql(DOCS)}, u AS (SELECT h, min(len) AS len FROM a GROUP BY h)
+    SELECT 'one' AS archive_id, 1 AS version, count(*) AS n_blocks, count(DISTINCT h) AS unique_blocks, CAST(sum(len) AS BIGINT) AS total_uncompressed, round(sum(len) / (SELECT sum(len) FROM u), 9) AS compression_ratio FROM a
+""")
+def show_archive(spark, sf_dir):
+    row = stored_versions(spark, sf_dir, "show").show("one")
+    return row.select("archive_id", "version", "n_blocks", "unique_blocks", "total_uncompressed", F.round("compression_ratio", 9).alias("compression_ratio"))
+
+
+@register(f"""
+    WITH a AS (SELECT *, sum(len) OVER (ORDER BY id, i) - len AS place FROM {cut_sql(DOCS)}), m AS (SELECT sum(len) // 2 AS middle FROM a), hit AS (SELECT id, i // 4096 AS page FROM a, m WHERE place <= middle AND middle < place + len)
+    SELECT lpad(CAST(a.id AS VARCHAR), 12, '0') AS path, CAST(i AS INT) AS seq, CAST(place AS BIGINT) AS logical_start FROM a JOIN hit ON a.id = hit.id AND a.i // 4096 = page
+""")
+def stored_page(spark, sf_dir):
+    """The blocks of the page that holds the middle byte of a stored archive."""
+    catalog = new_catalog(spark, "page")
+    a = catalog.save(archive.pack(documents(spark, sf_dir), archive.PackConfig("one", BLOCK)))
+    return catalog.page(a.id, "main", catalog.header(a.id)["main_size"] // 2).select("path", "seq", "logical_start")
+
+
+# Of the documents, those of number 0 mod 5 are removed, 1 mod 5 written anew, 2 mod 5 moved, and 3 mod 5 changed at byte 3 and cut to 40.
+CHANGED_SQL = """(SELECT CASE WHEN doc_id % 5 = 2 THEN 'moved/' ELSE '' END || lpad(CAST(doc_id AS VARCHAR), 12, '0') AS path,
+    CASE doc_id % 5 WHEN 1 THEN 'new ' || CAST(doc_id AS VARCHAR) WHEN 3 THEN 'ab' || chr(10) || 'new' || chr(10) || repeat('.', 33) ELSE text END AS text FROM documents WHERE doc_id % 5 <> 0)"""
+
+
+def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = read(spark, sf_dir, "documents").select("doc_id", F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("path"), (F.col("doc_id") % 5).alias("k"))
+    row = lambda seq, k, op, path="path", content=None, at=None, size=None, target=None: d.where(F.col("k") == k).select(
+        F.lit(seq).cast("long").alias("seq"), F.expr(path).alias("path"), F.lit(op).alias("op"), F.expr(content or "CAST(NULL AS BINARY)").cast("binary").alias("content"), F.lit(at).cast("long").alias("at"),
+        F.lit(size).cast("long").alias("size"), F.lit(None).cast("int").alias("mode"), F.lit(1).cast("long").alias("mtime"), F.expr(target or "CAST(NULL AS STRING)").alias("target"),
+    )
+    parts = [
+        row(1, 0, "whiteout"), row(2, 1, "put", content="concat('new ', doc_id)"), row(3, 2, "whiteout"), row(4, 2, "link", "concat('moved/', path)", target="path"),
+        row(5, 3, "put", content=r"'ab\n'"), row(6, 3, "write", content="repeat('.', 100)", at=7), row(7, 3, "write", content=r"'new\n'", at=3), row(8, 3, "truncate", size=40),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
+@register(f"SELECT path, sha256(encode(text)) AS digest FROM {CHANGED_SQL}")
+def committed_files(spark, sf_dir):
+    """Files of a version that was committed from changes to the one before."""
+    catalog = new_catalog(spark, "commit")
+    base = catalog.save(archive.pack(documents(spark, sf_dir), archive.PackConfig("one", BLOCK)))
+    return whole_files(catalog.save(workspace.commit(base, cut(workspace.overlay(changes(spark, sf_dir))), "two")))
+
+
+@register(f"SELECT path, sha256(substr(hex(encode(text)), 21, 60)) AS digest FROM {CHANGED_SQL}")
+def overlay_reads(spark, sf_dir):
+    """30 bytes from byte 10 on of each file that is seen through changes; the digest is over their hex digits."""
+    base = archive.pack(documents(spark, sf_dir), archive.PackConfig("one", BLOCK))
+    over = cut(workspace.overlay(changes(spark, sf_dir)))
+    names = cut(workspace.view(base.files, over).select("path").withColumn("request_id", F.monotonically_increasing_id()))
+    got = workspace.read(base, over, names.select("request_id", "path", F.lit(10).cast("long").alias("first"), F.lit(30).cast("long").alias("n")))
+    return names.join(got, "request_id").select("path", F.sha2(F.hex("bytes"), 256).alias("digest"))
+
+
 # --- codecs, transforms and content-defined blocks --------------------------------
 
 
-@register("SELECT doc_id, TRUE AS lz4, TRUE AS zstd, TRUE AS shuffled FROM documents")
+@register("""
+    WITH x AS (SELECT doc_id, regexp_extract_all(hex(encode(text)), '..') AS v FROM documents),
+    u AS (SELECT doc_id, len(v) AS n, unnest(v) AS v, generate_subscripts(v, 1) - 1 AS i FROM x),
+    w AS (SELECT doc_id, string_agg(v, '' ORDER BY CASE WHEN n // 4 <= 1 THEN 0 WHEN i < n // 4 * 4 THEN i % 4 ELSE 4 END, i) AS s FROM u GROUP BY doc_id)
+    SELECT doc_id, sha256(encode(text)) AS lz4, sha256(encode(text)) AS zstd, sha256(encode(text)) AS unshuffled, sha256(coalesce(s, '')) AS shuffled, CAST(octet_length(encode(text)) AS INT) AS lz4_length, '28B52FFD' AS zstd_magic
+    FROM documents LEFT JOIN w USING (doc_id)
+""")
 def codec_round_trip(spark, sf_dir):
+    """Digests of what comes back, of the shuffled bytes (as hex digits), and what the packed forms begin with."""
     d = read(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("b"))
-    packed = d.select("doc_id", "b", codecs.compress("lz4")("b").alias("l"), codecs.compress("zstd")("b").alias("z"), codecs.byte_shuffle(4)("b").alias("s"))
-    return packed.select("doc_id", (codecs.decompress("lz4")("l") == F.col("b")).alias("lz4"), (codecs.decompress("zstd")("z") == F.col("b")).alias("zstd"), (codecs.byte_unshuffle(4)("s") == F.col("b")).alias("shuffled"))
+    packed = d.select("doc_id", codecs.compress("lz4")("b").alias("l"), codecs.compress("zstd")("b").alias("z"), codecs.byte_shuffle(4)("b").alias("s"))
+    digest = lambda x: F.sha2(x, 256)
+    length = sum(F.conv(F.hex(F.expr(f"substring(l, {i + 1}, 1)")), 16, 10).cast("int") * (1 << (8 * i)) for i in range(4))
+    return packed.select("doc_id", digest(codecs.decompress("lz4")("l")).alias("lz4"), digest(codecs.decompress("zstd")("z")).alias("zstd"), digest(codecs.byte_unshuffle(4)("s")).alias("unshuffled"), digest(F.hex("s")).alias("shuffled"), length.cast("int").alias("lz4_length"), F.hex(F.expr("substring(z, 1, 4)")).alias("zstd_magic"))
 
 
-@register("SELECT doc_id, TRUE AS restored FROM documents")
+@register("SELECT doc_id, sha256(encode(text)) AS restored FROM documents")
 def dictionary_round_trip(spark, sf_dir):
-    """Zstandard with a dictionary trained on at most 2000 blocks, those with the least hashes."""
-    d = read(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("b"))
-    samples = [bytes(r[0]) for r in d.orderBy(F.xxhash64("b"), "doc_id").select("b").limit(2000).collect()]
-    given = codecs.train_dictionary(samples, 16 << 10)
-    packed = d.select("doc_id", "b", codecs.compress("zstd", 3, given)("b").alias("z"))
-    return packed.select("doc_id", (codecs.decompress("zstd", 3, given)("z") == F.col("b")).alias("restored"))
+    """Zstandard with a dictionary trained on sampled blocks."""
+    files = documents(spark, sf_dir)
+    given = archive.train_dictionary(files, BLOCK, 1 << 20, 16 << 10)
+    d = files.select(F.col("path").cast("long").alias("doc_id"), codecs.compress("zstd", 3, given)("content").alias("z"))
+    return d.select("doc_id", F.sha2(codecs.decompress("zstd", 3, given)("z"), 256).alias("restored"))
 
 
 @register("""
     WITH x AS (SELECT doc_id, hex(encode(text)) AS h FROM documents), b AS (SELECT doc_id, h[2 * i + 1 : 2 * i + 2] AS v FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2)) AS i FROM x)),
     c AS (SELECT doc_id, v, count(*) AS n FROM b GROUP BY doc_id, v), t AS (SELECT doc_id, sum(n) AS t FROM c GROUP BY doc_id)
-    SELECT doc_id, round(-sum(n / t.t * log2(n / t.t)), 5) AS entropy FROM c JOIN t USING (doc_id) GROUP BY doc_id
+    SELECT doc_id, round(coalesce(-sum(n / t.t * log2(n / t.t)), 0), 5) + 0.0 AS entropy FROM documents LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id) GROUP BY doc_id
 """)
 def entropy(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").where("text <> ''")
+    d = read(spark, sf_dir, "documents")
     return d.select("doc_id", F.round(codecs.entropy(F.encode("text", "UTF-8")), 5).alias("entropy"))
 
 
-@register("SELECT CAST(sum(octet_length(encode(text))) AS BIGINT) AS total_bytes, TRUE AS bounded FROM documents")
+CDC = chunking.ChunkParams(256, 1024, 4096)
+
+
+def cdc_sql(source: str, p: chunking.ChunkParams = CDC) -> str:
+    """Steps of SQL that cut by content: the rolling hash by window functions, the cuts by recursion; ends in ch(id, seq, start, stop)."""
+    two = lambda k: str(1 << k)
+    steps, last = [], "cdc_0 AS (SELECT id, i, g AS h FROM cdc_b JOIN cdc_g USING (v))"
+    for k, shift in enumerate((1, 2, 4, 8, 16, 32), 1):
+        steps.append(last)
+        last = f"cdc_{k} AS (SELECT id, i, (h + (coalesce(lag(h, {shift}) OVER (PARTITION BY id ORDER BY i), 0::UHUGEINT) % {two(64 - shift)}::UHUGEINT) * {two(shift)}::UHUGEINT) % {two(64)}::UHUGEINT AS h FROM cdc_{k - 1})"
+    table = ", ".join(f"('{i:02X}', {int(g)}::UHUGEINT)" for i, g in enumerate(chunking.GEAR))
+    strict, lax = two(64 - (p.bits + 2)), two(64 - (p.bits - 2))
+    middle, end = f"least(r.stop + {p.mean}, n)", f"least(r.stop + {p.most}, n)"
+    return f"""
+    cdc_f AS (SELECT id, octet_length(b) AS n, regexp_extract_all(hex(b), '..') AS x FROM ({source})),
+    cdc_b AS (SELECT id, unnest(x) AS v, generate_subscripts(x, 1) - 1 AS i FROM cdc_f),
+    cdc_g(v, g) AS (VALUES {table}),
+    {", ".join([*steps, last])},
+    cdc_e AS MATERIALIZED (SELECT id, n, coalesce(strict, []) AS strict, coalesce(lax, []) AS lax FROM cdc_f LEFT JOIN
+        (SELECT id, list(i + 1) FILTER (h < {strict}::UHUGEINT) AS strict, list(i + 1) AS lax FROM cdc_6 WHERE h < {lax}::UHUGEINT GROUP BY id) USING (id)),
+    cdc_r AS (SELECT id, -1 AS seq, 0::BIGINT AS start, 0::BIGINT AS stop FROM cdc_e UNION ALL
+        SELECT r.id, seq + 1, r.stop, CASE WHEN n - r.stop <= {p.least} THEN n ELSE coalesce(list_min(list_filter(strict, lambda e: e >= r.stop + {p.least} AND e <= {middle})),
+        list_min(list_filter(lax, lambda e: e >= greatest({middle}, r.stop + {p.least}) AND e <= {end})), {end}) END FROM cdc_r r JOIN cdc_e USING (id) WHERE r.stop < n),
+    ch AS (SELECT * FROM cdc_r WHERE seq >= 0), chb AS (SELECT id, seq, start, stop, b[start + 1 : stop] AS content FROM ch JOIN ({source}) USING (id))
+    """
+
+
+@register(f"WITH RECURSIVE {cdc_sql(DOCS)} SELECT lpad(CAST(id AS VARCHAR), 12, '0') AS path, CAST(seq AS INT) AS seq, start, CAST(octet_length(content) AS BIGINT) AS len, sha256(content) AS hash FROM chb")
 def content_defined_blocks(spark, sf_dir):
-    p = chunking.ChunkParams(256, 1024, 4096)
-    b = chunking.content_blocks(documents(spark, sf_dir), p)
-    n = F.octet_length("content")
-    last = b.groupBy("path").agg(F.sum(n.cast("long")).alias("n"), F.sum((n < p.least).cast("int")).alias("short"), F.max(n).alias("most"))
-    return last.agg(F.sum("n").alias("total_bytes"), ((F.max("short") <= 1) & (F.max("most") <= p.most)).alias("bounded"))
+    b = chunking.content_blocks(documents(spark, sf_dir), CDC)
+    return b.select("path", "seq", "start", F.octet_length("content").cast("long").alias("len"), C.hash_expr(F.col("content")).alias("hash"))
 
 
-@register()
+@register(f"""
+    WITH RECURSIVE {cdc_sql(DOCS)}, h AS (SELECT sha256(content) AS h, octet_length(content) AS n FROM chb)
+    SELECT count(*) AS chunks, count(DISTINCT h) AS unique_chunks, CAST(sum(n) AS BIGINT) AS total_bytes, (SELECT CAST(sum(n) AS BIGINT) FROM (SELECT min(n) AS n FROM h GROUP BY h)) AS unique_bytes FROM h
+""")
 def content_dedup_stats(spark, sf_dir):
-    return chunking.stream_stats(chunking.content_blocks(documents(spark, sf_dir), chunking.ChunkParams(256, 1024, 4096)))
+    return chunking.stream_stats(chunking.content_blocks(documents(spark, sf_dir), CDC))
 
 
-@register()
+@register(f"""
+    WITH RECURSIVE {cdc_sql(DOCS)}, c AS {cut_sql(DOCS)}, z AS (SELECT id, h, len, lower(hex(content)) = repeat('0', CAST(2 * len AS INT)) AS zero, content FROM c),
+    e AS (SELECT id, h, v, count(*) AS n FROM (SELECT DISTINCT id, h, content FROM z), unnest(regexp_extract_all(hex(content), '..')) t(v) GROUP BY id, h, v),
+    en AS (SELECT id, h, -sum(n / t * log2(n / t)) AS e FROM (SELECT *, sum(n) OVER (PARTITION BY id, h) AS t FROM e) GROUP BY id, h),
+    f AS (SELECT id, count(*) AS blocks, sum(len) AS bytes, avg(zero::INT) AS zero_share, coalesce(avg(e) FILTER (NOT zero), 0) AS mean_entropy, avg((NOT zero AND e > 6)::INT) AS high FROM z JOIN en USING (id, h) GROUP BY id),
+    u AS (SELECT id, sum(len) AS u FROM (SELECT id, h, min(len) AS len FROM z GROUP BY id, h) GROUP BY id),
+    k AS (SELECT id, count(DISTINCT sha256(content)) / count(*) AS cdc FROM chb GROUP BY id)
+    SELECT lpad(CAST(id AS VARCHAR), 12, '0') AS path, CAST(blocks AS BIGINT) AS blocks, round(zero_share, 9) AS zero_share, round(mean_entropy, 5) AS mean_entropy, round(high, 9) AS high_entropy_share, round(u / bytes, 9) AS fixed_dedup_ratio, round(cdc, 9) AS cdc_dedup_ratio,
+           TRUE AS codecs_add_up FROM f JOIN u USING (id) JOIN k USING (id)
+""")
 def predict_savings(spark, sf_dir):
-    return analysis.predict(documents(spark, sf_dir), BLOCK, chunking.ChunkParams(256, 1024, 4096))
+    """What a prediction rests on; codecs_add_up tells whether its savings follow from its ratios, and the codecs' ratios lie where they must."""
+    p = analysis.predict(documents(spark, sf_dir), BLOCK, CDC)
+    best = F.least("fixed_dedup_ratio", "cdc_dedup_ratio") * F.least("lz4_ratio", "zstd_ratio")
+    sound = (F.abs(F.col("best_savings_pct") - 100 * (1 - best)) < 1e-9) & (F.col("estimated_bytes") == F.floor(F.col("size") * best)) & (F.col("zstd_ratio") > 0) & (F.col("lz4_ratio") < 2 + 20 / F.col("size"))
+    rounded = [F.round(c, 9).alias(c) for c in ("zero_share", "high_entropy_share", "fixed_dedup_ratio", "cdc_dedup_ratio")]
+    return p.select("path", "blocks", *rounded, F.round("mean_entropy", 5).alias("mean_entropy"), sound.alias("codecs_add_up"))
 
 
 GRID = "SELECT CAST(f AS DOUBLE) AS f, greatest(1024.0, floor(pow(2, f) / 4)) AS m, least(1048576.0, pow(2, f) * 8) AS z FROM range(10, 19) t(f)"
@@ -349,7 +530,8 @@ def chunk_length_model(spark, sf_dir):
 
 
 @register(f"""
-    WITH t AS (SELECT lang AS name, CAST(sum(octet_length(encode(text))) AS DOUBLE) AS total, CAST(count(DISTINCT text) * 1000 AS DOUBLE) AS uniq FROM documents GROUP BY lang),
+    WITH blocks AS {cut_sql(DOCS, 4096)}, uniq AS (SELECT lang, sum(len) AS u FROM (SELECT lang, h, min(len) AS len FROM blocks JOIN documents ON id = doc_id GROUP BY lang, h) GROUP BY lang),
+    t AS (SELECT lang AS name, CAST(sum(octet_length(encode(text))) AS DOUBLE) AS total, CAST(any_value(u) AS DOUBLE) AS uniq FROM documents JOIN uniq USING (lang) GROUP BY lang),
     c AS (SELECT name, total, CASE WHEN uniq >= total THEN 1.0 ELSE least(1.0, uniq / (total * (2048 + (1 - pow(2, -13)) / pow(2, -13) * (1 - pow(1 - pow(2, -13), 63488))))) END AS c FROM t),
     g AS ({GRID}), x AS (SELECT name, total, c, f, m, z, pow(2, -f) AS p, {LENGTH} AS l FROM c, g),
     y AS (SELECT *, (1 - p) * (1 - c) AS r, z - m AS n FROM x),
@@ -359,8 +541,10 @@ def chunk_length_model(spark, sf_dir):
     SELECT name, CAST(arg_min(f, ratio) AS INT) AS f, round(min(ratio), 6) AS ratio FROM e GROUP BY name
 """)
 def optimal_parameters(spark, sf_dir):
-    d = read(spark, sf_dir, "documents")
-    totals = d.groupBy(F.col("lang").alias("name")).agg(F.sum(F.octet_length(F.encode("text", "UTF-8"))).cast("double").alias("total"), (F.count_distinct("text") * 1000).cast("double").alias("unique"))
+    """For each language, from its bytes in all and in different blocks."""
+    d = read(spark, sf_dir, "documents").select(F.col("lang").alias("path"), F.lit("main").alias("stream"), F.encode("text", "UTF-8").alias("content"))
+    per = chunking.fixed_blocks(d, 4096).select(F.col("path").alias("name"), C.hash_expr(F.col("content")).alias("h"), F.octet_length("content").cast("long").alias("n")).groupBy("name", "h").agg(F.sum("n").alias("all"), F.min("n").alias("n"))
+    totals = per.groupBy("name").agg(F.sum("all").cast("double").alias("total"), F.sum("n").cast("double").alias("unique"))
     return analysis.optimize_params(spark, totals).select("name", "f", F.round("ratio", 6).alias("ratio"))
 
 
@@ -458,6 +642,11 @@ def tree_attributes(spark, sf_dir):
     return tree.attributes(page_tree(spark, sf_dir))
 
 
+@register(f"WITH {{TREE_SQL}}, n AS (SELECT path, row_number() OVER (ORDER BY path) AS inode FROM tree) SELECT n.path, n.inode, p.inode AS parent_inode FROM n LEFT JOIN n p ON n.path <> '' AND p.path = CASE WHEN strpos(n.path, '/') > 0 THEN regexp_replace(n.path, '/[^/]*$', '') ELSE '' END".format(TREE_SQL=TREE_SQL))
+def inodes(spark, sf_dir):
+    return tree.inodes(page_tree(spark, sf_dir)).select("path", "inode", "parent_inode")
+
+
 @register(f"""
     WITH {TREE_SQL}, c AS (SELECT CASE WHEN strpos(path, '/') > 0 THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END AS parent, string_split(path, '/')[-1] AS name FROM tree WHERE path <> '')
     SELECT parent, string_agg(name, chr(10) ORDER BY name) AS names FROM c GROUP BY parent
@@ -519,10 +708,7 @@ def workspace_status(spark, sf_dir):
 @register("SELECT sha256(props) AS hash, CAST(octet_length(encode(props)) AS BIGINT) AS n FROM (SELECT DISTINCT props FROM events)")
 def streamed_blocks(spark, sf_dir):
     """Blocks that streaming ingestion keeps of the events' properties."""
-    from uuid import uuid4
-
-    cut(spark.range(1))  # the shared folder is known from here on
-    root = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/ingest-{uuid4().hex}"
+    root = new_catalog(spark, "ingest").root
     schema = read(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir) if not is_folder(spark, f"{sf_dir}/events.parquet") else spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet")
     ingest.ingest(stream.select(F.encode("props", "UTF-8").alias("content")), f"{root}/store", f"{root}/checkpoint")
