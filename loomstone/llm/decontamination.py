@@ -11,11 +11,12 @@ how often a shingle occurs) is at least the threshold.
    matches cannot be similar.
 2. Windows that are left get a SimHash of 64 bits, weighted by occurrences.
 3. A multi-index join finds all fingerprints within RADIUS: of RADIUS + 1 blocks
-   of bits, two such fingerprints share one.
+   of bits, two such fingerprints share one. A window is joined with the items that
+   its probes met, no others: none of those can be similar.
 4. The exact similarity decides.
 
-Items are taken in blocks of at most BLOCK shingles, so what a plan carries is
-bounded for a benchmark of any size.
+The corpus is read once for each size of shingle. The shingles of a benchmark of up to SMALL
+of them travel with the plan; those of a larger one are joined by hash.
 """
 
 from __future__ import annotations
@@ -30,7 +31,8 @@ from loomstone.llm.common import cut
 WORDS = 5
 #: Two windows of similarity 0.8 differ in about 10 of 64 bits, in over 23 about once in a million.
 RADIUS = 23
-BLOCK = 20_000
+#: Shingles of a benchmark (8 bytes each) that are held by the driver and sent with a plan; and rows that are broadcast.
+SMALL = 200_000
 FIELDS, FIELD_BITS = 3, 21  # counters of SimHash bits packed in a long
 
 
@@ -90,7 +92,9 @@ def simhash(hs: str):
 
 def numbered(hs: str):
     """Hashes that tell the occurrences of a shingle apart: sets of them intersect as the multisets do."""
-    return F.get(F.transform(F.array(F.array_sort(hs)), lambda a: F.transform(a, lambda x, i: F.xxhash64(x, i + 1 - F.array_position(a, x)))), 0)
+    apart = F.get(F.transform(F.array(F.array_sort(hs)), lambda a: F.transform(a, lambda x, i: F.xxhash64(x, i + 1 - F.array_position(a, x)))), 0)
+    # where no shingle occurs twice, which is the rule, nothing need be counted
+    return F.when(F.size(F.array_distinct(hs)) == F.size(hs), F.transform(hs, lambda x: F.xxhash64(x, F.lit(1).cast("long")))).otherwise(apart)
 
 
 def blocks(fp: str):
@@ -121,25 +125,32 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -> DataFram
     for k in range(1, WORDS + 1):
         part = cut(own.where(F.col("k") == k).select("item", "item_id", "words", shingles_of("words", k).alias("hs"), (F.size("words") - k + 1).alias("n")))
         total, least = part.agg(F.sum("n"), F.min("n")).first()
-        count = -(-(total or 0) // BLOCK)
-        for b in range(count):
-            block = part if count == 1 else cut(part.where(F.pmod(F.xxhash64("item"), F.lit(count)) == b))
-            got = _leaks(w, block, k, stride_for(max(1, -int(-least * threshold // 1)), 1 - threshold), threshold)
+        if total:
+            got = _leaks(w, part, k, stride_for(max(1, -int(-least * threshold // 1)), 1 - threshold), threshold, total <= SMALL)
             found = got if found is None else found.union(got)
     if found is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, digest long, item_id long, start int, n_words int, distance int, similarity double")
     return found
 
 
-def _leaks(w: DataFrame, items: DataFrame, k: int, stride: int, threshold: float) -> DataFrame:
-    # A block has BLOCK shingles on average, and so many hashes at the driver.
-    known = [r[0] for r in items.select(F.explode("hs")).distinct().collect()]
+def _leaks(w: DataFrame, items: DataFrame, k: int, stride: int, threshold: float, small: bool) -> DataFrame:
+    sent = F.broadcast if small else lambda df: df
+    by_doc = ["doc_id", "digest"]
+    same_doc = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["digest"] == b["digest"])
     probes = F.zip_with(shingles_of("words", k, stride), F.sequence(F.lit(0), F.greatest(F.size("words") - k, F.lit(0)), F.lit(stride)), lambda h, p: F.struct(h.alias("h"), p.alias("p")))
-    hit = w.where(F.size("words") >= k).withColumn("probes", once(F.filter(probes, lambda x: x["h"].isin(known)))).where(F.size("probes") > 0)
-    hit = cut(hit.select("doc_id", "digest", shingles_of("words", k).alias("hs"), F.size("words").alias("n_doc"), "probes").dropDuplicates(["doc_id", "digest"]))
     shingles = items.select("item", "n", F.explode("hs").alias("h")).distinct()
-    matches = hit.select("doc_id", "digest", F.size("hs").alias("all"), F.explode("probes").alias("probe")).select("doc_id", "digest", "all", "probe.h", "probe.p")
-    matches = matches.join(F.broadcast(shingles), "h")
+    w = w.where(F.size("words") >= k)
+    whole = [*by_doc, shingles_of("words", k).alias("hs")]
+    if small:
+        known = [r[0] for r in shingles.select("h").distinct().collect()]
+        hit = w.withColumn("probes", once(F.filter(probes, lambda x: x["h"].isin(known)))).where(F.size("probes") > 0)
+        hit = cut(hit.select(*whole, "probes").dropDuplicates(by_doc))
+        matches = hit.select(*by_doc, F.size("hs").alias("all"), F.explode("probes").alias("probe")).select(*by_doc, "all", "probe.h", "probe.p").join(F.broadcast(shingles), "h")
+    else:
+        met = w.select(*by_doc, (F.size("words") - k + 1).alias("all"), F.explode(probes).alias("probe")).select(*by_doc, "all", "probe.h", "probe.p")
+        matches = cut(met.join(shingles, "h").distinct())
+        docs = matches.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
+        hit = cut(w.select(*whole).join(docs, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left_semi").dropDuplicates(by_doc))
     # A group is at most the probes of one document.
     groups = matches.groupBy("doc_id", "digest", "item", "n", "all").agg(F.sort_array(F.collect_set("p")).alias("ps"))
     size = F.least("n", "all")
@@ -150,24 +161,25 @@ def _leaks(w: DataFrame, items: DataFrame, k: int, stride: int, threshold: float
         lambda i: F.struct(F.greatest(F.lit(0), F.get("ps", i + F.col("need") - 1) - F.col("size") + 1).alias("first"), F.least(F.get("ps", i), F.col("all") - F.col("size")).alias("last")),
     )
     starts = F.array_distinct(F.flatten(F.transform(F.filter(spans, lambda s: s["first"] <= s["last"]), lambda s: F.sequence(s["first"], s["last"]))))
-    windows = groups.select("doc_id", "digest", "n", "size", F.explode(starts).alias("start")).distinct()
-    by_doc = ["doc_id", "digest"]
-    same_doc = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["digest"] == b["digest"])
+    asked = groups.select(*by_doc, "item", "n", "size", F.explode(starts).alias("start"))
+    windows = asked.groupBy(*by_doc, "n", "size", "start").agg(F.collect_set("item").alias("items"))
     hs = hit.select("doc_id", "digest", "hs")
-    parts = windows.join(hs, same_doc(windows, hs)).select(windows["doc_id"], windows["digest"], "n", "start", once(F.slice("hs", F.col("start") + 1, F.col("size"))).alias("hs"))
-    a = parts.select(*by_doc, "n", "start", once(simhash("hs")).alias("fp"), numbered("hs").alias("own"))
-    a = a.select(*by_doc, "n", "start", "fp", "own", once(blocks("fp")).alias("blocks")).select("*", F.explode("blocks").alias("block"))
-    b = items.select("item", F.col("n").alias("n_item"), simhash("hs").alias("fp_item"), numbered("hs").alias("own_item"))
+    parts = windows.join(hs, same_doc(windows, hs)).select(windows["doc_id"], windows["digest"], "items", "n", "start", F.slice("hs", F.col("start") + 1, F.col("size")).alias("hs"))
+    # Few bytes but much work: dealt to as many tasks as a shuffle has.
+    parts = parts.repartition(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by_doc, "start")
+    a = parts.select(*by_doc, "items", "n", "start", once(simhash("hs")).alias("fp"), numbered("hs").alias("own"))
+    a = a.select(*by_doc, "items", "n", "start", "fp", "own", once(blocks("fp")).alias("blocks")).select("*", F.explode("items").alias("item")).drop("items").select("*", F.explode("blocks").alias("block"))
+    b = items.select(F.col("item").alias("item_b"), simhash("hs").alias("fp_item"), numbered("hs").alias("own_item"))
     b = cut(b.select("*", blocks("fp_item").alias("blocks_item")).select("*", F.explode("blocks_item").alias("block_item")))
     distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_item")))
-    near = a.join(F.broadcast(b), (a["n"] == b["n_item"]) & (a["block"] == b["block_item"])).where(distance <= RADIUS)
+    near = a.join(sent(b), (a["item"] == b["item_b"]) & (a["block"] == b["block_item"])).where(distance <= RADIUS)
     # A pair meets in each block that it shares, and counts in the first.
     first = F.get("blocks", F.array_position(F.zip_with("blocks", "blocks_item", lambda x, y: x == y), True).cast("int") - 1)
     near = near.where(F.col("block") == first).select(*by_doc, "n", "start", "item", distance.alias("distance"), F.size("own").alias("size"), F.size(F.array_intersect("own", "own_item")).alias("shared"))
     exact = near.withColumn("similarity", F.col("shared") / (F.col("n") + F.col("size") - F.col("shared"))).where(F.col("similarity") >= threshold)
     best = exact.groupBy(*by_doc, "item").agg(F.min_by(F.struct("start", "n", "distance", "similarity"), F.struct(-F.col("similarity"), F.col("start"))).alias("best"))
     names = items.select(F.col("item").alias("i"), "item_id")
-    return best.join(F.broadcast(names), F.col("item") == F.col("i")).select(
+    return best.join(sent(names), F.col("item") == F.col("i")).select(
         *by_doc, "item_id", "best.start", (F.col("best.n") + k - 1).alias("n_words"), "best.distance", "best.similarity"
     )
 

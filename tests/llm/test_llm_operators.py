@@ -448,6 +448,45 @@ def test_leaks_equal_brute_force(spark, empty):
     assert decontamination.leaks(empty, items_df).collect() == [] and decontamination.leaks(df, items_df.limit(0)).collect() == []
 
 
+def test_leaks_of_a_large_benchmark_are_joined_by_hash(spark, monkeypatch):
+    rng = random.Random(16)
+    items = [(j, prose(rng, rng.randrange(3, 60), 80)) for j in range(12)]
+    docs = [(None, items[5][1])]
+    for i in range(60):
+        w = prose(rng, 40, 500).split()
+        t = rng.choice(items)[1].split()
+        t[rng.choice((0, -1))] = "new"
+        docs.append((i % 50, " ".join(w[:20] + t + w[20:])))
+    df, items_df = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = []
+    for small in (decontamination.SMALL, 0):
+        monkeypatch.setattr(decontamination, "SMALL", small)
+        found.append(sorted(map(str, decontamination.leaks(df, items_df).collect())))
+    assert found[0] == found[1] and len(found[0]) > 20
+
+
+def test_fingerprints_of_similar_windows_are_within_the_radius(spark):
+    """Recall of the Hamming blocks on planted windows with similarities just over 0.8 and 0.9: all are found."""
+    rng = random.Random(17)
+    items, docs, want = [], [], set()
+    for j in range(150):
+        w = prose(rng, rng.randrange(30, 90), 10**6).split()
+        items.append((j, " ".join(w)))
+        for least in (0.8, 0.9):
+            best = None
+            for n in range(1, 12):  # words cut off the end, as far as the similarity allows
+                if (len(w) - n - 4) / (len(w) - 4) >= least:
+                    best = w[:-n]
+            if best:
+                # the window is as long as the item: what follows differs
+                both = len(best) - 4
+                if both / (2 * (len(w) - 4) - both) >= 0.8:
+                    want.add((len(docs), j))
+                docs.append((len(docs), f"{prose(rng, 30, 10**6)} {' '.join(best)} {prose(rng, 30, 10**6)}"))
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == want and len(want) > 100
+
+
 def test_stride_keeps_every_window():
     for least in range(1, 60):
         m = decontamination.stride_for(least, 0.2)
