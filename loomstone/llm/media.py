@@ -21,18 +21,35 @@ def _chunk(kind: bytes, data: bytes) -> bytes:
     return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
 
 
-def encode_png(rows: np.ndarray, filter_type: int = 0, level: int = 3) -> bytes:
-    """An 8-bit greyscale PNG of a (height, width) array; every row has the given filter (0 none, 1 sub, 2 up)."""
+def filtered(rows: np.ndarray, bpp: int = 1) -> np.ndarray:
+    """(5, height, stride) bytes: the rows under each filter of PNG (none, sub, up, average, Paeth)."""
+    up, left, corner = np.zeros_like(rows), np.zeros_like(rows), np.zeros_like(rows)
+    up[1:], left[:, bpp:], corner[1:, bpp:] = rows[:-1], rows[:, :-bpp], rows[:-1, :-bpp]
+    mean = ((left.astype(np.int16) + up) >> 1).astype(np.uint8)
+    return np.stack([rows, rows - left, rows - up, rows - mean, rows - paeth(left, up, corner)])
+
+
+def paeth(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Of left, above and above left the one nearest to a + b - c, the first of equals."""
+    x, y, z = a.astype(np.int16), b.astype(np.int16), c.astype(np.int16)
+    pa_, pb, pc = np.abs(y - z), np.abs(x - z), np.abs(x + y - 2 * z)
+    return np.where((pa_ <= pb) & (pa_ <= pc), a, np.where(pb <= pc, b, c))
+
+
+def encode_png(rows: np.ndarray, filters: int | tuple = 0, level: int = 3) -> bytes:
+    """An 8-bit greyscale PNG of a (height, width) array. filters: one for all rows, or those of which each row gets the one with the least sum of distances from 0."""
     height, width = rows.shape
     lines = np.empty((height, width + 1), np.uint8)
-    lines[:, 0] = filter_type
-    lines[:, 1:] = rows
-    if filter_type == 1:
-        lines[:, 2:] -= rows[:, :-1]
-    elif filter_type == 2:
-        lines[1:, 1:] -= rows[:-1]
-    elif filter_type:
-        raise ValueError(f"no encoder for filter {filter_type}")
+    allowed = (filters,) if isinstance(filters, int) else filters
+    if not set(allowed) <= set(range(5)):
+        raise ValueError(f"no encoder for filters {filters}")
+    if allowed == (0,):
+        lines[:, 0], lines[:, 1:] = 0, rows
+    else:
+        ways = filtered(rows)[list(allowed)]
+        best = np.abs(ways.view(np.int8).astype(np.int16)).sum(axis=2).argmin(axis=0)
+        lines[:, 0] = np.array(allowed, np.uint8)[best]
+        lines[:, 1:] = ways[best, np.arange(height)]
     head = struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)
     return SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(lines.tobytes(), level)) + _chunk(b"IEND", b"")
 
@@ -58,35 +75,46 @@ def chunks_of(data: bytes):
     raise ValueError("no IEND")
 
 
+def _sums(lines: np.ndarray, types: np.ndarray, above: np.ndarray, bpp: int) -> np.ndarray:
+    """Rows with the filters none, sub and up, all at once: a row under `up` is a sum of rows from the last one that is not."""
+    x = lines.copy()
+    sub = types == 1
+    if sub.any():
+        x[sub] = np.cumsum(x[sub].reshape(sub.sum(), -1, bpp), axis=1, dtype=np.uint8).reshape(sub.sum(), -1)
+    if not (types == 2).any():
+        return x
+    total = np.cumsum(np.vstack((above[None], x)), axis=0, dtype=np.uint8)
+    # row r is total[r + 1] less what stood before the row that its sum begins with; a sum may begin with the row above all
+    begin = np.maximum.accumulate(np.where(types == 2, 0, np.arange(1, len(x) + 1)))
+    before = np.where((begin > 0)[:, None], total[np.maximum(begin - 1, 0)], 0)
+    return total[1:] - before
+
+
+def _waves(lines: np.ndarray, types: np.ndarray, above: np.ndarray, bpp: int) -> np.ndarray:
+    """Rows with the filters average and Paeth: all places of a diagonal together, as each needs only those left and above."""
+    height, width = len(lines), lines.shape[1] // bpp
+    out = np.zeros((height + 1, width + 1, bpp), np.uint8)  # a row and a column of zeros or of what is above
+    out[0, 1:] = above.reshape(width, bpp)
+    src, mean = lines.reshape(height, width, bpp), (types == 3)[:, None]
+    for d in range(height + width - 1):
+        r = np.arange(max(0, d - width + 1), min(height, d + 1))
+        i = d - r
+        a, b, c = out[r + 1, i], out[r, i + 1], out[r, i]
+        out[r + 1, i + 1] = src[r, i] + np.where(mean[r], ((a.astype(np.int16) + b) >> 1).astype(np.uint8), paeth(a, b, c))
+    return out[1:, 1:].reshape(height, -1)
+
+
 def unfilter(lines: np.ndarray, types: np.ndarray, bpp: int) -> np.ndarray:
-    """Undoes the row filters of PNG on (height, stride) bytes. Runs of rows with one filter are done together where that is possible."""
-    out = np.zeros((len(lines) + 1, lines.shape[1]), np.uint8)  # row 0 stands for the one above the first
-    edges = [0, *(np.flatnonzero(np.diff(types)) + 1).tolist(), len(types)]
+    """Undoes the row filters of PNG on (height, stride) bytes."""
+    if (types > 4).any():
+        raise ValueError(f"unknown filter {types[types > 4][0]}")
+    out, above = np.empty_like(lines), np.zeros(lines.shape[1], np.uint8)
+    edges = [0, *(np.flatnonzero(np.diff((types >= 3).astype(np.int8))) + 1).tolist(), len(types)]
     for first, last in zip(edges[:-1], edges[1:], strict=True) if len(types) else ():
-        kind, part = types[first], lines[first:last]
-        if kind == 0:
-            out[first + 1 : last + 1] = part
-        elif kind == 1:
-            stacked = part.reshape(len(part), -1, bpp)
-            out[first + 1 : last + 1] = np.cumsum(stacked, axis=1, dtype=np.uint8).reshape(part.shape)
-        elif kind == 2:
-            out[first + 1 : last + 1] = np.cumsum(np.vstack((out[first : first + 1], part)), axis=0, dtype=np.uint8)[1:]
-        elif kind in (3, 4):
-            for r in range(first, last):
-                above, row, src = out[r].astype(int).tolist(), [0] * lines.shape[1], lines[r].tolist()
-                for i, x in enumerate(src):
-                    a, b = (row[i - bpp] if i >= bpp else 0), above[i]
-                    if kind == 3:
-                        guess = (a + b) // 2
-                    else:
-                        c = above[i - bpp] if i >= bpp else 0
-                        pa_, pb, pc = abs(b - c), abs(a - c), abs(a + b - 2 * c)
-                        guess = a if pa_ <= pb and pa_ <= pc else b if pb <= pc else c
-                    row[i] = (x + guess) & 255
-                out[r + 1] = row
-        else:
-            raise ValueError(f"unknown filter {kind}")
-    return out[1:]
+        f = _waves if types[first] >= 3 else _sums
+        out[first:last] = f(lines[first:last], types[first:last], above, bpp)
+        above = out[last - 1]
+    return out
 
 
 def decode_png(data: bytes) -> np.ndarray:
@@ -135,46 +163,55 @@ def cosine_hash(samples: np.ndarray) -> str:
     return np.packbits(flat > np.median(flat[1:])).tobytes().hex()
 
 
-MEDIA = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+#: Filters of which each row of a stored text gets one: those that are undone for all rows at once.
+FILTERS = (0, 1, 2)
 
 
 def store(data: bytes) -> bytes:
     """The bytes, padded with 0 to a positive multiple of WIDTH, as an image."""
     size = max(WIDTH, -(-len(data) // WIDTH) * WIDTH)
-    return encode_png(np.frombuffer(data.ljust(size, b"\0"), np.uint8).reshape(-1, WIDTH))
+    return encode_png(np.frombuffer(data.ljust(size, b"\0"), np.uint8).reshape(-1, WIDTH), FILTERS)
+
+
+STORED = "doc_id long, n_bytes long, media binary"
+MEDIA = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+
+
+def _encoded(batches):
+    for batch in batches:
+        texts = as_bytes(batch.column("text"))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in texts], pa.int64()), pa.array([store(x) for x in texts], pa.binary())], ["doc_id", "n_bytes", "media"])
+
 
+def encode_texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, media) for each row of `docs` (doc_id, text; other columns are ignored): the text in UTF-8 (null: empty) as a PNG in a binary column.
 
-def _features(batches):
+    The payload is the text with bytes 0 appended up to a positive multiple of 64, one image row for each 64 bytes.
+    Equal texts give equal images; repeated and null doc_ids stay; an empty table gives none.
+    """
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_encoded, STORED)
+
+
+def _described(batches):
     names = [x.split()[0] for x in MEDIA.split(", ")]
+    types = [pa.string() if "string" in x else pa.int64() for x in MEDIA.split(", ")]
     for batch in batches:
         rows = []
-        for text in as_bytes(batch.column("text")):
-            media = store(text)
+        for n, media in zip(batch.column("n_bytes").to_pylist(), batch.column("media").to_pylist(), strict=True):
+            if media is None:
+                rows.append((n, *[None] * (len(names) - 1)))
+                continue
             samples = decode_png(media)
             payload = samples.tobytes()
-            rows.append((len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), cosine_hash(samples)))
+            rows.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), cosine_hash(samples)))
         columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
-        types = [pa.string() if "string" in x else pa.int64() for x in MEDIA.split(", ")]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["doc_id", *names])
 
 
-def text_images(docs: DataFrame) -> DataFrame:
-    """Stores each text of `docs` (doc_id, text; other columns are ignored) as a PNG, reads that back and describes it.
+def describe(images: DataFrame) -> DataFrame:
+    """Reads each image of `images` (doc_id, n_bytes, media; other columns are ignored) back, and gives its payload's digests and its cosine hash.
 
-    The payload is the text in UTF-8 (null: empty) with bytes 0 appended up to a
-    positive multiple of 64, one image row for each 64 bytes. One row comes for
-    each input row, repeated and null doc_ids included; equal texts give equal
-    values, and an empty table gives none. Each row is handled alone, so memory
-    follows the longest text.
+    A null image gives nulls, a damaged one is an error; rows that repeat are described each time, and an empty
+    table gives none. Each row is handled alone, so memory follows the longest text.
     """
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_features, "doc_id long, " + MEDIA)
-
-
-def _encoded(batches):
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([store(x) for x in as_bytes(batch.column("text"))], pa.binary())], ["doc_id", "media"])
-
-
-def encode_texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, media): the images themselves, as a binary column."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_encoded, "doc_id long, media binary")
+    return images.select("doc_id", "n_bytes", "media").mapInArrow(_described, "doc_id long, " + MEDIA)

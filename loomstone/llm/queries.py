@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstone.llm import chat, decontamination, licenses, lm_scoring, media, minhash_dedup, sentencepiece_codec, sharding, toxicity, warc
-from loomstone.llm.common import scratch, table
+from loomstone.llm.common import scratch, stored, table
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +49,8 @@ def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.text_images(table(spark, sf_dir, "documents", ["doc_id", "text"]))
+    images, _ = stored(media.encode_texts(table(spark, sf_dir, "documents", ["doc_id", "text"])), "media")
+    return media.describe(images)
 
 
 #: A conversation whose texts hold control strings.

@@ -569,37 +569,71 @@ def test_keep_one_leaves_clean_rows(hostile, empty):
 # --- 8 -----------------------------------------------------------------------
 
 
-def test_images_restore_payloads(hostile, empty):
-    for r, m in zip(sorted(hostile.select("doc_id", "text").collect(), key=str), sorted(media.text_images(hostile).collect(), key=lambda m: str(m["doc_id"])), strict=False):
-        assert m["payload_bytes"] % 64 == 0 and m["payload_bytes"] >= max(64, m["n_bytes"])
-    by_id = {r["doc_id"]: (r["text"] or "").encode() for r in hostile.where("doc_id not in (8)").collect() if r["doc_id"]}
-    for m in media.text_images(hostile.where("doc_id is not null and doc_id <> 8")).collect():
-        data = by_id[m["doc_id"]]
+def plain_cosine_hash(rows):
+    """The low-frequency cosine hash by the transform's definition, in plain loops."""
+    def shrink(v):
+        n = len(v)
+        if n < 32:
+            return [v[i * n // 32] for i in range(32)]
+        edges = [i * n // 32 for i in range(33)]
+        return [sum(v[a:b]) / (b - a) for a, b in zip(edges, edges[1:], strict=False)]
+
+    small = [shrink(list(map(float, c))) for c in zip(*rows, strict=True)]  # by column: rows shrunk
+    small = [shrink([c[r] for c in small]) for r in range(32)]
+    flat = [sum(small[y][x] * math.cos(math.pi * (2 * y + 1) * u / 64) * math.cos(math.pi * (2 * x + 1) * v / 64) for y in range(32) for x in range(32)) for u in range(8) for v in range(8)]
+    flat = [round(x, 6) for x in flat]
+    rest = sorted(flat[1:])
+    bits = "".join("1" if x > rest[31] else "0" for x in flat)
+    return f"{int(bits, 2):016x}"
+
+
+def test_images_restore_payloads(spark, hostile, empty):
+    rows = [(r["doc_id"], (r["text"] or "").encode()) for r in hostile.collect()]
+    images = media.encode_texts(hostile)
+    want, plain = Counter(), {}
+    for i, data in rows:
         padded = data.ljust(max(64, -(-len(data) // 64) * 64), b"\0")
-        assert m["n_bytes"] == len(data) and m["payload_sha256"] == hashlib.sha256(padded).hexdigest() and m["tail_crc32"] == zlib.crc32(padded[-64:])
-        assert m["media_sha256"] == hashlib.sha256(media.store(data)).hexdigest() and len(m["feature"]) == 16
-    assert media.text_images(empty).collect() == []
-    assert media.encode_texts(hostile).count() == 21
+        form = media.store(data)
+        assert media.decode_png(form).tobytes() == padded
+        want[i, len(data), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]), len(form), hashlib.sha256(form).hexdigest()] += 1
+        plain[hashlib.sha256(form).hexdigest()] = [padded[k : k + 64] for k in range(0, len(padded), 64)]
+    got = media.describe(images).collect()
+    assert Counter(tuple(r)[:7] for r in got) == want
+    close = lambda x, y: bin(int(x, 16) ^ int(y, 16)).count("1")
+    # coefficients that tie with the median by rounding may fall on either side
+    assert all(close(r["feature"], plain_cosine_hash(plain[r["media_sha256"]])) <= 1 for r in got)
+    assert media.describe(media.encode_texts(empty)).collect() == []
+    odd = spark.createDataFrame([(1, 5, None, "x")], media.STORED + ", feature string")
+    assert tuple(media.describe(odd).first()) == (1, 5, None, None, None, None, None, None)
+    bad = spark.createDataFrame([(1, 5, bytearray(media.store(b"hello")[:-3]))], media.STORED)
+    with pytest.raises(Exception, match="cut short"):
+        media.describe(bad).collect()
 
 
 def test_png_filters_and_checksums():
     rng = np.random.default_rng(0)
     rows = rng.integers(0, 256, (17, 9), dtype=np.uint8)
-    for kind in (0, 1, 2):
+    for kind in (0, 1, 2, 3, 4, (0, 1, 2), (0, 1, 2, 3, 4)):
         assert (media.decode_png(media.encode_png(rows, kind)) == rows).all()
-    types = rng.integers(0, 5, 40).astype(np.uint8)
-    image = rng.integers(0, 256, (40, 12), dtype=np.uint8)
-    lines = np.zeros_like(image)
-    for bpp in (1, 3):
-        for r, kind in enumerate(types):
-            for i in range(12):
-                a = int(image[r, i - bpp]) if i >= bpp else 0
-                b = int(image[r - 1, i]) if r else 0
-                c = int(image[r - 1, i - bpp]) if r and i >= bpp else 0
-                p = a + b - c
-                paeth = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
-                lines[r, i] = (int(image[r, i]) - [0, a, b, (a + b) // 2, paeth][kind]) % 256
-        assert (media.unfilter(lines, types, bpp) == image).all()
+    smooth = np.cumsum(rng.integers(-2, 3, (40, 64)), axis=1).astype(np.uint8)
+    assert len(media.encode_png(smooth, (0, 1, 2, 3, 4))) < len(media.encode_png(smooth))
+    for height in (1, 3, 40):
+        types = rng.integers(0, 5, height).astype(np.uint8)
+        image = rng.integers(0, 256, (height, 12), dtype=np.uint8)
+        lines = np.zeros_like(image)
+        for bpp in (1, 3):
+            for r, kind in enumerate(types):
+                for i in range(12):
+                    a = int(image[r, i - bpp]) if i >= bpp else 0
+                    b = int(image[r - 1, i]) if r else 0
+                    c = int(image[r - 1, i - bpp]) if r and i >= bpp else 0
+                    p = a + b - c
+                    paeth = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
+                    lines[r, i] = (int(image[r, i]) - [0, a, b, (a + b) // 2, paeth][kind]) % 256
+            assert (media.unfilter(lines, types, bpp) == image).all()
+            assert (media.filtered(image, bpp)[types, np.arange(height)] == lines).all()
+    with pytest.raises(ValueError):
+        media.unfilter(lines, np.full(len(lines), 5, np.uint8), 1)
     good = media.encode_png(rows)
     for at in (20, len(good) // 2, len(good) - 3):
         with pytest.raises(ValueError):
