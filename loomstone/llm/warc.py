@@ -63,8 +63,8 @@ def plan_records(pages: DataFrame) -> DataFrame:
 
     Of rows with equal payloads of at least LEAST_REVISIT bytes, the one with the least page_id
     is the response (a null page_id counts as the greatest; of rows that repeat that page_id, one).
-    Payloads do not move: only ids and digests are shuffled, and the rows that are
-    revisits joined back by page_id.
+    Who is first is settled on ids and digests alone. The rows are then joined with what was found by digest and
+    page_id, so payloads are shuffled once, and copies of one payload are spread by their ids.
     """
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha2(F.encode(html, "UTF-8"), 256).alias("digest"))
@@ -147,14 +147,20 @@ def parse(content: bytes) -> tuple[dict, bytes]:
     return headers, rest[:n]
 
 
-def records(source: Source, start: int, end: int):
+def records(source: Source, start: int, end: int, damaged=None):
     """(offset, headers, block) of the records that begin in [start, end).
 
     The place need not be a member's start: gzip magic is searched, and a
     candidate counts if what it holds begins like a record, the whole member
     passes its checksum, and the file ends there or another member follows.
-    After a sound member the next one begins at its end.
+    After a sound member the next one begins at its end. What begins like a record, or follows a
+    sound one, and is not sound is passed over, and damaged(offset, why) called for it.
     """
+
+    def report(why: str) -> None:
+        if damaged:
+            damaged(at, why)
+
     at, chained = start, False
     while at < end:
         if not chained:
@@ -165,22 +171,36 @@ def records(source: Source, start: int, end: int):
                 continue
             at += found
         head = source.read(at, 4096)
+        like = starts_record(head)
         if not head.startswith(MAGIC):
+            report("no gzip member where one should begin")
             chained = False
             at += 1
             continue
-        got = member(source, at) if chained or starts_record(head) else None
-        if got is None or not (chained or got[1] >= source.size or source.read(got[1], 3) == MAGIC):
+        got = member(source, at) if chained or like else None
+        follows = got and (got[1] >= source.size or source.read(got[1], 3) == MAGIC)
+        if got is None or not (chained or follows):
+            if chained or like:
+                report("gzip member cut short or with a wrong checksum" if got is None else "something other than a gzip member follows")
             chained = False
             at += 1
             continue
         if got[0]:
-            yield at, *parse(got[0])
+            try:
+                headers, block = parse(got[0])
+            except ValueError as e:
+                report(str(e))
+            else:
+                yield at, headers, block
         at, chained = got[1], True
 
 
-def _read(batches):
-    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload"]
+COLUMNS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary"
+DAMAGED = "damaged"
+
+
+def _read(keep_damage: bool):
+    names = [x.split()[0] for x in COLUMNS.split(", ")]
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
 
     def number(urn: str):
@@ -191,27 +211,37 @@ def _read(batches):
         columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
-    for batch in batches:
-        for uri, start, end in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            rows, size = [], 0
-            for _, headers, block in records(Source(uri), start, end):
-                kind, digest = headers.get("warc-type"), headers.get("warc-payload-digest", "")
-                if kind == "response":
-                    found = hashlib.sha256(block).hexdigest()
-                    if digest and digest != f"sha256:{found}":
-                        raise ValueError(f"{headers.get('warc-record-id')}: payload does not match its digest")
-                    rows.append((number(headers["warc-record-id"]), len(block), found, kind, None, headers.get("warc-target-uri"), block))
-                elif kind == "revisit":
-                    rows.append((number(headers["warc-record-id"]), int(headers["x-payload-length"]), digest.rpartition(":")[2], kind, number(headers["warc-refers-to"]), headers.get("warc-target-uri"), None))
-                size += len(block)
-                if size > 1 << 23:
-                    yield table(rows)
-                    rows, size = [], 0
-            yield table(rows)
-
-
-def file_ranges(spark: SparkSession, path: str, split_bytes: int) -> list[tuple[str, int, int]]:
-    """(file, start, end) of all parts of the files under a path of any store that Spark reads."""
+    def run(batches):
+        for batch in batches:
+            for uri, start, end in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                rows, size = [], 0
+
+                def damaged(at, why, uri=uri):
+                    if not keep_damage:
+                        raise ValueError(f"{uri}, byte {at}: {why}")
+                    rows.append((None, at, None, DAMAGED, None, uri, why.encode()))  # noqa: B023
+
+                for at, headers, block in records(Source(uri), start, end, damaged):
+                    kind, digest = headers.get("warc-type"), headers.get("warc-payload-digest", "")
+                    if kind == "response":
+                        found = hashlib.sha256(block).hexdigest()
+                        if digest and digest != f"sha256:{found}":
+                            damaged(at, f"{headers.get('warc-record-id')}: payload does not match its digest")
+                            continue
+                        rows.append((number(headers["warc-record-id"]), len(block), found, kind, None, headers.get("warc-target-uri"), block))
+                    elif kind == "revisit":
+                        rows.append((number(headers["warc-record-id"]), int(headers["x-payload-length"]), digest.rpartition(":")[2], kind, number(headers["warc-refers-to"]), headers.get("warc-target-uri"), None))
+                    size += len(block)
+                    if size > 1 << 23:
+                        yield table(rows)
+                        rows, size = [], 0
+                yield table(rows)
+
+    return run
+
+
+def archive_files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """(file, size) of the files under a path of any store that Spark reads."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     root = jvm.org.apache.hadoop.fs.Path(path)
     files = root.getFileSystem(conf).listFiles(root, True)
@@ -220,19 +250,26 @@ def file_ranges(spark: SparkSession, path: str, split_bytes: int) -> list[tuple[
         f = files.next()
         if not f.getPath().getName().startswith(("_", ".")):
             uri, n = f.getPath().toUri().toString(), f.getLen()
-            uri = "file://" + uri[5:] if uri.startswith("file:/") and not uri.startswith("file://") else uri
-            out += [(uri, at, min(at + split_bytes, n)) for at in range(0, n, split_bytes)]
+            out.append(("file://" + uri[5:] if uri.startswith("file:/") and not uri.startswith("file://") else uri, n))
     return out
 
 
-def read_archives(spark: SparkSession, path: str, split_bytes: int = 8 << 20) -> DataFrame:
+#: Bytes of archives to a task, and tasks at most: beyond, each takes more ranges.
+TASK_BYTES, TASKS = 8 << 20, 20_000
+
+
+def read_archives(spark: SparkSession, path: str, split_bytes: int = 8 << 20, keep_damage: bool = False) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, url and payload of all records under `path`.
 
     Files are cut into byte ranges without regard to records; a task owns the
-    records that begin in its range. Executors open the files by URI (file, s3,
-    gs, hdfs). Payloads are held against their digests; a file that ends within
-    a record raises no error, and that record is left out. No files: no rows.
+    records that begin in its ranges. Executors open the files by URI (file, s3,
+    gs, hdfs). Payloads are held against their digests. A member that is cut short, fails its checksum or is no
+    record is an error; with keep_damage it is a row of record_type damaged, with the file as url, the place
+    in it as payload_bytes and the reason as payload. No files, or only empty ones: no rows.
     """
-    ranges = file_ranges(spark, path, split_bytes)
-    df = spark.createDataFrame(ranges, "uri string, first long, last long")
-    return df.repartition(max(1, len(ranges))).mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary")
+    files = archive_files(spark, path)
+    total = sum(n for _, n in files)
+    df = spark.createDataFrame(files, "uri string, size long").where("size > 0")
+    first = F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split_bytes).cast("long")))
+    ranges = df.select("uri", first.alias("first"), "size").select("uri", "first", F.least("size", F.col("first") + split_bytes).alias("last"))
+    return ranges.repartition(max(1, min(TASKS, -(-total // min(TASK_BYTES, split_bytes)))), "uri", "first").mapInArrow(_read(keep_damage), COLUMNS)
