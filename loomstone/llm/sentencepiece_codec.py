@@ -36,6 +36,8 @@ TOKENIZERS = "/opt/tokenizers"
 DEFAULT_MODEL = "piece_bpe_32k.model"
 #: Distinct words of a stretch of texts; when there are more, a new stretch begins.
 STRETCH_BYTES = 12 << 20
+#: Pairs of pieces of which a task remembers whether one may follow the other.
+PAIRS = 1 << 20
 
 
 # --- the model file ---------------------------------------------------------
@@ -227,6 +229,8 @@ class Codec:
                         pair = before << 20 | i
                         ok = follows.get(pair)
                         if ok is None:
+                            if len(follows) >= PAIRS:
+                                follows.clear()
                             ok = follows[pair] = self.may_follow(before, i)
                         if ok:
                             found = i
@@ -439,9 +443,10 @@ def decode(encoded: DataFrame, model_path: str | None = None) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, model_path: str | None = None) -> DataFrame:
-    """doc_id, n_chars_in, ids, n_ids and restored for each row of `docs` (doc_id, text; other columns are ignored).
+    """doc_id, ids, n_ids and restored for each row of `docs` (doc_id, text; other columns are ignored).
 
-    restored: decoding gives the text back (null: empty).
+    restored: decoding gives the text back (null: empty). A row comes for each input row: repeated and null
+    doc_ids stay, equal texts get equal ids, an empty table gives none. A text is encoded whole, however long.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     both = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.sha2(F.encode(text, "UTF-8"), 256).alias("digest"))
