@@ -170,6 +170,14 @@ def test_unigram_ids_equal_the_library():
     assert same > 0.5 * len(texts)
 
 
+def test_pairs_are_forgotten_without_a_change_of_ids(monkeypatch):
+    codec = sentencepiece_codec.Codec(sentencepiece_codec.Vocabulary.parse(sentencepiece_codec.load(MODEL)))
+    want = [x.tolist() for x in codec.encode(hard_texts())]
+    monkeypatch.setattr(sentencepiece_codec, "PAIRS", 3)
+    codec.follows.clear()
+    assert [x.tolist() for x in codec.encode(hard_texts())] == want and len(codec.follows) <= 3
+
+
 def test_round_trip_restores_texts(hostile, empty):
     rows = sentencepiece_codec.round_trip(hostile).collect()
     assert len(rows) == 21 and all(r["restored"] for r in rows)
@@ -211,8 +219,42 @@ def test_warc_reader_passes_damage_and_false_magic(tmp_path):
     assert [h["warc-record-id"] for _, h, _ in warc.records(source, 0, source.size)] == ["<urn:x-page:1>", "<urn:x-page:2>"]
     assert [o for o, _, _ in warc.records(source, 1, source.size)] == [len(one) + 7]
     path.write_bytes(one[:-5])
-    source = warc.Source(f"file://{path}")
-    assert list(warc.records(source, 0, source.size)) == []
+    source, told = warc.Source(f"file://{path}"), []
+    assert list(warc.records(source, 0, source.size, lambda at, why: told.append((at, why)))) == []
+    assert told == [(0, "gzip member cut short or with a wrong checksum")]
+
+
+def test_warc_damage_is_an_error_or_a_row(spark, tmp_path):
+    make = lambda i, data: warc.record(i, "u", data, hashlib.sha256(data).hexdigest())
+    rng = random.Random(19)
+    sound = [make(i, rng.randbytes(600)) for i in range(6)]
+    flipped = bytearray(sound[2])
+    flipped[-4] ^= 1  # in the checksum's tail
+    wrong = warc.record(9, "u", b"x" * 300, hashlib.sha256(b"y").hexdigest())
+    (tmp_path / "a.warc.gz").write_bytes(sound[0] + sound[1] + bytes(flipped) + sound[3] + b"rubbish" + sound[4] + wrong + warc._gzip(b"no record") + warc._gzip(b"") + sound[5][:-30])
+    path = f"file://{tmp_path}"
+    for split in (211, 8 << 20):
+        with pytest.raises(Exception, match="byte"):
+            warc.read_archives(spark, path, split).collect()
+        rows = warc.read_archives(spark, path, split, keep_damage=True).collect()
+        # 3 stands between damage on both sides: nothing tells it from a record within a record
+        assert sorted(r["page_id"] for r in rows if r["record_type"] == "response") == [0, 1, 4]
+        lost = [r for r in rows if r["record_type"] == "damaged"]
+        places = {r["payload_bytes"] for r in lost}
+        assert len(sound[0] + sound[1]) in places and all(r["payload"] and r["url"].endswith("a.warc.gz") for r in lost)
+        assert sum(b"match" in bytes(r["payload"]) for r in lost) == 1 and max(places) == (tmp_path / "a.warc.gz").stat().st_size - len(sound[5]) + 30
+
+
+def test_warc_members_of_16_mib(spark):
+    """Longer members have an empty one behind them, which ends in a zero byte."""
+    data = random.Random(18).randbytes(9 << 20).hex()
+    made = warc.record(1, "u", data.encode(), "")
+    assert made.endswith(b"\0") and warc._gzip(b"x" * 100).endswith(b"\0")
+    pages = spark.createDataFrame([(1, "u", data), (2, "u", "z")], "page_id long, url string, html string")
+    path = scratch(spark, "warc")
+    warc.write_archives(pages, path)
+    got = {r["page_id"]: r["payload_digest"] for r in warc.read_archives(spark, path, 1 << 20).drop("payload").collect()}
+    assert got == {1: hashlib.sha256(data.encode()).hexdigest(), 2: hashlib.sha256(b"z").hexdigest()}
 
 
 def test_warc_of_no_pages(spark):
@@ -268,6 +310,64 @@ def test_toxicity_gradient():
     assert len(net.logits(np.zeros((4, 0), np.int32), np.array([0, 0, 0]))) == 2
 
 
+def test_toxicity_scores_equal_plain_loops():
+    """Embedding sums, filters at each place, maxima and the logistic layer, one number after another."""
+    s = toxicity.Settings(bits=8, dim=3, filters=2)
+    net = toxicity.TextCNN(s)
+    net.w["bias"][:], net.scale, net.shift = 0.2, 1.7, -0.4
+    for k in s.widths:
+        net.w[f"b{k}"][:] = 0.05 * k
+    hasher = toxicity.WordHasher()
+    texts = [b"", b" ", b"one", b"One TWO", b"a few words that are longer than a filter", b"repeated " * 50, "é ü 🎉 x".encode()]
+    got = net.scores(*toxicity.table_rows(texts, hasher, s))
+    for text, score_ in zip(texts, got, strict=True):
+        rows = [toxicity.table_rows([w[:n] if n else w], hasher, s)[0] for w in text.lower().split() for n in (0,)]
+        e = [[sum(float(net.w["emb"][r[kind, 0]][d]) for kind in range(r.shape[0])) for d in range(s.dim)] for r in rows]
+        logit = float(net.w["bias"][0])
+        for j, k in enumerate(s.widths):
+            for f in range(s.filters):
+                values = [sum(e[i + o][d] * float(net.w[f"f{k}"][o * s.dim + d][f]) for o in range(k) for d in range(s.dim)) for i in range(len(e) - k + 1)]
+                top = max(0.0, max(values) + float(net.w[f"b{k}"][f])) if values else 0.0
+                logit += top * float(net.w["out"][j * s.filters + f])
+        assert abs(score_ - 1 / (1 + math.exp(-(net.scale * logit + net.shift)))) < 1e-5
+
+
+def test_toxicity_gradient_of_embeddings():
+    rng = np.random.default_rng(3)
+    net = toxicity.TextCNN(toxicity.Settings(bits=5, dim=3, filters=2))
+    texts, y = [rng.integers(0, 32, (4, n)).astype(np.int32) for n in (5, 2, 9)], np.array([1, 0, 1], np.float32)
+
+    def loss():
+        z = np.concatenate([net.logits(t, np.array([0, t.shape[1]])) for t in texts]).astype(float)
+        return float(np.mean(np.log1p(np.exp(z)) - y * z))
+
+    rows, g = net._gradient(texts, y)["emb"]
+    for i in range(0, len(rows), 5):
+        for d in range(3):
+            kept = float(net.w["emb"][rows[i], d])
+            net.w["emb"][rows[i], d] = kept + 1e-3
+            up = loss()
+            net.w["emb"][rows[i], d] = kept - 1e-3
+            down = loss()
+            net.w["emb"][rows[i], d] = kept
+            assert abs((up - down) / 2e-3 - g[i, d]) < 5e-3
+
+
+def test_toxicity_of_odd_tables(spark, hostile, empty):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(25)] + [(7, 1), (None, 1), (4, None), (5, 9)], "doc_id long, toxic int")
+    docs = hostile.withColumn("score", hostile["n"])
+    model = toxicity.fit(docs, labels)
+    got = toxicity.score(docs, model)
+    assert sorted(got.columns) == sorted(docs.columns) and got.count() == docs.count()
+    by_text = defaultdict(set)
+    for r in got.collect():
+        by_text[(r["text"] or "").lower().split().__repr__()].add(r["score"])
+    assert all(max(x) - min(x) < 1e-6 and 0 <= min(x) <= 1 for x in by_text.values())
+    again = toxicity.fit(docs.repartition(7), labels)
+    assert all((model.net.w[k] == again.net.w[k]).all() for k in model.net.w) and model.thresholds == again.thresholds
+    assert toxicity.score(empty, model).collect() == [] and toxicity.fit(empty, labels).thresholds == {"": 0.7}
+
+
 def test_toxicity_without_labels(hostile, spark):
     model = toxicity.fit(hostile, spark.createDataFrame([], "doc_id long, toxic int"))
     assert len({r["score"] for r in toxicity.score(hostile, model).collect()}) == 1
