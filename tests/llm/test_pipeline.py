@@ -77,3 +77,23 @@ def test_stages_against_brute_force(spark, tmp_path):
     rows = frame.collect()
     assert kept[3] == kept[2] and all(r["restored"] and len(r["ids"]) == r["n_ids"] for r in rows)
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == kept[3]
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Repeated rows, null ids, very long texts, columns with clashing names, and tables without rows."""
+    rng = random.Random(13)
+    long_ = " ".join(f"w{rng.randrange(5000)}" for _ in range(30_000))
+    twin = " ".join(f"v{rng.randrange(900)}" for _ in range(60))
+    rows = [(1, None), (2, ""), (3, " \n"), (4, twin), (4, twin), (5, twin), (None, "alone and without an id"), (None, None), (6, long_), (7, "short \u2581 text")]
+    docs = spark.createDataFrame([(i, t, None if i == 3 else "en", "s", 0, "k", 1) for i, t in rows], f"{COLUMNS}, key string, digest long")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, None), (2, ""), (3, "a b c d e f g h")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    frame, counts = docs, []
+    for name, stage in corpus_pipeline.STAGES:
+        frame = stage(spark, frame, str(tmp_path))
+        counts.append(frame.count())
+        assert name == "sentencepiece" or frame.columns == docs.columns
+    assert counts == [10, 8, 8, 8]
+    assert {r["doc_id"]: r["restored"] for r in frame.collect()} == {1: True, 2: True, 3: True, 4: True, None: True, 6: True, 7: False}
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).collect() == []
