@@ -35,9 +35,9 @@ MARK = "▁"
 TOKENIZERS = "/opt/tokenizers"
 DEFAULT_MODEL = "piece_bpe_32k.model"
 #: Distinct words of a stretch of texts; when there are more, a new stretch begins.
-STRETCH_BYTES = 12 << 20
+STRETCH_BYTES = 4 << 20
 #: Pairs of pieces of which a task remembers whether one may follow the other.
-PAIRS = 1 << 20
+PAIRS = 1 << 18
 
 
 # --- the model file ---------------------------------------------------------
@@ -127,8 +127,31 @@ class Vocabulary:
         return v
 
 
+class Decoder:
+    """The bytes of each piece, one after another."""
+
+    def __init__(self, v: Vocabulary):
+        text = []
+        for p, t in zip(v.pieces, v.types, strict=True):
+            text.append(bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t == CONTROL else b" \xe2\x81\x87 " if t == UNKNOWN else p.replace(MARK, " ").encode())
+        self.dummy_prefix = v.dummy_prefix
+        self.blob = np.frombuffer(b"".join(text), np.uint8)
+        self.size = np.array([len(x) for x in text], np.int64)
+        self.place = np.concatenate(([0], np.cumsum(self.size)))[:-1]
+
+    def decode(self, ids: np.ndarray, begins: np.ndarray) -> list[bytes]:
+        """UTF-8 of each text (bytes that are no UTF-8 stay as they are)."""
+        data = ragged(self.blob, self.place, self.size, ids)
+        ends = np.concatenate(([0], np.cumsum(self.size[ids])))[begins]
+        raw, out = data.tobytes(), []
+        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            t = raw[a:b]
+            out.append(t[1:] if self.dummy_prefix and t[:1] == b" " else t)
+        return out
+
+
 class Codec:
-    """Encodes and decodes by one vocabulary."""
+    """Encodes by one vocabulary; its decoder decodes."""
 
     def __init__(self, v: Vocabulary):
         self.v = v
@@ -149,12 +172,7 @@ class Codec:
         #: Each end of a usable piece: the piece's id, or -1 if it is none itself.
         self.ends = {p[k:]: -1 for p in usable for k in range(len(p))} | usable
         self.follows: dict = {}
-        text = []
-        for p, t in zip(v.pieces, v.types, strict=True):
-            text.append(bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t == CONTROL else b" \xe2\x81\x87 " if t == UNKNOWN else p.replace(MARK, " ").encode())
-        self.blob = np.frombuffer(b"".join(text), np.uint8)
-        self.size = np.array([len(x) for x in text], np.int64)
-        self.place = np.concatenate(([0], np.cumsum(self.size)))[:-1]
+        self.decoder = Decoder(v)
 
     def merge(self, text: str) -> list[str]:
         """The pieces of a short text by merging: the best pair first, the leftmost of equals. Remembers the halves of what it makes."""
@@ -335,16 +353,6 @@ class Codec:
         del where
         return ragged(np.frombuffer(flat, np.int32) if flat else np.zeros(0, np.int32), begin, size, rows), np.concatenate(([0], np.cumsum(_sums(size, rows, counts))))
 
-    def decode(self, ids: np.ndarray, begins: np.ndarray) -> list[bytes]:
-        """UTF-8 of each text (bytes that are no UTF-8 stay as they are)."""
-        data = ragged(self.blob, self.place, self.size, ids)
-        ends = np.concatenate(([0], np.cumsum(self.size[ids])))[begins]
-        raw, out = data.tobytes(), []
-        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-            t = raw[a:b]
-            out.append(t[1:] if self.v.dummy_prefix and t[:1] == b" " else t)
-        return out
-
 
 def _sums(size: np.ndarray, rows: np.ndarray, counts: list) -> np.ndarray:
     total = np.concatenate(([0], np.cumsum(size[rows])))
@@ -403,9 +411,26 @@ def _encode(sent):
     return run
 
 
-def _decode(sent):
+def _round_trip(sent):
     def run(batches):
         codec = pickle.loads(sent.value)
+        for batch in regrouped(batches, STRETCH_BYTES):
+            texts = as_bytes(batch.column("text"))
+            for first, last in pieces(texts, STRETCH_BYTES):
+                ids, begins = codec.encode([t.decode("utf-8", "replace") for t in texts[first:last]])
+                back = codec.decoder.decode(ids, begins)
+                restored = [a == b for a, b in zip(texts[first:last], back, strict=True)]
+                texts[first:last] = [b""] * (last - first)
+                del back
+                lists = pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, last - first), lists, pa.array(np.diff(begins), pa.int32()), pa.array(restored, pa.bool_())], ["doc_id", "ids", "n_ids", "restored"])
+
+    return run
+
+
+def _decode(sent):
+    def run(batches):
+        decoder = pickle.loads(sent.value)
         for batch in batches:
             lists = batch.column("ids")
             lists = lists.fill_null([]) if lists.null_count else lists
@@ -413,7 +438,7 @@ def _decode(sent):
             for first, last in pieces([range(4 * n) for n in sizes], STRETCH_BYTES // 3) if len(sizes) else ():
                 begins = np.concatenate(([0], np.cumsum(sizes[first:last])))
                 ids = lists.slice(first, last - first).flatten().to_numpy()
-                texts = codec.decode(ids, begins)
+                texts = decoder.decode(ids, begins)
                 own = batch.slice(first, last - first)
                 yield pa.RecordBatch.from_arrays([*own.columns, pa.array([t.decode("utf-8", "replace") for t in texts], pa.string())], [*own.schema.names, "decoded"])
 
@@ -437,7 +462,8 @@ def encode(docs: DataFrame, model_path: str | None = None) -> DataFrame:
 
 def decode(encoded: DataFrame, model_path: str | None = None) -> DataFrame:
     """`encoded` with a column decoded, the text of ids; null ids give an empty text."""
-    sent = encoded.sparkSession.sparkContext.broadcast(prepared(model_path))
+    decoder = Decoder(Vocabulary.parse(load(model_path or os.path.join(TOKENIZERS, DEFAULT_MODEL))))
+    sent = encoded.sparkSession.sparkContext.broadcast(pickle.dumps(decoder, protocol=5))
     plain = encoded.drop("decoded")
     return plain.mapInArrow(_decode(sent), _schema(plain, "", "decoded string"))
 
@@ -448,7 +474,7 @@ def round_trip(docs: DataFrame, model_path: str | None = None) -> DataFrame:
     restored: decoding gives the text back (null: empty). A row comes for each input row: repeated and null
     doc_ids stay, equal texts get equal ids, an empty table gives none. A text is encoded whole, however long.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    both = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.sha2(F.encode(text, "UTF-8"), 256).alias("digest"))
-    back = decode(encode(both, model_path), model_path)
-    return back.select("doc_id", "ids", F.size("ids").alias("n_ids"), (F.sha2(F.encode("decoded", "UTF-8"), 256) == F.col("digest")).alias("restored"))
+    sent = docs.sparkSession.sparkContext.broadcast(prepared(model_path))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # One Python process encodes and decodes: two would hold a stretch of texts each.
+    return rows.mapInArrow(_round_trip(sent), f"doc_id long, {ENCODED}, n_ids int, restored boolean")
