@@ -33,13 +33,15 @@ def table(spark: SparkSession, sf_dir: str, name: str, columns: list[str]) -> Da
 def shared_dir(spark: SparkSession) -> str:
     """A folder that driver and executors share, as spark.checkpoint.dir names it.
 
-    A machine-local folder is used only where the setting is absent, which is
-    the case in single-machine tests.
+    A machine-local folder is used only where the setting is absent and the
+    master is local, which is the case in single-machine tests.
     """
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not found:
         current = sc._jsc.sc().getCheckpointDir()
+        if not current.isDefined() and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = current.get() if current.isDefined() else f"file://{tempfile.mkdtemp(prefix='loomstone-')}"
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(found)

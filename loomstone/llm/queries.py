@@ -41,7 +41,8 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents", ["doc_id", "text"]), table(spark, sf_dir, "benchmark", ["item_id", "text"])
-    return decontamination.leaks(docs, items, threshold=0.8).drop("digest")
+    # distance depends on the hash function, the rest does not
+    return decontamination.leaks(docs, items, threshold=0.8).drop("digest", "distance")
 
 
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +69,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_sentencepiece, op3_warc, op4_toxicity, op5_licenses, op6_decontamination, op7_minhash_dedup, op8_media, op9_chat, op10_sharding)}
 
+#: Control strings of chat.INSTRUCT, any of them, as a regular expression.
+CONTROL = r"<s>|</s>|<end>|\[/?(?:SYS|INST|ROLE)\]|\[OUT\]|\[TEXT\]"
+#: Code points of a column once its backslashes and control strings are escaped.
+ESCAPED = r"(length({x}) + length({x}) - length(replace({x}, '\', '')) + len(regexp_extract_all({x}, '{control}')))"
+
 ORACLE_SQL: dict[str, str] = {
     "op3_warc": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
@@ -78,4 +84,56 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
         FROM q JOIN f ON payload_digest = d
     """,
+    "op6_decontamination": r"""
+        WITH w AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        i AS (SELECT DISTINCT item_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS v FROM benchmark),
+        k AS (SELECT item_id, v, least(5, len(v)) AS k, len(v) - least(5, len(v)) + 1 AS n FROM i WHERE len(v) > 0),
+        a AS (SELECT item_id, v, k, n, unnest(list_transform(range(1, n + 1), lambda p: array_to_string(v[p : p + k - 1], ' '))) AS g FROM k),
+        b AS (SELECT item_id, v, k, n, g, count(*) AS c FROM a GROUP BY ALL),
+        d AS (
+            SELECT doc_id, k, len(w) - k + 1 AS size, unnest(range(0, len(w) - k + 1)) AS p, unnest(list_transform(range(1, len(w) - k + 2), lambda p: array_to_string(w[p : p + k - 1], ' '))) AS g
+            FROM w, (SELECT DISTINCT k FROM k) WHERE len(w) >= k
+        ),
+        m AS (SELECT doc_id, item_id, v, n, k, least(n, size) AS size, size - least(n, size) AS last, p, g, c FROM d JOIN b USING (k, g)),
+        x AS (SELECT doc_id, item_id, v, n, k, size, g, c, unnest(range(greatest(0, p - size + 1), least(p, last) + 1)) AS start FROM m),
+        y AS (SELECT doc_id, item_id, v, n, k, size, start, least(count(*), c) AS s FROM x GROUP BY doc_id, item_id, v, n, k, size, start, g, c),
+        z AS (SELECT doc_id, item_id, v, n + k - 1 AS n_words, start, CAST(sum(s) AS DOUBLE) / CAST(n + size - sum(s) AS DOUBLE) AS similarity FROM y GROUP BY doc_id, item_id, v, n, k, size, start)
+        SELECT doc_id, item_id, CAST(start AS INT) AS start, CAST(n_words AS INT) AS n_words, similarity FROM z WHERE similarity >= 0.8
+        QUALIFY row_number() OVER (PARTITION BY doc_id, item_id, v ORDER BY similarity DESC, start) = 1
+    """,
+    "op7_minhash_dedup": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ),
+        g AS (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) BETWEEN 1 AND 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END) AS g FROM w
+        ),
+        n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * p.n >= 85 * (x.n + y.n - p.n)),
+        e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        r AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.other = e.a),
+        c AS (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM documents JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
+    """,
+    "op9_chat": rf"""
+        WITH c AS (
+            SELECT conv_id, turn, role, text FROM conversations
+            UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))
+        ),
+        t AS (SELECT conv_id, turn, role AS r, text AS t, coalesce(role, '') AS role, coalesce(text, '') AS text FROM c),
+        s AS (
+            SELECT *, CASE role WHEN 'system' THEN 's' WHEN 'user' THEN 'u' WHEN 'assistant' THEN 'a' ELSE 'x' END AS code,
+                   {ESCAPED.format(x="text", control=CONTROL)}
+                   + CASE role WHEN 'system' THEN 11 WHEN 'user' THEN 13 WHEN 'assistant' THEN 9 ELSE 19 + {ESCAPED.format(x="role", control=CONTROL)} END AS chars
+            FROM t
+        )
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, r NULLS FIRST, t NULLS FIRST)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, r NULLS FIRST, t NULLS FIRST) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               CAST(8 + sum(chars) AS BIGINT) AS formatted_chars,
+               regexp_full_match(string_agg(code, '' ORDER BY turn NULLS FIRST, r NULLS FIRST, t NULLS FIRST), 's?(ua)*u?') AS in_order
+        FROM s GROUP BY conv_id
+    """,
 }

@@ -11,6 +11,7 @@ import pytest
 
 from loomstone.llm import chat, decontamination, licenses, lm_scoring, media, minhash_dedup, queries, sentencepiece_codec, sharding, toxicity, warc
 from loomstone.llm.common import scratch
+from tests.oracle import compare, connect
 
 SMALL = "/root/testdata/sf0.001"
 # Columns beside doc_id, text and lang have names that the operators use inside.
@@ -892,3 +893,8 @@ def test_queries_run_on_the_smallest_tables(spark):
         got = f(spark, SMALL).count()
         if name.split("_")[0] not in ("op5", "op6"):
             assert got == (rows.select("conv_id").distinct().count() + 1 if table_ == "conversations" else rows.count()), name
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_queries_equal_their_sql(spark, name):
+    assert compare(queries.QUERIES[name](spark, SMALL), connect(SMALL), queries.ORACLE_SQL[name]) is None
