@@ -104,7 +104,20 @@ def byte_unshuffle(size: int):
     return _each(lambda: lambda x: _shuffle(x, size, True))
 
 
+def _xor(a: bytes, b: bytes) -> bytes:
+    if len(a) != len(b):
+        raise ValueError("lengths differ")
+    return (np.frombuffer(a, np.uint8) ^ np.frombuffer(b, np.uint8)).tobytes()
+
+
+@F.pandas_udf(T.BinaryType())
+def xor_bytes(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Bytes of two columns, xor-ed; null where one is null, an error where their lengths differ."""
+    return pd.Series([None if x is None or y is None else _xor(bytes(x), bytes(y)) for x, y in zip(a, b, strict=True)], dtype=object)
+
+
 def keyed_hash(key: bytes):
+    """HMAC-SHA256 of each value."""
     return _each(lambda: lambda x: hmac.new(key, x, hashlib.sha256).digest())
 
 

@@ -364,6 +364,50 @@ def extract(archive: Archive, uri: str) -> DataFrame:
     return cut(rows.select("path", "at", "content", "mode", "size").mapInArrow(run, "path string, size long, mode int"))
 
 
+def file_digests(archive: Archive, check: bool = True) -> DataFrame:
+    """path, stream, size and digest (SHA-256, hex) of each file as read back, taken block by block: no file is ever one value.
+
+    A file without blocks has the digest of no bytes; one whose blocks do not make up its size is an error.
+    """
+    blocks = payloads(archive, check=check).select("path", "stream", F.col("logical_start").alias("at"), "logical_len", "content", F.lit(None).cast("long").alias("size"))
+    heads = archive.files.select("path", "stream", F.lit(-1).cast("long").alias("at"), F.lit(0).cast("long").alias("logical_len"), F.lit(None).cast("binary").alias("content"), F.col("size").cast("long").alias("size"))
+    rows = heads.unionByName(blocks).repartition("path").sortWithinPartitions("path", "stream", "at")
+
+    def run(batches):
+        head = made = None
+        zeros = bytes(1 << 16)
+
+        def table(done):
+            columns = list(zip(*done, strict=True)) if done else [()] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.string()), strict=True)], ["path", "stream", "size", "digest"])
+
+        def closed():
+            if got != head[2]:
+                raise ValueError(f"{head[0]}: {got} bytes of {head[2]}")
+            return (*head, made.hexdigest())
+
+        got = 0
+        for batch in batches:
+            done = []
+            for path, stream, at, n, content, size in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if at < 0:
+                    if head:
+                        done.append(closed())
+                    head, made, got = (path, stream, size), hashlib.sha256(), 0
+                elif content is not None:
+                    made.update(content)
+                    got += len(content)
+                else:
+                    for first in range(0, n, len(zeros)):
+                        made.update(zeros[: n - first])
+                    got += n
+            yield table(done)
+        if head:
+            yield table([closed()])
+
+    return rows.select("path", "stream", "at", "logical_len", "content", "size").mapInArrow(run, "path string, stream string, size long, digest string")
+
+
 def digest(blocks: DataFrame) -> DataFrame:
     """One digest over all block hashes and places, for signing: hashes of parts, ordered, then one over them."""
     rows = blocks.select("stream", "block_idx", F.concat_ws("|", "stream", F.col("block_idx").cast("string"), "kind", F.coalesce("hash", F.lit("")), F.col("logical_len").cast("string")).alias("row"))

@@ -198,11 +198,7 @@ def versions(files: DataFrame, **more) -> tuple:
 
 def whole_files(a: archive.Archive) -> DataFrame:
     """path and digest of each file, put together from its blocks."""
-    # A file is one value again, as it was in the input.
-    pieces = archive.payloads(a).select("path", "seq", archive.part("0", "logical_len").alias("part"))
-    whole = pieces.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("seq", "part"))).alias("x"))
-    content = F.aggregate(F.transform("x", lambda e: e["part"]), F.unhex(F.lit("")), lambda b, e: F.concat(b, e))
-    return a.files.select("path").join(whole, "path", "left").select("path", F.sha2(F.coalesce(content, F.unhex(F.lit(""))), 256).alias("digest"))
+    return archive.file_digests(a).select("path", "digest")
 
 
 @register("""
@@ -548,6 +544,30 @@ def optimal_parameters(spark, sf_dir):
     return analysis.optimize_params(spark, totals).select("name", "f", F.round("ratio", 6).alias("ratio"))
 
 
+MAC_KEY = b"a key for digests"
+
+
+@register(f"""
+    SELECT doc_id, sha256(unhex('{bytes(x ^ 0x5C for x in MAC_KEY.ljust(64, bytes(1))).hex()}') || unhex(sha256(unhex('{bytes(x ^ 0x36 for x in MAC_KEY.ljust(64, bytes(1))).hex()}') || encode(text)))) AS mac FROM documents
+""")
+def keyed_digests(spark, sf_dir):
+    """Digests of documents under a key; the SQL makes them from two plain ones."""
+    d = read(spark, sf_dir, "documents")
+    return d.select("doc_id", F.lower(F.hex(codecs.keyed_hash(MAC_KEY)(F.encode("text", "UTF-8")))).alias("mac"))
+
+
+@register("""
+    WITH x AS (SELECT doc_id, hex(encode(text)) AS h FROM documents)
+    SELECT doc_id, CASE WHEN h = '' THEN sha256('') ELSE sha256(CAST(xor(CAST(unhex(h) AS BIT), CAST(unhex(substr(h, 3) || substr(h, 1, 2)) AS BIT)) AS BLOB)) END AS delta, sha256(unhex(h)) AS restored FROM x
+""")
+def xor_deltas(spark, sf_dir):
+    """Documents stored as differences from their bytes moved by one place, and restored."""
+    d = read(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("b"))
+    d = d.select("doc_id", "b", F.concat(F.expr("substring(b, 2)"), F.expr("substring(b, 1, 1)")).alias("base"))
+    d = d.select("doc_id", "base", codecs.xor_bytes("b", "base").alias("delta"))
+    return d.select("doc_id", F.sha2("delta", 256).alias("delta"), F.sha2(codecs.xor_bytes("delta", "base"), 256).alias("restored"))
+
+
 # --- requests, sizes and places -----------------------------------------------------
 
 HEADERS = [("a", None, 100), ("b", "bytes=0-9", 100), ("c", "bytes=50-", 100), ("d", "bytes=99-99", 100), ("e", "bytes=100-", 100), ("f", "bytes=9-5", 100), ("g", "bytes=-5", 100), ("h", "bytes=x-1", 100), ("i", "bytes=0-99,1-2", 100), ("j", None, 0), ("k", None, 100_000_000), ("l", "bytes=5-99999998", 100_000_000)]
@@ -563,6 +583,43 @@ def http_ranges(spark, sf_dir):
     return x.select("id", "x.status", F.col("x.first").cast("int").alias("first"), F.col("x.last").cast("int").alias("last"))
 
 
+@register("""
+    WITH r AS (SELECT doc_id, octet_length(encode(text)) AS size, doc_id % 1000 AS a, doc_id * 7 % 2000 AS b, doc_id % 4 AS kind FROM documents),
+    p AS (SELECT doc_id, size, CASE WHEN kind IN (1, 2) THEN a ELSE 0 END AS first, CASE WHEN kind = 1 THEN b ELSE size - 1 END AS last, kind FROM r)
+    SELECT doc_id, CASE WHEN good THEN 206 ELSE 416 END AS status, CASE WHEN good THEN CAST(first AS BIGINT) END AS first, CASE WHEN good THEN CAST(least(last, first + 33554431) AS BIGINT) END AS last
+    FROM (SELECT *, kind <> 3 AND size > 0 AND first <= last AND last < size AS good FROM p)
+""")
+def document_requests(spark, sf_dir):
+    """Answers to requests for parts of each document: whole, from one place to another, from a place on, and its last bytes, which are not served."""
+    d = read(spark, sf_dir, "documents").select("doc_id", F.octet_length(F.encode("text", "UTF-8")).cast("long").alias("size"), (F.col("doc_id") % 1000).cast("string").alias("a"), (F.col("doc_id") * 7 % 2000).cast("string").alias("b"))
+    ask = F.element_at(F.array(F.lit(None).cast("string"), F.concat(F.lit("bytes="), "a", F.lit("-"), "b"), F.concat(F.lit("bytes="), "a", F.lit("-")), F.concat(F.lit("bytes=-"), "a")), (F.col("doc_id") % 4 + 1).cast("int"))
+    x = d.select("doc_id", C.http_plan(ask, F.col("size")).alias("x"))
+    return x.select("doc_id", "x.status", "x.first", "x.last")
+
+
+@register("""
+    SELECT l_returnflag AS flag, u AS unit, count(*) AS rows, CAST(sum(CAST(trunc(CAST(n AS DOUBLE) * f) AS BIGINT)) AS BIGINT) AS bytes
+    FROM (SELECT l_returnflag, CAST(CAST(l_quantity AS INT) AS VARCHAR) || '.' || CAST(l_partkey % 10 AS VARCHAR) AS n, [' KB', 'mb', 'G', ''][l_orderkey % 4 + 1] AS u, [1024, 1048576, 1073741824, 1][l_orderkey % 4 + 1] AS f FROM lineitem) GROUP BY ALL
+""")
+def quantity_sizes(spark, sf_dir):
+    """Sums over sizes written with units, one in each order line."""
+    n = F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit("."), (F.col("l_partkey") % 10).cast("string"))
+    unit = F.element_at(F.array(F.lit(" KB"), F.lit("mb"), F.lit("G"), F.lit("")), (F.col("l_orderkey") % 4 + 1).cast("int"))
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("flag"), unit.alias("unit"), C.parse_size(F.concat(n, unit)).alias("size"))
+    return rows.groupBy("flag", "unit").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("bytes"))
+
+
+@register("""
+    WITH x AS (SELECT page_id, split_part(url, '://', 1) AS scheme, substr(url, length(split_part(url, '://', 1)) + 4) AS rest FROM pages),
+    y AS (SELECT page_id, split_part(rest, '/', 1) AS bucket, rtrim(substr(rest, length(split_part(rest, '/', 1)) + 2), '/') AS prefix FROM x)
+    SELECT page_id, bucket, CASE WHEN prefix = '' THEN '' ELSE prefix || '/' END AS prefix FROM y
+""")
+def page_locations(spark, sf_dir):
+    """Bucket and prefix of each page's place, were it in a store."""
+    p = read(spark, sf_dir, "pages").select("page_id", C.parse_s3_url(F.regexp_replace("url", "^[^:]*://", "s3://")).alias("x"))
+    return p.select("page_id", "x.bucket", "x.prefix")
+
+
 @register("SELECT * FROM (VALUES ('64K', 65536), ('1.5MB', 1572864), ('2g', 2147483648), ('10', 10), ('1T', 1099511627776), ('x', NULL), ('', NULL), ('5 kb', 5120)) t(text, size)")
 def parse_sizes(spark, sf_dir):
     df = spark.createDataFrame([(x,) for x in ("64K", "1.5MB", "2g", "10", "1T", "x", "", "5 kb")], "text string")

@@ -1,5 +1,6 @@
 """Operators over blocks and trees: properties on generated bytes, and edge cases. SQL comparisons are in test_oracle.py."""
 
+import hashlib
 import io
 import random
 import tarfile
@@ -97,6 +98,8 @@ def test_archives_restore_and_read_back(spark, files, config, tmp_path):
         slices = spark.createDataFrame([(1, "b/mixed", 690, 100), (2, "b/empty", 0, 9), (3, "none", 0, 1), (4, "b/mixed", 9999, 5)], "request_id int, path string, first long, n long")
         got = {r["request_id"]: r["bytes"] and bytes(r["bytes"]) for r in archive.read_files(a, slices).collect()}
         assert got[1] == originals["b/mixed"][690:790] and not got[2] and got[3] is None and not got[4]
+    digests = {r["path"]: (r["size"], r["digest"]) for r in archive.file_digests(a).collect()}
+    assert digests == {p: (len(c), hashlib.sha256(c).hexdigest()) for p, c in originals.items()}
     assert archive.audit(a).count() == 0
     n = a.blocks.count()
     assert sorted(r[0] for r in a.blocks.select("block_idx").collect()) == list(range(n))
@@ -110,6 +113,7 @@ def test_archives_restore_and_read_back(spark, files, config, tmp_path):
 
 def test_no_files_make_an_archive(spark, tmp_path):
     a = archive.pack(spark.createDataFrame([], FILES), archive.PackConfig(block=512))
+    assert archive.file_digests(a).count() == 0
     assert a.blocks.count() == a.store.count() == a.files.count() == 0 and archive.extract(a, f"file://{tmp_path}/none").count() == 0
     assert catalogs.Catalog(spark, f"file://{tmp_path}/c").save(a).files.count() == 0
 
@@ -126,6 +130,10 @@ def test_thin_versions_read_through_their_parents(spark, files, tmp_path):
     assert {r[0] for r in last.blocks.select("owner").distinct().collect()} == {"v0", "v1", "v2", "v3", "v4", None}
     want = originals | {f"more/{i}": noise(1500, 100 + i) for i in range(4)}
     assert restored(last, tmp_path / "out") == want
+    assert {r["path"]: r["digest"] for r in archive.file_digests(last).collect()} == {p: hashlib.sha256(c).hexdigest() for p, c in want.items()}
+    torn = archive.Archive(last.config, last.blocks.where("path <> 'c/ones' or seq <> 1"), last.store, last.files, last.owners)
+    with pytest.raises(Exception, match="c/ones: 3584 bytes of 4096"):
+        archive.file_digests(torn).collect()
     first = spark.createDataFrame([(0, "c/ones", 0, 16)], "request_id int, path string, first long, n long")
     assert bytes(archive.read_files(last, first).first()["bytes"]) == b"\xff" * 16
     alone = archive.Archive(last.config, last.blocks, last.store, last.files)
@@ -326,6 +334,10 @@ def test_codecs(spark):
         assert [r[0] and bytes(r[0]) for r in df.select(unpack(pack("b"))).collect()] == [x or (x if x is None else b"") for x in data]
     assert [round(r[0], 3) if r[0] is not None else None for r in df.select(codecs.entropy("b")).collect()][:3] == [0.0, 0.0, 0.0]
     assert len(df.select(codecs.keyed_hash(b"key")("b")).first()[0]) == 32
+    pairs = spark.createDataFrame([(b"", b""), (b"abc", b"bca"), (None, b"x")], "a binary, b binary")
+    assert [r[0] and bytes(r[0]) for r in pairs.select(codecs.xor_bytes("a", "b")).collect()] == [b"", b"\x03\x01\x02", None]
+    with pytest.raises(Exception, match="lengths differ"):
+        df.select(codecs.xor_bytes("b", F.lit(b"ab"))).collect()
     with pytest.raises(ValueError):
         codecs.compress("brotli")
     key, salt = codecs.derive_key("secret", b"12345678", 100_000)
