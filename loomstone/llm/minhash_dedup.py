@@ -283,9 +283,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     more = _links(cut(_rest(keys, found, classes, source, percent)), classes, source, percent)
     if not more.isEmpty():
         found = components(links.union(more))
-    least = classes.join(found, classes["class"] == found["node"], "left").select("set_id", "least", F.coalesce("component", "class").alias("component"))
-    lows = least.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_class = least.join(lows, "component").select("set_id", "component_id")
+    named = classes.join(found, classes["class"] == found["node"], "left").select("set_id", "least", F.coalesce("component", "class").alias("component"), F.col("component").isNotNull().alias("linked"))
+    # A class without links stands for itself; the classes of a component meet its least doc_id in PARTS places.
+    lows = named.where("linked").groupBy("component").agg(F.min("least").alias("low")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    named = named.withColumn("part", F.pmod(F.xxhash64("set_id"), F.lit(PARTS)).cast("int"))
+    by_class = named.join(lows, ["component", "part"], "left").select("set_id", F.coalesce("low", "least").alias("component_id"))
     return (
         signed.join(by_class, "set_id", "left")
         .withColumn("component_id", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
