@@ -6,11 +6,16 @@ filter's maximum over the text is kept, and a logistic layer turns the maxima
 into a score. Training is by Adam on labelled
 texts; scoring keeps only running maxima, so a text of any length is scored
 whole in bounded memory.
+
+All labelled rows are learnt from. They are dealt into shards by hash; in each round every
+shard is trained on from the same weights in a task of its own, and the changes are
+averaged, those of a table row over the steps that touched it. Calibration counts all rows kept for it.
 """
 
 from __future__ import annotations
 
 import pickle
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,25 +23,39 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomstone.llm.common import WordHasher, as_bytes, joined, pieces
+from loomstone.llm.common import WordHasher, as_bytes, cut, joined, pieces
+
+#: Labels of at most so many rows (about 90 bytes each) are broadcast to find their texts; more are joined by shuffling.
+BROADCAST = 500_000
+#: Words whose vectors are held at once in training.
+WORDS = 1 << 17
+#: Table rows to a block of averages.
+BLOCK = 1024
+#: Logits are counted by steps of 1 / STEPS for calibration.
+STEPS = 256
+GAP = re.compile(rb"[ \t-\r]")
 
 
 @dataclass(frozen=True)
 class Settings:
-    """max_train bounds the labelled rows that are trained on: those with the least hashes of doc_id."""
+    """A shard holds about shard_rows texts or shard_bytes, whichever is less; there are as many shards as all labelled texts need."""
 
     bits: int = 16
     dim: int = 8
     filters: int = 8
     widths: tuple = (1, 2, 3)
-    max_train: int = 6_000
-    #: Labelled texts of more bytes are scored, but not learnt from: the task that learns holds max_train times so much at most.
-    max_text: int = 1 << 16
+    shard_rows: int = 4_096
+    shard_bytes: int = 1 << 24
     #: Prefix lengths in bytes whose rows are added to the word's own.
     prefixes: tuple = (4, 5, 6)
-    #: Passes over the training texts, or more until there are least_steps.
+    #: Rounds of averaging where there are several shards.
+    rounds: int = 4
+    #: Passes over the training texts, or more until there are least_steps to a shard or it was passed over for so many bytes.
     epochs: int = 4
     least_steps: int = 800
+    most_bytes: int = 1 << 26
+    #: Power of the inverse share of a label as the weight of its rows in the loss.
+    balance: float = 0.5
     batch: int = 32
     rate: float = 0.01
     seed: int = 7
@@ -93,23 +112,27 @@ class TextCNN:
     def scores(self, ids: np.ndarray, begins: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.scale * self.logits(ids, begins).astype(np.float64) + self.shift, -60, 60)))
 
-    def train(self, texts: list[np.ndarray], labels: np.ndarray) -> TextCNN:
-        """Adam on the logistic loss; texts are arrays of table rows as in embed()."""
-        s, rng = self.s, np.random.default_rng(self.s.seed + 1)
+    def train(self, texts: list[np.ndarray], labels: np.ndarray, p: Plan, turn: int = 0, shard: int = 0) -> dict:
+        """Adam on the logistic loss, passes of one round; texts are arrays of table rows as in embed().
+
+        Gives the number of steps, and of those that touched each table row.
+        """
+        s, rng = self.s, np.random.default_rng([self.s.seed + 1, turn, shard])
         m = {k: np.zeros_like(v) for k, v in self.w.items()}
         q = {k: np.zeros_like(v) for k, v in self.w.items()}
-        t, epochs = 0, max(s.epochs, -(-s.least_steps * s.batch // max(1, len(texts))))
-        for epoch in range(epochs):
+        t, touched = 0, np.zeros(1 << s.bits, np.int32)
+        for epoch in range(p.passes):
             order = rng.permutation(len(texts))
-            rate = s.rate * (1 - epoch / epochs) ** 0.5
-            for at in range(0, len(order), s.batch):
-                part = order[at : at + s.batch]
-                g = self._gradient([texts[i] for i in part], labels[part])
+            rate = s.rate * (1 - (turn + epoch / p.passes) / p.rounds) ** 0.5
+            for first in range(0, len(order), s.batch):
+                part = order[first : first + s.batch]
+                g = self._gradient([texts[i] for i in part], labels[part], np.where(labels[part] > 0, *p.weights[::-1]))
                 t += 1
                 fix = np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
                 for k, x in g.items():
                     if k == "emb":
                         r, x = x
+                        touched[r] += 1
                         m[k][r] = 0.9 * m[k][r] + 0.1 * x
                         q[k][r] = 0.999 * q[k][r] + 0.001 * x * x
                         self.w[k][r] -= rate * fix * m[k][r] / (np.sqrt(q[k][r]) + 1e-8)
@@ -117,32 +140,49 @@ class TextCNN:
                         m[k] = 0.9 * m[k] + 0.1 * x
                         q[k] = 0.999 * q[k] + 0.001 * x * x
                         self.w[k] -= rate * fix * m[k] / (np.sqrt(q[k]) + 1e-8)
-        return self
-
-    def _gradient(self, texts: list[np.ndarray], labels: np.ndarray) -> dict:
+        return {"steps": t, "touched": touched}
+
+    def _maxima(self, ids: np.ndarray, begins: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each width the greatest output of each filter over each text and the word where it begins; -inf and -1 for shorter texts.
+
+        Only the vectors of about WORDS words are held at once.
+        """
+        n, f = len(begins) - 1, np.arange(self.s.filters)
+        found = [(np.full((n, len(f)), -np.inf, np.float32), np.full((n, len(f)), -1)) for _ in self.s.widths]
+        for a in range(0, ids.shape[1], WORDS):
+            e = self.embed(ids[:, a : a + WORDS + max(self.s.widths) - 1])
+            first, last = np.searchsorted(begins, a, "right") - 1, min(n, np.searchsorted(begins, a + WORDS))
+            for k, (top, where) in zip(self.s.widths, found, strict=True):
+                if len(e) < k:
+                    continue
+                v = self._conv(e, k)[:WORDS]
+                for i in range(first, last):
+                    low, high = max(begins[i], a), min(begins[i + 1] - k + 1, a + len(v))
+                    if low < high:
+                        part = v[low - a : high - a]
+                        best = part.argmax(axis=0)
+                        value = part[best, f]
+                        where[i] = np.where(value > top[i], best + low, where[i])
+                        top[i] = np.maximum(value, top[i])
+        return found
+
+    def logit(self, ids: np.ndarray) -> float:
+        """The logit of one text, however long."""
+        tops = [np.maximum(top + self.w[f"b{k}"], 0) for k, (top, _) in zip(self.s.widths, self._maxima(ids, np.array([0, ids.shape[1]])), strict=True)]
+        return float((np.concatenate(tops, axis=1) @ self.w["out"] + self.w["bias"])[0])
+
+    def _gradient(self, texts: list[np.ndarray], labels: np.ndarray, weights: np.ndarray | float = 1.0) -> dict:
         s, d = self.s, self.s.dim
         begins = np.concatenate(([0], np.cumsum([x.shape[1] for x in texts])))
         ids = np.concatenate(texts, axis=1)
-        e = self.embed(ids)
-        lengths = np.diff(begins)
         tops, where = [], []
-        for k in s.widths:
-            top = np.zeros((len(texts), s.filters), np.float32)
-            arg = np.full((len(texts), s.filters), -1)
-            long_ = np.flatnonzero(lengths >= k)
-            if len(long_):
-                v = self._conv(e, k)
-                for i in long_:
-                    part = v[begins[i] : begins[i + 1] - k + 1]
-                    best = part.argmax(axis=0)
-                    value = part[best, np.arange(s.filters)] + self.w[f"b{k}"]
-                    top[i] = np.maximum(value, 0)
-                    arg[i] = np.where(value > 0, best + begins[i], -1)
-            tops.append(top)
-            where.append(arg)
+        for k, (top, arg) in zip(s.widths, self._maxima(ids, begins), strict=True):
+            value = top + self.w[f"b{k}"]
+            tops.append(np.maximum(value, 0))
+            where.append(np.where(value > 0, arg, -1))
         pooled = np.concatenate(tops, axis=1)
         z = pooled @ self.w["out"] + self.w["bias"]
-        dz = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) / max(1, len(texts))).astype(np.float32)
+        dz = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) * weights / max(1, len(texts))).astype(np.float32)
         g = {"out": pooled.T @ dz, "bias": np.array([dz.sum()], np.float32)}
         rows, grads = [], []
         for j, k in enumerate(s.widths):
@@ -154,7 +194,7 @@ class TextCNN:
             _, f = np.nonzero(hit)
             place, value = arg[hit], dv[hit]
             for o in range(k):
-                np.add.at(fw[o * d : (o + 1) * d].T, f, value[:, None] * e[place + o])
+                np.add.at(fw[o * d : (o + 1) * d].T, f, value[:, None] * self.embed(ids[:, place + o]))
                 back = value[:, None] * self.w[f"f{k}"][o * d : (o + 1) * d].T[f]
                 for own in ids:
                     rows.append(own[place + o])
@@ -209,20 +249,35 @@ class Model:
     thresholds: dict
 
 
-def labelled(docs: DataFrame, labels: DataFrame, max_train: int, max_text: int) -> tuple[DataFrame, dict]:
-    """doc_id, text, lang, toxic of the labelled rows to learn from, and how many there are of each label.
-
-    Of each label at most max_train // 2 are taken, those with the least hashes of doc_id, and of these the texts of at most max_text bytes.
-    """
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, text, lang, n_bytes (of the text, known before the join), toxic and held (kept for calibration) of all rows to learn from."""
     rule = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1
     known = labels.where(rule & F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    ranked = known.orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = ranked.where("toxic = 1").limit(max_train // 2).union(ranked.where("toxic = 0").limit(max_train // 2))
-    # At most max_train rows of 12 bytes are broadcast.
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    rows = rows.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= max_text)
-    return rows.join(F.broadcast(chosen), "doc_id"), counts
+    rows = docs.where(rule).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang"))
+    rows = rows.withColumn("n_bytes", F.octet_length("text").cast("long"))
+    known = F.broadcast(known) if known.count() <= BROADCAST else known
+    return rows.join(known, "doc_id").withColumn("held", F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 4)
+
+
+@dataclass
+class Plan:
+    """How all labelled rows are passed over: of `shards` shards, each `passes` times in each of `rounds` rounds.
+
+    weights: of rows of label 0 and of label 1 in the loss.
+    """
+
+    shards: int
+    rounds: int
+    passes: int
+    weights: tuple = (1.0, 1.0)
+
+
+def plan(s: Settings, of_label: tuple[int, int], n_bytes: int) -> Plan:
+    n = sum(of_label)
+    shards = max(1, -(-n // s.shard_rows), -(-n_bytes // s.shard_bytes))
+    rounds = 1 if shards == 1 else s.rounds
+    more = min(-(-s.least_steps * s.batch * shards // max(1, n)), s.most_bytes * shards // max(1, n_bytes))
+    return Plan(shards, rounds, max(-(-s.epochs // rounds), -(-more // rounds)), tuple((n / (2 * max(1, x))) ** s.balance for x in of_label))
 
 
 def table_rows(texts: list[bytes], hasher: WordHasher, s: Settings):
@@ -234,76 +289,159 @@ def table_rows(texts: list[bytes], hasher: WordHasher, s: Settings):
     return ((h + kinds) >> np.uint64(64 - s.bits)).astype(np.int32), np.searchsorted(start, begins)
 
 
-def _training_rows(s: Settings):
-    def run(batches):
-        hasher = WordHasher()
-        for batch in batches:
-            texts, out = as_bytes(batch.column("text")), []
-            for first, last in pieces(texts):
-                ids, at = table_rows(texts[first:last], hasher, s)
-                out += [ids[:, at[i] : at[i + 1]].tobytes() for i in range(last - first)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary()), batch.column("lang"), batch.column("toxic")], ["doc_id", "ids", "lang", "toxic"])
+def slices(text: bytes, most: int = 1 << 19):
+    """A text in parts of about `most` bytes, cut at white space."""
+    at = 0
+    while len(text) - at > most and (gap := GAP.search(text, at + most)):
+        yield text[at : gap.start()]
+        at = gap.start()
+    yield text[at:]
 
-    return run
+
+def rows_of(column, hasher: WordHasher, s: Settings):
+    """Table rows of each text of an Arrow column, hashed in pieces."""
+    texts = as_bytes(column)
+    for first, last in pieces(texts):
+        if last - first == 1:
+            yield np.concatenate([table_rows([x], hasher, s)[0] for x in slices(texts[first])], axis=1)
+            continue
+        ids, at = table_rows(texts[first:last], hasher, s)
+        for i in range(last - first):
+            yield ids[:, at[i] : at[i + 1]].copy()
 
 
 def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
-    """Trains on the labelled rows, a fifth of which is kept for calibration.
+    """Trains on all labelled rows but a fifth, all of which calibrates score and thresholds.
 
     docs: doc_id, text, lang; labels: doc_id, toxic (only 0 and 1 count; of labels that
     disagree, 1 holds). Rows whose crc32(doc_id as text) mod 3 is 1 are never
-    learnt from. Without labelled rows of both kinds all texts score alike, by
+    learnt from. The fifth is chosen by the hash of doc_id; where the others lack a label, all rows are trained on
+    and none is kept. Without labelled rows of both kinds all texts score alike, by
     the share of the one kind. lang is used for the thresholds alone. Null and empty texts are learnt from as texts
-    of no words; rows of documents that repeat a labelled doc_id are each learnt from; a null doc_id has no label;
+    of no words, long ones whole; rows of documents that repeat a labelled doc_id are each learnt from; a null doc_id has no label;
     tables without rows are as tables without labels. The order of rows does not matter.
-    """
-    chosen, counts = labelled(docs, labels, s.max_train, s.max_text)
-    rows = chosen.select("doc_id", "text", "lang", "toxic").mapInArrow(_training_rows(s), "doc_id long, ids binary, lang string, toxic int")
-    # At most max_train rows meet in one task, so that the driver holds the model and nothing else.
-    made = rows.repartition(1).mapInArrow(_learn(s, counts), "model binary").collect()
-    return _model(s, pickle.loads(made[0][0]) if made else None)
-
 
-def _model(s: Settings, made: dict | None) -> Model:
-    net = TextCNN(s)
-    if made is None:
+    A task holds the words of one shard; rows equal in doc_id and text share it. The driver holds the model, and counts by language, label and step of the logit.
+    """
+    rows, net = labelled(docs, labels), TextCNN(s)
+    sizes = {(r["held"], r["toxic"]): (r["n"], r["b"]) for r in rows.groupBy("held", "toxic").agg(F.count(F.lit(1)).alias("n"), F.sum("n_bytes").alias("b")).collect()}
+    n = [sum(x for (_, y), (x, _) in sizes.items() if y == label) for label in (0, 1)]
+    if not all(n):
         net.w["out"][:] = 0
+        net.shift = float(np.log((n[1] + 1) / (n[0] + 1))) if any(n) else 0.0
         return Model(net, {"": 0.7})
-    net.w, net.scale, net.shift = made["w"], made["scale"], made["shift"]
-    return Model(net, made["thresholds"])
+    keep = all((False, y) in sizes for y in (0, 1))
+    trained = [(y, *x) for (held, y), x in sizes.items() if not (keep and held)]
+    p = plan(s, tuple(sum(x for y, x, _ in trained if y == label) for label in (0, 1)), sum(b for *_, b in trained))
+    rows = rows.drop("n_bytes").withColumn("held", F.col("held") & F.lit(keep)).withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(p.shards)).cast("int"))
+    rows = cut(rows.repartitionById(p.shards, "shard").sortWithinPartitions("shard", "doc_id", "text"))
+    for i in range(p.rounds):
+        _round(rows.where(~F.col("held")).select("shard", "text", "toxic"), net, p, i)
+    if not keep:
+        return Model(net, {"": 0.7})
+    return _calibrated(rows.where("held").select("text", "lang", "toxic"), net)
+
 
+def _dense(net: TextCNN) -> list[str]:
+    """The weights that every step changes."""
+    return [k for k in sorted(net.w) if k != "emb"]
+
+
+def _round(rows: DataFrame, net: TextCNN, p: Plan, i: int) -> None:
+    """Trains on each shard from the weights of net, and adds the mean change to them."""
+    sent = rows.sparkSession.sparkContext.broadcast(pickle.dumps(net.w, protocol=5))
+    changes = rows.mapInArrow(_train(net.s, sent, p, i), "block int, shard int, at binary, n binary, change binary")
+    means = changes.repartition(8, "block").sortWithinPartitions("block", "shard").mapInArrow(_mean, "block int, at binary, change binary").collect()
+    sent.destroy()
+    for r in means:
+        at, change = np.frombuffer(r["at"], np.int32), np.frombuffer(r["change"], np.float32)
+        if r["block"] >= 0:
+            net.w["emb"][r["block"] * BLOCK + at] += change.reshape(len(at), -1)
+            continue
+        begin = 0
+        for k in _dense(net):
+            net.w[k] += change[begin : begin + net.w[k].size].reshape(net.w[k].shape)
+            begin += net.w[k].size
+
+
+def _train(s: Settings, sent, p: Plan, i: int):
+    """For each shard of a task, whose rows stand together, the changes of weights in blocks and how many steps made them."""
+
+    def trained(shard, texts, labels):
+        before, net = pickle.loads(sent.value), TextCNN(s)
+        net.w = {k: v.copy() for k, v in before.items()}
+        made = net.train(texts, np.array(labels, np.float32), p, i, shard)
+        flat = np.concatenate([(net.w[k] - before[k]).ravel() for k in _dense(net)])
+        out = [(-1, np.arange(len(flat), dtype=np.int32), np.full(len(flat), made["steps"], np.int32), flat)]
+        for first in range(0, 1 << s.bits, BLOCK):
+            at = np.flatnonzero(made["touched"][first : first + BLOCK]).astype(np.int32)
+            if len(at):
+                out.append((first // BLOCK, at, made["touched"][first + at], net.w["emb"][first + at] - before["emb"][first + at]))
+        columns = [pa.array([x[0] for x in out], pa.int32()), pa.array([shard] * len(out), pa.int32())]
+        columns += [pa.array([x[j].tobytes() for x in out], pa.binary()) for j in (1, 2, 3)]
+        return pa.RecordBatch.from_arrays(columns, ["block", "shard", "at", "n", "change"])
+
+    def run(batches):
+        hasher, shard, texts, labels = WordHasher(), None, [], []
+        for batch in batches:
+            for of, ids, y in zip(batch.column("shard").to_pylist(), rows_of(batch.column("text"), hasher, s), batch.column("toxic").to_pylist(), strict=True):
+                if of != shard and texts:
+                    yield trained(shard, texts, labels)
+                    texts, labels = [], []
+                shard = of
+                texts.append(ids)
+                labels.append(y)
+        if texts:
+            yield trained(shard, texts, labels)
+
+    return run
+
+
+def _mean(batches):
+    """The mean change of each block, whose rows stand together, weighted by steps."""
+
+    def made(block, n, total):
+        at = np.flatnonzero(n).astype(np.int32)
+        mean = (total[at] / n[at, None]).astype(np.float32)
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([at.tobytes()], pa.binary()), pa.array([mean.tobytes()], pa.binary())], ["block", "at", "change"])
+
+    block = n = total = None
+    for batch in batches:
+        for of, *values in zip(*(batch.column(k).to_pylist() for k in ("block", "at", "n", "change")), strict=True):
+            at, steps, change = (np.frombuffer(x, t) for x, t in zip(values, (np.int32, np.int32, np.float32), strict=True))
+            if of != block:
+                if n is not None:
+                    yield made(block, n, total)
+                size = len(at) if of < 0 else BLOCK
+                block, n, total = of, np.zeros(size, np.int64), np.zeros((size, len(change) // len(at)))
+            n[at] += steps
+            total[at] += steps[:, None] * change.reshape(len(at), -1).astype(float)
+    if n is not None:
+        yield made(block, n, total)
+
+
+def _calibrated(held: DataFrame, net: TextCNN) -> Model:
+    """Calibration and thresholds from counts of all kept rows, by steps of the logit."""
+    sent = held.sparkSession.sparkContext.broadcast(pickle.dumps(net.w, protocol=5))
+    steps = held.mapInArrow(_logit_steps(net.s, sent), "lang string, toxic int, step int")
+    found = sorted(tuple(r) for r in steps.groupBy("lang", "toxic", "step").count().collect())
+    sent.destroy()
+    if not found:
+        return Model(net, {"": 0.7})
+    langs, y, x, n = (np.array([r[j] for r in found], t) for j, t in enumerate((object, np.float32, float, float)))
+    net.calibrate(x / STEPS, y, n)
+    p = 1 / (1 + np.exp(-np.clip(net.scale * x / STEPS + net.shift, -60, 60)))
+    return Model(net, thresholds(p, y, langs, n))
 
-def _learn(s: Settings, counts: dict):
-    """One row: the weights, calibration and thresholds learnt from all rows of the task."""
 
+def _logit_steps(s: Settings, sent):
     def run(batches):
-        texts, ids, labels, langs = [], [], [], []
+        hasher, net = WordHasher(), TextCNN(s)
+        net.w = pickle.loads(sent.value)
         for batch in batches:
-            texts += [np.frombuffer(x, np.int32).reshape(len(s.prefixes) + 1, -1) for x in batch.column("ids").to_pylist()]
-            ids += batch.column("doc_id").to_pylist()
-            labels += batch.column("toxic").to_pylist()
-            langs += [x or "" for x in batch.column("lang").to_pylist()]
-        if not texts:
-            return
-        # the same order in each run
-        order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i].shape[1], texts[i][:, :8].tolist()))
-        texts, y, langs = [texts[i] for i in order], np.array(labels, np.float32)[order], np.array(langs, object)[order]
-        net, limits = TextCNN(s), {"": 0.7}
-        if len(set(y.tolist())) < 2:
-            net.w["out"][:] = 0
-            net.shift = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
-        else:
-            held = np.arange(len(y)) % 5 == 4
-            net.train([x for x, h in zip(texts, held, strict=True) if not h], y[~held])
-            logits = np.concatenate([net.logits(x, np.array([0, x.shape[1]])) for x, h in zip(texts, held, strict=True) if h])
-            # The kept rows stand for all labelled ones, of which other shares are toxic.
-            share = {k: n / max(1, (y == k).sum()) for k, n in counts.items()}
-            weights = np.array([share[int(k)] for k in y[held]])
-            net.calibrate(logits, y[held], weights / weights.mean())
-            p = 1 / (1 + np.exp(-np.clip(net.scale * logits + net.shift, -60, 60)))
-            limits = thresholds(p, y[held], langs[held], weights)
-        made = pickle.dumps({"w": net.w, "scale": net.scale, "shift": net.shift, "thresholds": limits}, protocol=5)
-        yield pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], ["model"])
+            got = [round(min(max(net.logit(ids), -64.0), 64.0) * STEPS) for ids in rows_of(batch.column("text"), hasher, s)]
+            langs = [x or "" for x in batch.column("lang").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), batch.column("toxic"), pa.array(got, pa.int32())], ["lang", "toxic", "step"])
 
     return run
 

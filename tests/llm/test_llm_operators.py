@@ -7,7 +7,9 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from loomstone.llm import chat, decontamination, licenses, lm_scoring, media, minhash_dedup, queries, sentencepiece_codec, sharding, toxicity, warc
 from loomstone.llm.common import scratch
@@ -377,6 +379,94 @@ def test_toxicity_without_labels(hostile, spark):
     assert len({r["score"] for r in toxicity.score(hostile, model).collect()}) == 1
 
 
+def caught(spark, docs, labels, of, s=toxicity.Settings()):
+    """Of held-out rows: the share of toxic ones with ids in `of` that are found, and of the others that are not."""
+    docs = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), s)
+    got = {r["doc_id"]: r["score"] >= 0.7 for r in toxicity.score(docs, model).collect()}
+    test = [(got[i], y) for i, y in labels if held_out(i, 3, 1) and (not y or i in of)]
+    return [sum(g == y for g, y in test if y == label) / sum(y == label for _, y in test) for label in (1, 0)]
+
+
+def test_toxicity_is_learnt_from_all_labelled_rows(spark):
+    """One kind of toxic word is only in rows that do not have the 3000 least hashes of their label."""
+    rng = random.Random(11)
+    labels = [(i, i % 2) for i in range(16_000)]
+    ids = [r["i"] for r in spark.range(16_000).orderBy(F.xxhash64("id"), "id").select(F.col("id").alias("i")).collect()]
+    first = {i for i in [i for i in ids if i % 2 and not held_out(i, 3, 1)][:3000]}
+    late = {i for i in ids if i % 2 and i not in first and (not held_out(i, 3, 1) or rng.random() < 0.5)}
+    docs = []
+    for i, y in labels:
+        w = [f"w{rng.randrange(300)}" for _ in range(8)]
+        if y:
+            w[rng.randrange(8)] = f"{'zzlate' if i in late else 'early'}{rng.randrange(5)}"
+        docs.append((i, " ".join(w), rng.choice(["en", "fr"])))
+    toxic, clean = caught(spark, docs, labels, late)
+    assert toxic >= 0.98 and clean >= 0.98
+
+
+def test_toxicity_is_learnt_from_long_texts(spark):
+    """One kind of toxic word is only in texts of more than 64 KiB, the last of them in the last part."""
+    rng = random.Random(12)
+    labels, docs, long_ = [(i, i % 2) for i in range(240)], [], set()
+    for i, y in labels:
+        w = [f"w{rng.randrange(300)}" for _ in range(17_000 if i % 4 >= 2 else 12)]
+        if y:
+            w[-1 - rng.randrange(5)] = "lengthy" if i % 4 >= 2 else "early"
+        if i % 4 >= 2:
+            long_.add(i)
+        docs.append((i, " ".join(w), "en"))
+    assert min(len(docs[i][1]) for i in long_) > 1 << 16
+    toxic, clean = caught(spark, docs, labels, long_)
+    assert toxic >= 0.9 and clean >= 0.9
+
+
+def test_toxicity_of_several_shards(spark, monkeypatch):
+    """Neither the order of rows nor the way labels are joined matters."""
+    rng = random.Random(13)
+    docs = [(i, " ".join(["nasty" if i % 3 == 0 and k == 2 else f"w{rng.randrange(100)}" for k in range(12)]), "en") for i in range(420)]
+    labels, s = [(i, int(i % 3 == 0)) for i in range(420)], toxicity.Settings(bits=10, shard_rows=64, least_steps=300)
+    assert toxicity.plan(s, (150, 74), 9000).shards == 4 and toxicity.plan(toxicity.Settings(), (9, 1), 10 << 24).shards == 10
+    assert caught(spark, docs, labels, {i for i, y in labels if y}, s) == [1, 1]
+    docs, labels = spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    one = toxicity.fit(docs, labels, s)
+    monkeypatch.setattr(toxicity, "BROADCAST", 0)
+    two = toxicity.fit(docs.repartition(7), labels, s)
+    assert all((one.net.w[k] == two.net.w[k]).all() for k in one.net.w) and one.thresholds == two.thresholds
+
+
+def test_toxicity_of_few_labels(spark):
+    """Where the rows that are not kept lack a label, all are trained on."""
+    for n in (1, 2, 4, 7):
+        docs = spark.createDataFrame([(i, f"nasty word{i}" if i % 2 else f"word{i}", None) for i in range(n)], "doc_id long, text string, lang string")
+        model = toxicity.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(n)], "doc_id long, toxic int"), toxicity.Settings(bits=8, least_steps=20))
+        assert all(0 <= r["score"] <= 1 for r in toxicity.score(docs, model).collect()) and "" in model.thresholds
+
+
+def test_toxicity_maxima_and_rows_in_parts(monkeypatch):
+    rng = np.random.default_rng(5)
+    net = toxicity.TextCNN(toxicity.Settings(bits=5, dim=3, filters=2))
+    texts = [rng.integers(0, 32, (4, n)).astype(np.int32) for n in (0, 9, 2, 0, 31, 1, 0)]
+    ids, begins = np.concatenate(texts, axis=1), np.concatenate(([0], np.cumsum([x.shape[1] for x in texts])))
+    whole = net._maxima(ids, begins)
+    for words_ in (1, 2, 3, 7, 43):
+        monkeypatch.setattr(toxicity, "WORDS", words_)
+        for (top, at), (top_, at_) in zip(whole, net._maxima(ids, begins), strict=True):
+            assert np.allclose(top, top_) and (at == at_).all()
+    assert np.allclose([net.logit(x) for x in texts], net.logits(ids, begins), atol=1e-5)
+    text = b"a few words\tand  more, " * 40 + b"x" * 100
+    parts = list(toxicity.slices(text, 50))
+    assert len(parts) > 10 and b"".join(parts) == text and sum((p.split() for p in parts), []) == text.split()
+
+
+def test_toxicity_changes_are_averaged_over_the_steps_that_made_them():
+    f4, i4 = (lambda *x: np.array(x, np.float32).tobytes()), (lambda *x: np.array(x, np.int32).tobytes())
+    rows = [(-1, 0, i4(0, 1), i4(2, 2), f4(1, 2)), (-1, 1, i4(0, 1), i4(6, 6), f4(5, 2)), (3, 0, i4(7, 9), i4(1, 4), f4(1, 2, 3, 4)), (3, 1, i4(9), i4(12), f4(7, 8))]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(("block", "shard", "at", "n", "change"), r, strict=True)) for r in part]) for part in (rows[:3], rows[3:])]
+    got = {r["block"]: (np.frombuffer(r["at"], np.int32).tolist(), np.frombuffer(r["change"], np.float32).tolist()) for b in toxicity._mean(batches) for r in b.to_pylist()}
+    assert got == {-1: ([0, 1], [4, 2]), 3: ([7, 9], [1, 2, 6, 7])}
+
+
 # --- 5 -----------------------------------------------------------------------
 
 
