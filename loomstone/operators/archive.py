@@ -321,6 +321,7 @@ def extract(archive: Archive, uri: str) -> DataFrame:
     Blocks of a file stream to its task in order. A file whose blocks do not make up its size is an error.
     """
     files = archive.files
+    codecs.small_batches(files.sparkSession)
     unsafe = files.where(F.col("path").startswith("/") | F.col("path").rlike(r"(^|/)\.\.(/|$)") | (F.col("path") == ""))
     bad = unsafe.select("path").limit(1).collect()
     if bad:
@@ -369,6 +370,7 @@ def file_digests(archive: Archive, check: bool = True) -> DataFrame:
 
     A file without blocks has the digest of no bytes; one whose blocks do not make up its size is an error.
     """
+    codecs.small_batches(archive.files.sparkSession)
     blocks = payloads(archive, check=check).select("path", "stream", F.col("logical_start").alias("at"), "logical_len", "content", F.lit(None).cast("long").alias("size"))
     heads = archive.files.select("path", "stream", F.lit(-1).cast("long").alias("at"), F.lit(0).cast("long").alias("logical_len"), F.lit(None).cast("binary").alias("content"), F.col("size").cast("long").alias("size"))
     rows = heads.unionByName(blocks).repartition("path").sortWithinPartitions("path", "stream", "at")

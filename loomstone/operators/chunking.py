@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomstone.functions import codecs
 from loomstone.functions import columns as C
 
 
@@ -128,7 +129,8 @@ def stream_chunks(read, p: ChunkParams, buffer: int = 1 << 20):
 
 
 def content_blocks(files: DataFrame, params: ChunkParams = ChunkParams()) -> DataFrame:
-    """Blocks cut by content. A file is one row and is cut whole within its task; files are spread over tasks."""
+    """Blocks cut by content. A file is one row and is cut whole within its task; files are spread over tasks, and come to Python a few at a time."""
+    codecs.small_batches(files.sparkSession)
     keep = [c for c in files.columns if c != "content"]
 
     def run(batches):

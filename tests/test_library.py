@@ -5,6 +5,7 @@ import io
 import random
 import tarfile
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -531,3 +532,31 @@ def test_ingestion_keeps_each_block_once(spark, tmp_path):
         ingest.ingest(stream, f"file://{tmp_path}/store", f"file://{tmp_path}/checkpoint")
     got = [bytes(r["content"]) for r in spark.read.parquet(f"file://{tmp_path}/store").collect()]
     assert sorted(got) == [b"a", b"b", b"c"]
+
+
+def batch_bytes(spark):
+    """The most bytes of an Arrow batch of 64 values of 100 kB in one partition."""
+    df = spark.range(64).select(F.expr("cast(repeat('x', 100000) as binary)").alias("content")).coalesce(1)
+    sizes = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.column("content").nbytes]}) for b in batches)
+    return df.mapInArrow(sizes, "n long").agg(F.max("n")).first()[0]
+
+
+@pytest.fixture
+def wide_batches(spark):
+    before = spark.conf.get(codecs.BATCH)
+    spark.conf.set(codecs.BATCH, "64m")
+    yield
+    spark.conf.set(codecs.BATCH, before)
+
+
+def test_contents_come_to_python_in_small_batches(spark, files, wide_batches):
+    assert batch_bytes(spark) > 6_000_000
+    chunking.content_blocks(files)
+    assert batch_bytes(spark) < 2 * codecs.BATCH_BYTES
+    spark.conf.set(codecs.BATCH, "64m")
+    archive.file_digests(archive.pack(files, archive.PackConfig(block=512)))
+    assert batch_bytes(spark) < 2 * codecs.BATCH_BYTES
+    # A smaller bound of the session stays.
+    spark.conf.set(codecs.BATCH, "128k")
+    chunking.content_blocks(files)
+    assert spark.conf.get(codecs.BATCH) == "128k" and batch_bytes(spark) < 300_000
