@@ -560,3 +560,9 @@ def test_contents_come_to_python_in_small_batches(spark, files, wide_batches):
     spark.conf.set(codecs.BATCH, "128k")
     chunking.content_blocks(files)
     assert spark.conf.get(codecs.BATCH) == "128k" and batch_bytes(spark) < 300_000
+
+
+@pytest.mark.parametrize("column", [lambda: codecs.compress("lz4")("b"), lambda: codecs.decompress("zstd")("b"), lambda: codecs.byte_shuffle(4)("b"), lambda: codecs.xor_bytes("b", "b"), lambda: codecs.entropy("b"), lambda: codecs.keyed_hash(b"key")("b")])
+def test_codecs_are_given_small_batches(spark, wide_batches, column):
+    column()
+    assert batch_bytes(spark) < 2 * codecs.BATCH_BYTES
