@@ -9,12 +9,15 @@ from __future__ import annotations
 
 import json
 import time
+from collections.abc import Iterable
 from dataclasses import dataclass, field, replace
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomstone.functions import codecs
 from loomstone.operators import archive as A
 from loomstone.operators.catalog import Catalog, Files
 from loomstone.operators.lineage import cut
@@ -25,7 +28,7 @@ OVERLAY = "path string, op string, content binary, size long, mode int, mtime lo
 NEW_FILE, NEW_DIR = 0o644, 0o755
 
 
-def fold(events: list[dict]) -> dict | None:
+def fold(events: Iterable[dict]) -> dict | None:
     """The state of one path after its events, which are in order; writes to a path that has no content of its own begin with none."""
     state = None
     for e in events:
@@ -57,15 +60,23 @@ def fold(events: list[dict]) -> dict | None:
 
 
 def overlay(events: DataFrame) -> DataFrame:
-    """The state of each path that a log changes. The changes of a path are one task's, those of a path alone."""
-    names = [f.split()[0] for f in OVERLAY.split(", ")]
-
-    def run(table):
-        state = fold(sorted(table.to_pylist(), key=lambda e: e["seq"]))
-        return pa.Table.from_pylist([{c: state[c] for c in names}], schema=KINDS)
-
-    KINDS = pa.schema([("path", pa.string()), ("op", pa.string()), ("content", pa.binary()), ("size", pa.int64()), ("mode", pa.int32()), ("mtime", pa.int64()), ("target", pa.string())])
-    return events.groupBy("path").applyInArrow(run, OVERLAY)
+    """The state of each path that a log changes. The changes of a path are one task's, where they are taken one after the other; paths follow each other in one stream of rows."""
+    codecs.small_batches(events.sparkSession)
+    kinds = pa.schema([("path", pa.string()), ("op", pa.string()), ("content", pa.binary()), ("size", pa.int64()), ("mode", pa.int32()), ("mtime", pa.int64()), ("target", pa.string())])
+
+    def run(batches):
+        states, held = [], 0
+        rows = (row for batch in batches for row in batch.to_pylist())
+        for _, changes in groupby(rows, key=lambda e: e["path"]):
+            state = fold(changes)
+            states.append({c: state[c] for c in kinds.names})
+            held += len(state["content"] or b"")
+            if len(states) >= 4096 or held >= codecs.BATCH_BYTES:
+                yield pa.RecordBatch.from_pylist(states, schema=kinds)
+                states, held = [], 0
+        yield pa.RecordBatch.from_pylist(states, schema=kinds)
+
+    return events.repartition("path").sortWithinPartitions("path", "seq").mapInArrow(run, OVERLAY)
 
 
 def hidden(files: DataFrame, over: DataFrame) -> DataFrame:

@@ -566,3 +566,18 @@ def test_contents_come_to_python_in_small_batches(spark, files, wide_batches):
 def test_codecs_are_given_small_batches(spark, wide_batches, column):
     column()
     assert batch_bytes(spark) < 2 * codecs.BATCH_BYTES
+
+
+def test_changes_of_many_paths_are_taken_in_one_stream(spark):
+    """Changes are folded in order of seq, whatever order they come in, and not by a call for each path; values of one path may be larger than a batch."""
+    rows = [(s, f"p/{i}", op, content, at, size, None, 1, None) for i in range(300) for s, op, content, at, size in ((4, "truncate", None, None, 5), (1, "put", b"abcdef", None, None), (3, "write", b"XY", 1, None), (2, "write", b"?", 4, None))]
+    rows += [(1, "big", "put", bytes(3 << 20), None, None, None, 1, None), (2, "big", "write", b"end", 3 << 20, None, None, 1, None), (3, "gone", "whiteout", None, None, None, None, 1, None), (2, "gone", "put", b"x", None, None, None, 1, None)]
+    events = spark.createDataFrame(rows, workspace.EVENTS).repartition(5)
+    over = workspace.overlay(events)
+    assert "FlatMapGroups" not in over._jdf.queryExecution().executedPlan().toString()
+    got = {r["path"]: r for r in over.collect()}
+    assert len(got) == 302 and {(bytes(got[f"p/{i}"]["content"]), got[f"p/{i}"]["size"], got[f"p/{i}"]["op"], got[f"p/{i}"]["mode"]) for i in range(300)} == {(b"aXYd?", 5, "put", 0o644)}
+    assert bytes(got["big"]["content"]) == bytes(3 << 20) + b"end" and got["gone"]["op"] == "whiteout" and got["gone"]["content"] is None
+    assert workspace.overlay(events.limit(0)).count() == 0
+    with pytest.raises(Exception, match="unknown change"):
+        workspace.overlay(spark.createDataFrame([(1, "a", "shout", None, None, None, None, 1, None)], workspace.EVENTS)).collect()
