@@ -103,17 +103,17 @@ def cuts_of(files: DataFrame, config: PackConfig) -> DataFrame:
 
 
 def index_of(files: DataFrame, config: PackConfig) -> DataFrame:
-    """path, stream, seq, start, logical_len and hash of all blocks, without content; hash is null for zero blocks, and for all blocks of an encrypted archive."""
+    """path, stream, seq, start, logical_len and hash (its 32 bytes) of all blocks, without content; hash is null for zero blocks, and for all blocks of an encrypted archive."""
     zero = C.is_zero(F.col("content"))
-    cuts = cuts_of(files, config).select("path", "stream", "seq", "start", F.octet_length("content").cast("long").alias("logical_len"), zero.alias("zero"), F.when(~zero, C.hash_expr(F.col("content"))).alias("hash"))
-    return cuts.withColumn("hash", F.lit(None).cast("string")) if config.key else cuts
+    cuts = cuts_of(files, config).select("path", "stream", "seq", "start", F.octet_length("content").cast("long").alias("logical_len"), zero.alias("zero"), F.when(~zero, F.unhex(C.hash_expr(F.col("content")))).alias("hash"))
+    return cuts.withColumn("hash", F.lit(None).cast("binary")) if config.key else cuts
 
 
 def inherited(parents: list[Archive]) -> DataFrame:
-    """hash and owner of all blocks that the parents hold or refer to; of several owners, the first parent's."""
+    """hash (its 32 bytes) and owner of all blocks that the parents hold or refer to; of several owners, the first parent's."""
     rows = None
     for i, p in enumerate(parents):
-        own = p.blocks.where("hash is not null and kind <> 'zero'").select("hash", "owner", F.lit(i).alias("i"))
+        own = p.blocks.where("hash is not null and kind <> 'zero'").select(F.unhex("hash").alias("hash"), "owner", F.lit(i).alias("i"))
         rows = own if rows is None else rows.unionByName(own)
     return rows.groupBy("hash").agg(F.min_by("owner", F.struct("i", "owner")).alias("inherited"))
 
@@ -132,6 +132,7 @@ def assemble(index: DataFrame, meta: DataFrame, config: PackConfig, known: DataF
         b = b.withColumn("inherited", F.lit(None).cast("string"))
     kind = F.when(F.col("zero"), "zero").when(F.col("inherited").isNotNull(), "parent").otherwise("data")
     b = b.withColumn("kind", kind).withColumn("owner", F.when(F.col("kind") == "data", F.lit(config.archive_id)).otherwise(F.col("inherited")))
+    b = b.withColumn("hash", F.lower(F.hex("hash")))
     place = F.col("block_idx").cast("string") if config.key else F.col("hash")
     b = b.select(
         F.lit(config.archive_id).alias("archive_id"), "stream", "path", "seq", "block_idx", "page_in_file", "logical_start", "logical_len", "kind", "hash", "owner", F.when(F.col("kind") != "zero", place).alias("store_id"),
@@ -139,15 +140,22 @@ def assemble(index: DataFrame, meta: DataFrame, config: PackConfig, known: DataF
     return b, files.withColumn("archive_id", F.lit(config.archive_id))
 
 
-def stored(files: DataFrame, blocks: DataFrame, config: PackConfig) -> DataFrame:
-    """The payloads: the first block of each store_id, cut again, then compressed and sealed. Made when it is read."""
-    first = blocks.where("kind = 'data'").groupBy("store_id").agg(F.min_by(F.struct("path", "stream", "seq", "block_idx"), "block_idx").alias("x")).select("store_id", "x.*")
-    payload = F.col("content")
-    if config.compression:
-        payload = codecs.compress(config.compression, config.level, config.dictionary)(payload)
+def stored(files: DataFrame, blocks: DataFrame, config: PackConfig, thin: bool = False) -> DataFrame:
+    """The payloads: one block of each store_id, cut again, then compressed and sealed. Made when it is read.
+
+    Blocks are dealt by hash once, and lie so from then on; copies of a block within a task go as one. Only a
+    thin archive, of whose blocks the parents have most, is compressed after that.
+    """
+    packed = codecs.compress(config.compression, config.level, config.dictionary) if config.compression else lambda x: x
+    data, cuts = blocks.where("kind = 'data'"), cuts_of(files, config)
     if config.key is not None:
-        payload = C.encrypt(payload, F.lit(config.sealing_key()), F.col("block_idx"))
-    rows = cuts_of(files, config).select("path", "stream", "seq", "content").join(first, ["path", "stream", "seq"]).select("store_id", payload.alias("payload"))
+        rows = cuts.select("path", "stream", "seq", "content").join(data.select("path", "stream", "seq", "block_idx", "store_id"), ["path", "stream", "seq"])
+        rows = rows.select("store_id", C.encrypt(packed(F.col("content")), F.lit(config.sealing_key()), F.col("block_idx")).alias("payload"))
+    else:
+        early, late = (lambda x: x, packed) if thin else (packed, lambda x: x)
+        each = cuts.select(C.hash_expr(F.col("content")).alias("store_id"), early(F.col("content")).alias("payload"))
+        rows = each.groupBy("store_id").agg(F.first("payload").alias("payload")).join(data.select("store_id").distinct(), "store_id", "left_semi")
+        rows = rows.select("store_id", late(F.col("payload")).alias("payload"))
     return rows.select(F.lit(config.archive_id).alias("archive_id"), "store_id", "payload", F.octet_length("payload").cast("long").alias("stored_len"), F.crc32("payload").alias("crc32"))
 
 
@@ -166,7 +174,7 @@ def pack(files: DataFrame, config: PackConfig, parents: list[Archive] | Archive
     blocks, placed_ = assemble(cut(index_of(files, config)), sized(files), config, inherited(parents) if parents else None)
     blocks = cut(blocks)
     owners = {k: v for p in reversed(parents) for k, v in [*p.owners.items(), (p.id, p)]}
-    return Archive(config, blocks, stored(files, blocks, config), placed_, owners, tuple(p.id for p in parents))
+    return Archive(config, blocks, stored(files, blocks, config, bool(parents)), placed_, owners, tuple(p.id for p in parents))
 
 
 def train_dictionary(files: DataFrame, block: int, limit: int, size: int = 110 << 10, entropy: float = 6.0) -> bytes:

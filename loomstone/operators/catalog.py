@@ -116,7 +116,7 @@ class Catalog:
         if self.has(a.id):
             raise FileExistsError(f"archive {a.id} is there already")
         to = f"{self.root}/{_safe(a.id)}/{folder}"
-        a.blocks.repartitionByRange("stream", "block_idx").sortWithinPartitions("stream", "block_idx").write.parquet(f"{to}/blocks")
+        a.blocks.repartitionByRange("stream", "block_idx").sortWithinPartitions("stream", "block_idx").write.option("compression", "zstd").parquet(f"{to}/blocks")
         a.store.write.option("compression", "none" if c.compression or c.key else "zstd").parquet(f"{to}/store")
         a.files.write.parquet(f"{to}/files")
         blocks = self.spark.read.parquet(f"{to}/blocks")

@@ -124,12 +124,12 @@ def commit(archive: A.Archive, over: DataFrame, archive_id: str, **more) -> A.Ar
     begins = archive.files.select(F.col("path").alias("base_path"), "stream", "offset")
     kept = seen.where("base_path is not null").select("path", "base_path", "stream").join(begins, ["base_path", "stream"])
     held = archive.blocks.select(F.col("path").alias("base_path"), "stream", "seq", "logical_start", "logical_len", "kind", "hash")
-    held = held.join(kept, ["base_path", "stream"]).select("path", "stream", "seq", (F.col("logical_start") - F.col("offset")).alias("start"), "logical_len", (F.col("kind") == "zero").alias("zero"), "hash")
+    held = held.join(kept, ["base_path", "stream"]).select("path", "stream", "seq", (F.col("logical_start") - F.col("offset")).alias("start"), "logical_len", (F.col("kind") == "zero").alias("zero"), F.unhex("hash").alias("hash"))
     index = cut(A.index_of(put, config)).unionByName(held)
     blocks, files = A.assemble(index, seen.select("path", "stream", "size", "mode", "mtime"), config, A.inherited([archive]))
     blocks = cut(blocks)
     owners = _Owners(archive)
-    return A.Archive(config, blocks, A.stored(put, blocks, config), files, owners, (archive.id,))
+    return A.Archive(config, blocks, A.stored(put, blocks, config, True), files, owners, (archive.id,))
 
 
 class _Owners(dict):

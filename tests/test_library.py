@@ -581,3 +581,17 @@ def test_changes_of_many_paths_are_taken_in_one_stream(spark):
     assert workspace.overlay(events.limit(0)).count() == 0
     with pytest.raises(Exception, match="unknown change"):
         workspace.overlay(spark.createDataFrame([(1, "a", "shout", None, None, None, None, 1, None)], workspace.EVENTS)).collect()
+
+
+@pytest.mark.parametrize("compression", [None, "lz4"])
+def test_payloads_are_dealt_once(spark, files, compression):
+    """Contents move to where their hash is, and the blocks that refer to them go there: neither is dealt anew by place."""
+    one = archive.pack(files, archive.PackConfig("one", 512, compression=compression))
+    read = archive.decoded(one.blocks.where("kind = 'data'"), one, True)
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 3, plan
+    assert {(r["hash"], hashlib.sha256(r["content"]).hexdigest()) for r in read.collect()} == {(r["hash"],) * 2 for r in one.blocks.where("kind = 'data'").collect()}
+    # A thin archive stores what its parent lacks, each hash once.
+    two = archive.pack(files.withColumn("content", F.concat("content", F.encode(F.lit("more"), "UTF-8"))), archive.PackConfig("two", 512, compression=compression), one)
+    own = [r["hash"] for r in two.blocks.where("kind = 'data'").select("hash").distinct().collect()]
+    assert sorted(r["store_id"] for r in two.store.collect()) == sorted(own) and not set(own) & {r["hash"] for r in one.blocks.collect()}
